@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.exact import exact_dedup
+from tidemill.llm.language import language_report
 from tidemill.llm.packing import pack
+from tidemill.llm.pii import pii_digest
+from tidemill.llm.quality import quality_report
 from tidemill.llm.shards import encode_corpus
 from tidemill.llm.simhash import simhash_components
 from tidemill.llm.tokens import public_path
@@ -25,6 +28,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -33,8 +40,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_read(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_shards, op5_exact_dedup, op7_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_shards, op4_language, op5_exact_dedup, op7_packing, op8_quality, op9_pii)}
 
 
 _OP5 = """

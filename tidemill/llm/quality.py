@@ -14,8 +14,8 @@ WIDTH, STRIDE, HALF = 12, 4, 16
 CHUNK = 2 * HALF * STRIDE
 EMBED, FILTERS, HIDDEN = 4, 32, 24
 #: Learned from this many labelled rows of each label at most, those with the least hash of the id.
-SAMPLE_ROWS = 900
-EPOCHS, RATE, SEED = 14, 4e-3, 7
+SAMPLE_ROWS = 600
+EPOCHS, RATE, SEED = 10, 4e-3, 7
 #: Filter places taken at once, so that memory does not follow a text's length.
 BLOCK_CHUNKS = 4096
 THRESHOLD = 0.7

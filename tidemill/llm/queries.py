@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.decontam import contamination
 from tidemill.llm.exact import exact_dedup
 from tidemill.llm.language import language_report
 from tidemill.llm.packing import pack
+from tidemill.llm.pages import extract_pages
 from tidemill.llm.pii import pii_digest
 from tidemill.llm.quality import quality_report
 from tidemill.llm.shards import encode_corpus
@@ -36,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
@@ -48,8 +54,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_shards, op4_language, op5_exact_dedup, op7_packing, op8_quality, op9_pii)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_shards, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination)}
 
 
 _OP5 = """

@@ -213,10 +213,4 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
     return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have one of a smaller id in their component; all columns stay."""
-    gone = simhash_components(docs, words, radius, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-
-
-__all__ = ["distance_table", "drop_near", "fingerprint", "fingerprints", "near_links", "simhash_components"]
+__all__ = ["distance_table", "fingerprint", "fingerprints", "near_links", "simhash_components"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +23,15 @@ LONGEST_GAP = 256
 
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, ascending from 0, and the truncation penalty of each."""
-    pos = np.unique(np.concatenate([[0], doc_ends, sentence_ends]))
-    gaps = np.diff(pos)
-    wide = np.flatnonzero(gaps > LONGEST_GAP)
-    inner = [np.arange(pos[k] + LONGEST_GAP, pos[k + 1], LONGEST_GAP) for k in wide.tolist()]
-    all_pos = np.unique(np.concatenate([pos, *inner]))
-    pen = np.full(len(all_pos), INSIDE, np.int64)
-    pen[np.searchsorted(all_pos, np.intersect1d(all_pos, sentence_ends))] = SENTENCE
-    pen[np.searchsorted(all_pos, np.intersect1d(all_pos, doc_ends))] = 0
-    pen[0] = 0
-    return all_pos, pen
+    none = np.iinfo(np.int16).max
+    penalty = np.full(int(doc_ends[-1]) + 1, none, np.int16)
+    penalty[sentence_ends] = SENTENCE
+    penalty[doc_ends] = penalty[0] = 0
+    pos = np.flatnonzero(penalty != none)
+    for k in np.flatnonzero(np.diff(pos) > LONGEST_GAP).tolist():
+        penalty[pos[k] + LONGEST_GAP : pos[k + 1] : LONGEST_GAP] = INSIDE
+    pos = np.flatnonzero(penalty != none)
+    return pos, penalty[pos].astype(np.int64)
 
 
 def choose_cuts(pos: np.ndarray, pen: np.ndarray, size: int = 1024) -> list[int]:
@@ -43,27 +41,36 @@ def choose_cuts(pos: np.ndarray, pen: np.ndarray, size: int = 1024) -> list[int]
     length, so the minimum is that of cost[j] + pos[j] over a window that slides: a monotone queue
     keeps it. A window whose length is a power of two has no padding; those few are looked up.
     """
-    p, penalty = pos.tolist(), pen.tolist()
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
-    cost, back = [0] * len(p), [0] * len(p)
-    at = {p[0]: 0}
-    queue: deque[int] = deque([0])
-    for i in range(1, len(p)):
+    p, penalty, n = pos.tolist(), pen.tolist(), len(pos)
+    # (place, earlier place) whose distance is a power of two, by place.
+    exact = []
+    for w in (1 << k for k in range(size.bit_length()) if 1 << k < size):
+        k = np.searchsorted(pos, pos - w)
+        i = np.flatnonzero(pos[k] == pos - w)
+        exact.append(np.stack([i, k[i]], axis=1))
+    exact = np.concatenate(exact)
+    exact = exact[np.argsort(exact[:, 0], kind="stable")]
+    upto = np.searchsorted(exact[:, 0], np.arange(n + 1)).tolist()
+    earlier = exact[:, 1].tolist()
+    cost, back = [0] * n, [0] * n
+    queue, values, head = [0], [p[0]], 0
+    for i in range(1, n):
         x = p[i]
-        while p[queue[0]] < x - size:
-            queue.popleft()
-        j = queue[0]
-        best = cost[j] + p[j] + size - x
-        for w in powers:
-            k = at.get(x - w)
-            if k is not None and cost[k] < best:
+        while p[queue[head]] < x - size:
+            head += 1
+        j = queue[head]
+        best = values[head] + size - x
+        for k in earlier[upto[i] : upto[i + 1]] if upto[i] < upto[i + 1] else ():
+            if cost[k] < best:
                 best, j = cost[k], k
-        cost[i], back[i] = best + penalty[i], j
-        at[x] = i
-        value = cost[i] + x
-        while queue and cost[queue[-1]] + p[queue[-1]] >= value:
+        cost[i] = best = best + penalty[i]
+        back[i] = j
+        value = best + x
+        while len(queue) > head and values[-1] >= value:
             queue.pop()
+            values.pop()
         queue.append(i)
+        values.append(value)
     cuts, i = [], len(p) - 1
     while i:
         cuts.append(i)
@@ -89,7 +96,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
             ids, ends, upto = _encoded(enc, texts, end_id)
             pos, pen = candidates(upto[1:], ends)
             cuts = pos[choose_cuts(pos, pen, size)]
-            bounds = np.unique(np.concatenate([cuts, upto]))
+            bounds = np.sort(np.concatenate([cuts, upto]))
+            bounds = bounds[np.concatenate([[True], bounds[1:] != bounds[:-1]])]
             begin, length = bounds[:-1], np.diff(bounds)
             doc = np.searchsorted(upto, begin, side="right") - 1
             window = np.searchsorted(cuts, begin, side="right") - 1

@@ -20,7 +20,7 @@ import numpy as np
 #: Code points below this are in the Latin blocks.
 LATIN_END = 0x250
 #: Pieces remembered by one worker; beyond that the table starts anew.
-TABLE_PIECES = 700_000
+TABLE_PIECES = 1_100_000
 #: Pieces that go to the library in one text.
 JOINED = 400
 
@@ -71,7 +71,7 @@ class Encoder:
         self.used = 0
 
     def _library(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.index) + len(pieces) > TABLE_PIECES:
@@ -87,29 +87,35 @@ class Encoder:
                 (joined if _SPACED.fullmatch(p) else bare if _PLAIN.fullmatch(p) else alone).append(p)
             groups = [(joined[i : i + JOINED], "", 1) for i in range(0, len(joined), JOINED)]
             groups += [(bare[i : i + JOINED], "\n", 2) for i in range(0, len(bare), JOINED)]
-        for (group, between, step), enc in zip(groups, self._library([b.join(g) for g, b, _ in groups]), strict=True):
-            ids, words = np.array(enc.ids, np.int32), np.array(enc.word_ids, np.int64)
+        for (group, _, step), enc in zip(groups, self.tokenizer.encode_batch([b.join(g) for g, b, _ in groups], add_special_tokens=False), strict=True):
+            words = np.fromiter(enc.word_ids, np.int64, len(enc))
             if len(words) and words[-1] == (len(group) - 1) * step:
-                at = np.searchsorted(words, np.arange(len(group)) * step)
-                to = np.searchsorted(words, np.arange(len(group)) * step, side="right")
-                for p, a, b in zip(group, at.tolist(), to.tolist(), strict=True):
-                    self._add(p, ids[a:b])
+                ids = np.fromiter(enc.ids, np.int32, len(enc))
+                if step == 2:  # without what stands between the pieces
+                    ids, words = ids[words % 2 == 0], words[words % 2 == 0]
+                self._add(group, ids, np.searchsorted(words, np.arange(len(group)) * step, side="right"))
             else:
                 alone += group
-        for p, enc in zip(alone, self._library(alone), strict=True):
-            self._add(p, np.array(enc.ids, np.int32))
-
-    def _add(self, piece: str, ids: np.ndarray) -> None:
+        if alone:
+            found = [e.ids for e in self._library(alone)]
+            self._add(alone, np.fromiter(itertools.chain.from_iterable(found), np.int32), np.cumsum([len(x) for x in found]))
+            first = len(self.index) - len(alone)
+            for k, p in enumerate(alone):
+                self.ends_sentence[first + k] = p[-1:] in (".", "!", "?") or "\n" in p
+
+    def _add(self, pieces: list[str], ids: np.ndarray, upto: np.ndarray) -> None:
+        """Pieces not in the table yet, their ids one after another, and where each one's end."""
         k, end = len(self.index), self.used + len(ids)
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
-        if k + 2 > len(self.starts):
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+        while k + len(pieces) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
             self.ends_sentence = np.concatenate([self.ends_sentence, np.zeros(len(self.ends_sentence), bool)])
         self.ids[self.used : end] = ids
-        self.starts[k], self.starts[k + 1] = self.used, end
-        self.ends_sentence[k] = piece[-1:] in (".", "!", "?") or "\n" in piece
-        self.index[piece], self.used = k, end
+        self.starts[k] = self.used
+        self.starts[k + 1 : k + 1 + len(pieces)] = self.used + upto
+        self.index.update(zip(pieces, range(k, k + len(pieces)), strict=True))
+        self.used = end
 
     def _usual(self, text: str) -> str | None:
         if _UNUSUAL.search(text) or any(s in text for s in self.special):

@@ -53,6 +53,34 @@ def binary(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def _rank_bucket(column: str) -> Column:
+    """A bucket, rising with the hash of a column, that tells hashes apart to one part in 64 at any size."""
+    u = F.shiftrightunsigned(F.xxhash64(column), 1)
+    bits = F.length(F.bin(u))
+    return bits * 64 + F.when(bits > 7, F.call_function("shiftright", u, bits - 7).bitwiseAND(63)).otherwise(F.lit(0)).cast("int")
+
+
+def bounded_sample(df: DataFrame, group: str, key: str, rows: int) -> DataFrame:
+    """The rows of each group with the least hashes of a key, so many at most (all ties of the first bucket, if it has more).
+
+    One count by group and bucket, then a filter: no group is gathered anywhere. Groups should be few,
+    as some hundred counts of each come to the driver.
+    """
+    bucket = _rank_bucket(key)
+    counts: dict = {}
+    for g, b, n in df.groupBy(group, bucket.alias("b")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(g, []).append((b, n))
+    keep = F.lit(False)
+    for g, found in counts.items():
+        last, total = None, 0
+        for b, n in sorted(found):
+            if last is not None and total + n > rows:
+                break
+            last, total = b, total + n
+        keep = keep | ((F.col(group) == F.lit(g)) & (bucket <= F.lit(last)))
+    return df.where(keep)
+
+
 def crc_mod4(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4

@@ -187,6 +187,8 @@ class BenchmarkIndex:
             for n in self.sizes:
                 at = self.seeded(n, shingle_hashes(hashes, n))
                 at = at[owner[at] == owner[at + n - 1]]
+                if not len(at):
+                    continue
                 docs, cuts = np.unique(owner[at], return_index=True)
                 for d, part in zip(docs.tolist(), np.split(at, cuts[1:]), strict=True):
                     found.setdefault(d, {})[n] = part - first[d]

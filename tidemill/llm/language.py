@@ -6,10 +6,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import binary, bounded_batches, crc_mod4, session, table
+from tidemill.llm.common import binary, bounded_batches, bounded_sample, crc_mod4, session, table
 
 #: Bytes of context of the deepest trees.
 ORDER = 3
@@ -114,12 +114,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     bounded_batches(session(docs))
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and doc_id is not null")
     known = known.where(crc_mod4("doc_id") != 2)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample_rows).select("doc_id")
-    spark = session(docs)
-    # The ids are bounded by the sample: some thousands for each language.
-    wanted = spark.createDataFrame([(r[0],) for r in chosen.collect()], "doc_id long")
-    rows = known.join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", binary("text"))
+    rows = bounded_sample(known, "lang", "doc_id", sample_rows).select("lang", binary("text"))
 
     def run(batches):
         for b in batches:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import binary, bounded_batches, crc_mod4, session, table
+from tidemill.llm.common import binary, bounded_batches, bounded_sample, crc_mod4, session, table
 
 #: A filter sees WIDTH bytes and moves on by STRIDE; a chunk is 2 * HALF filter places, and chunks overlap by half.
 WIDTH, STRIDE, HALF = 12, 4, 16
@@ -142,8 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     bounded_batches(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(crc_mod4("doc_id") != 2)
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= sample_rows).select("doc_id", "y")
+    chosen = bounded_sample(known, "y", "doc_id", sample_rows).select("doc_id", "y")
     # Both the sample's ids and its texts are bounded by sample_rows of each label.
     wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, y int")
     texts = docs.select(F.col(id_col).alias("doc_id"), binary(text_col).alias("text")).where(crc_mod4("doc_id") != 2)

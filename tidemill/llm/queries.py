@@ -14,6 +14,7 @@ from tidemill.llm.packing import pack
 from tidemill.llm.pages import extract_pages
 from tidemill.llm.pii import pii_digest
 from tidemill.llm.quality import quality_report
+from tidemill.llm.repeats import remove_repeats
 from tidemill.llm.shards import encode_corpus
 from tidemill.llm.simhash import simhash_components
 from tidemill.llm.tokens import public_path
@@ -31,6 +32,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_simhash, op2_token_shards, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination)}
+    named = {f.__name__: f for f in (op1_simhash, op2_token_shards, op3_repeats, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination)}
     return {**named, "pipeline": corpus_pipeline.run}
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.functions.scalar import EARTH_MILES
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def haversine_miles_udf(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Great-circle miles of whole Arrow batches; missing coordinates give null."""
     p, q = np.radians(lat1.astype(float)), np.radians(lat2.astype(float))
@@ -17,12 +18,12 @@ def haversine_miles_udf(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2:
     return 2 * EARTH_MILES * np.arcsin(np.sqrt(half.clip(0.0, 1.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def schedule_speed_udf(distance: pd.Series, minutes: pd.Series) -> pd.Series:
     m = minutes.astype(float)
     return (distance.astype(float) / (m / 60.0)).where(m > 0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypot_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.hypot(a.astype(float), b.astype(float)))

@@ -39,7 +39,7 @@ BLOCK = 1 << 17
 #: Text bytes of a group of documents, about; and of what the first step takes before it writes.
 GROUP_BYTES, FLUSH_BYTES = 12 << 20, 6 << 20
 #: Strings of 50 bytes sorted at once.
-STRINGS = 1 << 17
+STRINGS = 1 << 16
 _PLACE = (1 << 18) - 1
 
 
@@ -154,6 +154,15 @@ def _repeated(t: pa.Table) -> pa.Table:
     return _rows([(k, _five(np.unique(h[s]) << np.uint64(24))) for k, s in _splits(g.astype(np.int64))])
 
 
+def _spread(out: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, to: np.ndarray) -> None:
+    """Copies runs of a byte array (starts, sizes) to places of another, some thousand runs at a time."""
+    for a in range(0, len(starts), 1 << 13):
+        s, n, t = starts[a : a + (1 << 13)], sizes[a : a + (1 << 13)], to[a : a + (1 << 13)]
+        ends = np.cumsum(n)
+        step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        out[step + np.repeat(t, n)] = text[step + np.repeat(s, n)]
+
+
 class Contexts:
     """Texts around anchors: hash, place of the anchor in the context, length, document, group, row in
     the group, place in the document; and the bytes, one context after another."""
@@ -174,9 +183,9 @@ class Contexts:
     def take(self, rows: np.ndarray) -> Contexts:
         p = {k: v[rows] for k, v in self.p.items()}
         size = p["size"].astype(np.int64)
-        ends = np.cumsum(size)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[rows] - (ends - size), size)
-        return Contexts(p, self.text[where])
+        text = np.zeros(int(size.sum()), np.uint8)
+        _spread(text, self.text, self.starts[rows], size, np.cumsum(size) - size)
+        return Contexts(p, text)
 
     def pack(self) -> bytes:
         raw = b"".join([np.uint32(len(self)).tobytes(), *(self.p[k].astype(t).tobytes() for k, t in self.FIELDS), self.text.tobytes()])
@@ -197,9 +206,7 @@ class Contexts:
         rows = np.zeros((len(self), 16 + wide), np.uint8)
         rows[:, :8] = self.p["h"].astype(">u8").view(np.uint8).reshape(-1, 8)
         rows[:, 8:16] = (self.p["left"].astype(np.uint64) << np.uint64(32) | self.p["size"].astype(np.uint64)).astype(">u8").view(np.uint8).reshape(-1, 8)
-        size = self.p["size"].astype(np.int64)
-        line = np.repeat(np.arange(len(self)), size)
-        rows[line, 16 + np.arange(len(line)) - np.repeat(self.starts, size)] = self.text
+        _spread(rows.reshape(-1), self.text, self.starts, self.p["size"].astype(np.int64), 16 + np.arange(len(self)) * rows.shape[1])
         return deep_shallow(as_words(rows))
 
     def least(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words compared by the multikey quicksort before blind tries take over.
-SHALLOW = 3
+SHALLOW = 4
 
 
 def as_words(rows: np.ndarray) -> np.ndarray:
@@ -120,24 +120,47 @@ def _deep(words: np.ndarray, order: np.ndarray, head: np.ndarray, begin: np.ndar
     seg = np.repeat(np.arange(len(begin)), length)
     at = np.arange(len(seg)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin, length)
     rows = order[at]
-    differs = (words[rows, stop:] != words[order[begin]][seg, stop:]).any(axis=1)
-    mixed = np.flatnonzero(np.bincount(seg, differs, minlength=len(begin)) > 0)
+    tail = words[:, stop:]
+    differs = (tail[rows] != tail[order[begin]][seg]).any(axis=1)
+    odd = np.flatnonzero(differs)
+    if not len(odd):
+        return
+    # The first row of each group that differs from the group's first; most groups have no third string,
+    # and the trie of two is a single branch, which is found for all of them at once.
+    lead = odd[np.concatenate([[True], seg[odd][1:] != seg[odd][:-1]])]
+    second = np.full(len(begin), -1)
+    second[seg[lead]] = rows[lead]
+    third = np.zeros(len(begin), bool)
+    third[seg[odd[(tail[rows[odd]] != tail[second[seg[odd]]]).any(axis=1)]]] = True
+    two = (second >= 0) & ~third
+    if two.any():
+        one, other = tail[order[begin[two]]], tail[second[two]]
+        branch = (one != other).argmax(axis=1)
+        line = np.arange(len(branch))
+        rises = np.zeros(len(begin), bool)
+        rises[two] = one[line, branch] < other[line, branch]
+        mine = np.flatnonzero(two[seg])
+        late = differs[mine] == rises[seg[mine]]
+        order[at[mine]] = rows[mine][np.argsort(seg[mine] * 2 + late, kind="stable")]
+        head[begin[two] + np.bincount(seg[mine], ~late, minlength=len(begin)).astype(np.int64)[two]] = True
+    mixed = np.flatnonzero(third)
     first = np.cumsum(length) - length
+    wide = 8 * tail.shape[1]
     for k in mixed.tolist():
         a, b = int(first[k]), int(first[k] + length[k])
         own, off = rows[a:b], differs[a:b]
-        odd = own[off]
-        strings = [words[r, stop:].astype(">u8").tobytes() for r in (own[0], *odd)]
+        odd_rows = own[off].tolist()
+        data = tail[[own[0], *odd_rows]].astype(">u8").tobytes()
+        same: dict[bytes, list[int]] = {data[:wide]: own[~off].tolist()}
+        for j, r in enumerate(odd_rows, 1):
+            same.setdefault(data[j * wide : (j + 1) * wide], []).append(r)
+        strings = list(same)
         trie = BlindTrie(strings)
         for j in range(1, len(strings)):
             trie.add(j)
-        members: dict[int, list[int]] = {j: [] for j in range(len(strings)) if j not in trie.same}
-        members[0] = own[~off].tolist()
-        for j, r in enumerate(odd.tolist(), 1):
-            members[trie.same.get(j, j)].append(r)
         place = int(begin[k])
         for j in trie.ordered():
-            order[place : place + len(members[j])] = members[j]
+            members = same[strings[j]]
+            order[place : place + len(members)] = members
             head[place] = True
-            head[place + 1 : place + len(members[j])] = False
-            place += len(members[j])
+            place += len(members)

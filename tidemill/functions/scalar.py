@@ -84,11 +84,15 @@ def mapped(c: Column | str, table: dict[str, float], default: float) -> Column:
     return F.coalesce(F.try_element_at(literal, _col(c).cast("string")), F.lit(float(default)))
 
 
-def hash_bucket(key: Column | str, buckets: int = 100) -> Column:
+def hash_bucket(key: Column | str, buckets: int = 100, salt: int = 0) -> Column:
     """A bucket from an integer key by arithmetic alone: the same on any partitioning and in any SQL engine.
 
-    The key is reduced before it is multiplied, so that no key overflows.
+    The key is reduced before it is multiplied, so that no key overflows. Another salt gives buckets
+    that don't go with those of the first, for a choice within a choice.
     """
-    modulus = 1 << 32
-    reduced = F.pmod(_col(key).cast("long"), F.lit(1 << 31).cast("long"))
-    return F.pmod(reduced * F.lit(2654435761).cast("long"), F.lit(modulus).cast("long")) % buckets
+    n = lambda v: F.lit(v).cast("long")
+    h = F.pmod(F.pmod(_col(key).cast("long"), n(1 << 31)) * n(2654435761), n(1 << 32))
+    if salt:
+        mixed = (h % n(1 << 16)) * n(40503) + F.floor(h / n(1 << 16)).cast("long") + n(7919 * salt)
+        h = F.floor(F.pmod(mixed * n(2246822519), n(1 << 32)) / n(64)).cast("long")
+    return h % buckets

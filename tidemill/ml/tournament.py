@@ -73,7 +73,9 @@ def run_arm(spec: ModelSpec, use_pca: bool, train: DataFrame, tune: DataFrame, t
     primary = next(iter(scores.values()))
     grid = spec.param_maps(est)
     try:
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=primary, numFolds=s.folds, parallelism=s.parallelism, foldCol="__fold")
+        # The decomposition behind PCA keeps state between calls and fails when several run at once on one driver.
+        parallelism = 1 if use_pca else s.parallelism
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=primary, numFolds=s.folds, parallelism=parallelism, foldCol="__fold")
         fitted = cv.fit(with_folds(tune, s.key, s.folds, "__fold"))
         at = best_index(fitted.avgMetrics, primary.isLargerBetter())
         best = {p.name: v for p, v in grid[at].items()}

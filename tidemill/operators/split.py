@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemill.functions.scalar import hash_bucket
 
@@ -15,9 +14,9 @@ def train_test_split(df: DataFrame, key: str, train_percent: int = 80) -> tuple[
 
 
 def with_folds(df: DataFrame, key: str, folds: int, column: str = "fold") -> DataFrame:
-    """A fold number for each row, independent of the split (other digits of the hash)."""
-    return df.withColumn(column, F.floor(hash_bucket(key, 10_000) / 100).cast("int") % folds)
+    """A fold number for each row, independent of the split and of the sample."""
+    return df.withColumn(column, hash_bucket(key, folds, salt=1).cast("int"))
 
 
 def hash_sample(df: DataFrame, key: str, per_mille: int) -> DataFrame:
-    return df.where(hash_bucket(key, 1000) < per_mille)
+    return df.where(hash_bucket(key, 1000, salt=2) < per_mille)

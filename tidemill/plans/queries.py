@@ -437,12 +437,16 @@ def train_test_split(spark, sf):
     return train.select("event_id", F.lit("train").alias("part")).unionByName(test.select("event_id", F.lit("test").alias("part")))
 
 
-@query(f"SELECT event_id, CAST(({_BUCKET} % 10000 // 100) % 5 AS INTEGER) AS fold FROM events")
+def _salted(salt: int) -> str:
+    return f"(((({_BUCKET} % 65536) * 40503 + {_BUCKET} // 65536 + {7919 * salt}) * 2246822519 % 4294967296) // 64)"
+
+
+@query(f"SELECT event_id, CAST({_salted(1)} % 5 AS INTEGER) AS fold FROM events")
 def kfold_assign(spark, sf):
     return split.with_folds(ev(spark, sf), "event_id", 5).select("event_id", "fold")
 
 
-@query(f"SELECT event_id FROM events WHERE {_BUCKET} % 1000 < 20")
+@query(f"SELECT event_id FROM events WHERE {_salted(2)} % 1000 < 20")
 def bernoulli_sample(spark, sf):
     return split.hash_sample(ev(spark, sf), "event_id", 20).select("event_id")
 
@@ -728,3 +732,32 @@ def registry_lookup(spark, sf):
         t.set_alias("demo", "staging", version)
     loaded = t.load("demo", "production", "staging")
     return loaded.transform(d).agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("n"), r6(F.max("clipped"), "most"))
+
+
+@query()
+def full_chain(spark, sf):
+    """The default feature chain over a curated table of full shape, fitted and measured."""
+    from tidemill.plans.training import chain_metrics
+
+    return chain_metrics(spark, sf)
+
+
+@query()
+def tournament(spark, sf):
+    """A linear model on both arms, cross-validated; one row for each arm."""
+    import tempfile
+
+    from pyspark.ml.regression import LinearRegression
+
+    from tidemill.ml.specs import ModelSpec
+    from tidemill.ml.tournament import Settings, run_tournament
+    from tidemill.ml.tracking import Tracker
+    from tidemill.plans.training import flights
+
+    tracker = Tracker(spark, tempfile.mkdtemp(prefix="tidemill-tournament-"))
+    spec = ModelSpec("linear_regression", "regression", "label_delay", lambda: LinearRegression(maxIter=20), (("regParam", (0.01, 0.1)),))
+    out = run_tournament(flights(spark, sf), [spec], tracker, Settings("row_id", folds=2, pca_k=10, tune_per_mille=100))
+    if out.failures:
+        raise RuntimeError(str(out.failures))
+    rows = [(n, r["task"], r["metrics"]["rmse"], r["metrics"]["r2"]) for n, r in sorted(out.results.items())]
+    return spark.createDataFrame(rows, "arm string, task string, rmse double, r2 double")

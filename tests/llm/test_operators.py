@@ -143,6 +143,19 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
     assert got == want and len(set(want.values())) < len(ids)
 
 
+@pytest.mark.parametrize("run", [6, 25, 1000])
+def test_near_duplicates_in_hot_keys(spark, run):
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    family, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    rows = {k: [*family[: k % 100], word(), *family[k % 100 :]] for k in range(80)}  # near copies of one text
+    rows |= {100 + k: [*passage, *(word() for _ in range(60))] for k in range(60)}  # one passage, else nothing in common
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id long, text string")
+    links = neardup.candidate_links(neardup.keys_of(df, 5, "doc_id", "text").persist(), run=run)
+    got = {x["node"]: x["component"] for x in components.components(neardup.verified(links, df, 5, 0.8, "doc_id", "text")).collect()}
+    assert got == {k: 0 for k in range(80)}
+
+
 def test_near_duplicates_odd_rows(odd):
     kept = sorted(r[0] for r in neardup.drop_near(odd).select("doc_id").collect())
     assert kept == [1, 3, 4, 5, 6, 8, 10, 11, 12, 13, 14]

@@ -35,7 +35,8 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ended = F.octet_length("t") <= stop
         run = F.substring("t", start + 1, stop - start)
         cand = alive.select("doc_id", "g", run.alias("run"), ended.alias("ended"))
-        split = cand.groupBy("g", "run", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where("n > 1")
+        # Cut off, so that the join has a shuffle of its own on either side, which may be split where a group is hot.
+        split = cut(cand.groupBy("g", "run", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where("n > 1"))
         kept = cut(
             cand.alias("c")
             .join(split.alias("s"), (F.col("c.g") == F.col("s.g")) & (F.col("c.run") == F.col("s.run")) & (F.col("c.ended") == F.col("s.ended")))

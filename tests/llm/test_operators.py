@@ -189,6 +189,19 @@ def test_exact_dedup_long_common_starts(spark):
     check_op5(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), rows)
 
 
+def test_repeated_rows(spark, odd):
+    rows = [(5, "alpha beta"), (5, "alpha beta"), (5, "other"), (6, "alpha beta"), (7, "other"), (7, "other"), (8, "lone"), (8, "lone two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_dedup(df).collect())
+    assert got == [(5, 6, 3, False), (5, 6, 3, False), (5, 7, 3, False), (6, 6, 3, True), (7, 7, 3, True), (7, 7, 3, True), (8, 8, 1, True), (8, 8, 1, True)]
+    assert sorted(tuple(r) for r in exact.drop_exact(df).collect()) == sorted(rows[3:])
+    sizes = sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in shards.encode_corpus(df, public_path("word_bpe_49k.json")).collect())
+    assert sizes == sorted((i, len(x), crc(x)) for i, t in rows for x in [library("word_bpe_49k.json", t, 2)])
+    assert simhash.simhash_components(df).count() == len(rows) and repeats.remove_repeats(df).count() == len(rows)
+    assert sum(r["length"] for r in packing.pack(df, public_path("byte_bpe_50k.json")).collect()) == sum(len(library("byte_bpe_50k.json", t, 0)) for _, t in rows)
+    assert neardup.drop_near(df).count() == 5 and pii.pii_digest(df).count() == len(rows)
+
+
 def test_exact_dedup_null_ids(spark):
     df = spark.createDataFrame([(None, "t"), (None, "t"), (1, "t")], "doc_id long, text string")
     got = exact.exact_dedup(df).collect()
@@ -255,6 +268,8 @@ def test_shard_bears_wide_ids_and_rejects_other_files():
         shards.Shard(b"x" * 100)
     with pytest.raises(ValueError):
         shards.PerfectHash.build(np.array([1, 1], np.uint64))
+    s = shards.Shard(shards.pack_shard(np.array([3, 3, 9]), np.array([1, 2, 1]), np.array([7, 8, 8, 9])))
+    assert s.get(3).tolist() == [7] and s.get(9).tolist() == [9] and [x.tolist() for x in s.rows()] == [[0, 1, 3], [1, 2, 1]]
 
 
 def padding(n):

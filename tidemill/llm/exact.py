@@ -13,7 +13,7 @@ FACTOR = 8
 
 
 def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Classes of equal texts with more than one row: (doc_id, keep_id, group_size).
+    """Classes of equal texts with more than one row: (doc_id, h, keep_id, group_size), h being the hash of the text.
 
     Documents are split by successive bytes, most significant first. A round takes the next run of
     bytes of every document still in a group, splits each group by them, and lets go of documents
@@ -22,32 +22,35 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each task) and one join back, which may be split where it is skewed. Runs grow by a factor, so
     that each byte is compared once and the number of rounds is the logarithm of the longest text.
 
-    Rows need distinct ids; a null text counts as empty; rows with a null id are never in a group.
-    An empty table gives no rows. Other columns are not read.
+    A null text counts as empty; rows with a null id are never in a group. Rows that repeat an id and
+    a text count each in the size of their group, which has one row for them. An empty table gives no
+    rows. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), binary(text_col).alias("t")).where(F.col("doc_id").isNotNull())
-    empty = texts.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).limit(0)
+    # A row's handle between rounds: its id and, for rows that repeat an id, a hash. Groups come from bytes alone.
+    texts = texts.withColumn("h", F.xxhash64("t"))
+    empty = texts.select("doc_id", "h", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).limit(0)
     found = [empty]
-    alive = texts.withColumn("g", F.lit(0).cast("long"))
     start, stop = FIRST_CUTS[0], FIRST_CUTS[1]
     later = list(FIRST_CUTS[2:])
+    on = None
     while True:
-        ended = F.octet_length("t") <= stop
-        run = F.substring("t", start + 1, stop - start)
-        cand = alive.select("doc_id", "g", run.alias("run"), ended.alias("ended"))
+        # Only the run's own bytes are dealt out, and only those of documents still in a group are kept.
+        runs = texts.where(F.octet_length("t") > start) if start else texts
+        runs = runs.select("doc_id", "h", F.substring("t", start + 1, stop - start).alias("run"), (F.octet_length("t") <= stop).alias("ended"))
+        cand = cut(runs.withColumn("g", F.lit(0).cast("long")) if on is None else runs.join(on, ["doc_id", "h"]))
         # Cut off, so that the join has a shuffle of its own on either side, which may be split where a group is hot.
         split = cut(cand.groupBy("g", "run", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where("n > 1"))
         kept = cut(
             cand.alias("c")
             .join(split.alias("s"), (F.col("c.g") == F.col("s.g")) & (F.col("c.run") == F.col("s.run")) & (F.col("c.ended") == F.col("s.ended")))
-            .select("c.doc_id", F.col("s.top").alias("g"), "c.ended", "n")
+            .select("c.doc_id", "c.h", F.col("s.top").alias("g"), "c.ended", "n")
+            .distinct()
         )
-        found.append(kept.where("ended").select("doc_id", F.col("g").alias("keep_id"), F.col("n").alias("group_size")))
-        on = kept.where("not ended").select("doc_id", "g")
+        found.append(kept.where("ended").select("doc_id", "h", F.col("g").alias("keep_id"), F.col("n").alias("group_size")))
+        on = kept.where("not ended").select("doc_id", "h", "g")
         if on.isEmpty():
             break
-        # Bytes compared so far are the same in a group, so only those after them go on.
-        alive = texts.where(F.octet_length("t") > stop).join(on, "doc_id").select("doc_id", "t", "g")
         start, stop = stop, later.pop(0) if later else stop * FACTOR
     out = found[0]
     for part in found[1:]:
@@ -59,11 +62,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. The digest is output only; it decides nothing.
-    Null text: empty. Null id: the row stands for itself (keep_id null, kept).
+    Null text: empty. Null id: the row stands for itself (keep_id null, kept). Rows that repeat an id
+    and a text all stay or all go.
     """
     groups = radix_groups(docs, id_col, text_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.sha2(binary(text_col), 256).alias("text_sha256"))
-    return base.join(groups, "doc_id", "left").select(
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(binary(text_col)).alias("h"), F.sha2(binary(text_col), 256).alias("text_sha256"))
+    return base.join(groups, ["doc_id", "h"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -74,7 +78,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that equal one of a larger id; all columns stay."""
-    gone = radix_groups(docs, id_col, text_col).where("doc_id <> keep_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-
-
+    gone = radix_groups(docs, id_col, text_col).where("doc_id <> keep_id").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h"))
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(binary(text_col)) == gone["__h"]), "left_anti")

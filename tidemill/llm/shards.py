@@ -90,10 +90,23 @@ def key_fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 1000) >> np.uint64(32)).astype(np.uint32)
 
 
+def index_keys(keys: np.ndarray) -> np.ndarray:
+    """The keys as the index has them: the first row of a key by itself, each further one by a key made from its number."""
+    unsigned = np.asarray(keys, np.int64).view(np.uint64).copy()
+    order = np.argsort(unsigned, kind="stable")
+    same = unsigned[order]
+    first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(same) else np.zeros(0, np.int64)
+    number = np.zeros(len(keys), np.int64)
+    number[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.concatenate([first, [len(keys)]])).astype(np.int64))
+    for k in np.flatnonzero(number).tolist():
+        unsigned[k] = _mix(unsigned[k : k + 1], 2000 + int(number[k]))[0]
+    return unsigned
+
+
 def pack_shard(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, first_row: int = 0) -> bytes:
-    """A shard of documents in the given order; keys are distinct signed longs."""
+    """A shard of documents in the given order; keys are signed longs."""
     wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
-    unsigned = keys.astype(np.int64).view(np.uint64)
+    unsigned = index_keys(keys)
     mph = PerfectHash.build(unsigned)
     slot = mph.slots(unsigned)
     stored, place, length, order = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u4")
@@ -123,7 +136,13 @@ class Shard:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and length of each key in the payload; length -1 for keys whose fingerprint isn't stored."""
-        unsigned = np.asarray(keys, np.int64).view(np.uint64)
+        return self._find(np.asarray(keys, np.int64).view(np.uint64))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Place and length of every document in the order of the shard, rows that repeat a key included."""
+        return self._find(index_keys(self.keys))
+
+    def _find(self, unsigned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = self.hash.slots(unsigned)
         ok = slot >= 0
         ok[ok] = self.stored[slot[ok]] == key_fingerprints(unsigned[ok])
@@ -182,14 +201,14 @@ def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
 
 def write_shards(docs: DataFrame, path: str, kind: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every document and writes shard files in ascending id order; one row per shard.
 
-    Ids must be distinct and not null: rows of a null id have no key and are left out of the files.
-    Null text: only the end id. A shard file appears whole or not at all, and a task that runs again
+    Rows of a null id have no key and are left out of the files. Rows that repeat an id are all in the
+    files, by text; a look-up of the id finds the first. Null text: only the end id. A shard file appears whole or not at all, and a task that runs again
     writes the same bytes to the same name.
     """
     folder = folder or fresh_folder(session(docs), "shards")
@@ -224,7 +243,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = Shard(get_file(uri))
-                place, length = shard.find(shard.keys)
+                place, length = shard.rows()
                 crc = [ids_crc(shard.payload[p : p + n]) for p, n in zip(place.tolist(), length.tolist(), strict=True)]
                 yield table({"doc_id": shard.keys, "start": base + place, "n_tokens": length, "ids_crc32": crc}, _READ)
 

@@ -329,3 +329,31 @@ def test_default_chain_over_a_table_of_full_shape(spark):
     raw = model.stages[:-3]
     assert sum(n.startswith("te_") for n in names) == 3 and "dep_delay_clip" in names and len(raw) > 5
     assert chain_metrics(spark, SF).first()["r2"] > 0.9
+
+
+def test_held_out_events_are_the_same_each_time(spark):
+    df = synthetic(spark)
+    contract = ServingContract.of(df.select("DISTANCE", "ORIGIN_AIRPORT", "label"), ["label"])
+    a = scoring.held_out_events(df, "id", contract, 7)
+    assert len(a) == 7 and a == scoring.held_out_events(df.repartition(5), "id", contract, 7) and set(a[0]) == {"DISTANCE", "ORIGIN_AIRPORT"}
+
+
+def test_scans_read_only_what_they_need(spark):
+    from tests.conftest import SF
+    from tidemill.plans.queries import QUERIES
+
+    plan = lambda n: QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan("project_subset")
+    assert plan("curation_funnel").count("FileScan parquet") == 1 and plan("target_encode_fit").count("FileScan parquet") == 1
+    assert "l_extendedprice" not in plan("dim_enrich") and "CartesianProduct" not in plan("dim_enrich")
+    assert "Python" not in plan("derive_features") and "ArrowEvalPython" in plan("haversine_udf")
+
+
+def test_store(spark, tmp_path):
+    from tidemill.sources.store import exists, put_text, work_folder
+
+    path = f"file://{tmp_path}/a/b.json"
+    assert not exists(spark, path)
+    put_text(spark, path, '{"é": 1}')
+    assert exists(spark, path) and (tmp_path / "a/b.json").read_text() == '{"é": 1}'
+    assert work_folder(spark, "x") != work_folder(spark, "x")

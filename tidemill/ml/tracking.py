@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.sources.sinks import put_json
+from tidemill.sources.store import exists, put_text
 
 RUN_DDL = "run_id string, name string, task string, status string, started double, seconds double, params map<string,string>, metrics map<string,double>, tags map<string,string>"
 VERSION_DDL = "model string, version int, run_name string, uri string, created double, tags map<string,string>"
@@ -27,19 +27,20 @@ def latest_finished(runs: DataFrame) -> DataFrame:
 
 @dataclass
 class Tracker:
-    """A folder of runs, versions and aliases. Each entry is a file of its own, put in place whole."""
+    """A folder of runs, versions and aliases in any store. Each entry is a file of its own, put in place whole."""
 
     spark: SparkSession
     root: str
 
     def _put(self, kind: str, row: dict) -> None:
-        put_json(f"{self.root}/{kind}/{row.get('set_at', row.get('created', row.get('started'))):.6f}-{uuid.uuid4().hex}.json", row)
+        at = row.get("set_at", row.get("created", row.get("started")))
+        put_text(self.spark, f"{self.root}/{kind}/{at:.6f}-{uuid.uuid4().hex}.json", json.dumps(row, sort_keys=True))
 
     def _read(self, kind: str, ddl: str) -> DataFrame:
-        folder = Path(self.root) / kind
-        if not folder.exists():
+        folder = f"{self.root}/{kind}"
+        if not exists(self.spark, folder):
             return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).option("multiLine", True).json(str(folder))
+        return self.spark.read.schema(ddl).option("multiLine", True).json(folder)
 
     def log_run(self, name: str, task: str, metrics: dict[str, float], params: dict | None = None, status: str = "FINISHED", started: float | None = None, tags: dict | None = None) -> str:
         began = time.time() if started is None else started
@@ -50,7 +51,7 @@ class Tracker:
 
     def log_artifact(self, run_id: str, name: str, value: object) -> str:
         path = f"{self.root}/artifacts/{run_id}/{name}"
-        put_json(path, value)
+        put_text(self.spark, path, json.dumps(value))
         return path
 
     def runs(self) -> DataFrame:

@@ -66,3 +66,13 @@ def top_k(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:
 def running_share(df: DataFrame, order: str, value: str) -> DataFrame:
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("cumulative", F.sum(value).over(w))
+
+
+def fingerprint(df: DataFrame, digits: int = 6) -> DataFrame:
+    """The sum of each numeric column, rounded: the same for the same rows in any order."""
+    return df.agg(*(F.round(F.sum(c), digits).alias(c) for c in df.columns))
+
+
+def missing_keys(df: DataFrame, within: DataFrame, key: str) -> DataFrame:
+    """One row: how many distinct keys of a table are not in another. Zero: a subset."""
+    return df.select(key).distinct().join(within.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("missing"))

@@ -605,6 +605,25 @@ def tournament_winner(spark, sf):
     return _finished(spark).where("task = 'regression'").agg(F.min_by("name", "rmse").alias("name"), F.min("rmse").alias("rmse"))
 
 
+@query("SELECT round(sum(l_quantity), 4) AS l_quantity, round(sum(l_discount), 4) AS l_discount, round(sum(l_tax), 4) AS l_tax FROM lineitem")
+def fingerprint(spark, sf):
+    return metrics.fingerprint(read(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax"), 4)
+
+
+@query("SELECT 'orders' AS part, count(*) AS missing FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'lines', count(*) FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))")
+def subset_check(spark, sf):
+    lines, orders = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")), read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    one = metrics.missing_keys(lines, orders, "k").select(F.lit("orders").alias("part"), "missing")
+    return one.unionByName(metrics.missing_keys(orders, lines, "k").select(F.lit("lines").alias("part"), "missing"))
+
+
+@query()
+def code_map(spark, sf):
+    """The whole inference over the drifting feed: votes, errors and refits."""
+    coords = geo(spark, sf).select(F.col("place").alias("iata"), "lat", "lon")
+    return codemap.code_map(drift(spark, sf), coords, "month", ["o_custkey", "distance"], "origin", "dest", "distance")
+
+
 # --- models, streaming, registry: no SQL gives these -------------------------------------------------
 
 
@@ -697,12 +716,11 @@ def gbt_classifier_fit(spark, sf):
 @query()
 def stream_score(spark, sf):
     """Events written as JSON, scored as a stream, one file a batch, and read back."""
-    import tempfile
-
     from tidemill.plans.contract import ServingContract
+    from tidemill.sources.store import work_folder
     from tidemill.streaming.score import drain, start_scoring
 
-    work = tempfile.mkdtemp(prefix="tidemill-stream-") if spark.conf.get("spark.checkpoint.dir", None) is None else spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/stream-score"
+    work = work_folder(spark, "stream")
     d = _training(spark, sf).drop("severe")
     model = Pipeline(stages=[*_small_chain("delay", False), _linear()]).fit(d)
     d.drop("delay").coalesce(2).write.mode("overwrite").json(f"{work}/in")
@@ -720,11 +738,10 @@ def _linear():
 @query()
 def registry_lookup(spark, sf):
     """A model registered twice; the alias names the second version."""
-    import tempfile
-
     from tidemill.ml.tracking import Tracker
+    from tidemill.sources.store import work_folder
 
-    t = Tracker(spark, tempfile.mkdtemp(prefix="tidemill-registry-"))
+    t = Tracker(spark, work_folder(spark, "registry"))
     d = ev(spark, sf).select("event_id", "value", "delay")
     model = Pipeline(stages=[stages.IQRClip(inputCols=["value"], outputCols=["clipped"])]).fit(d)
     for run in ("a__pca", "b__nopca"):
@@ -745,16 +762,15 @@ def full_chain(spark, sf):
 @query()
 def tournament(spark, sf):
     """A linear model on both arms, cross-validated; one row for each arm."""
-    import tempfile
-
     from pyspark.ml.regression import LinearRegression
 
     from tidemill.ml.specs import ModelSpec
     from tidemill.ml.tournament import Settings, run_tournament
     from tidemill.ml.tracking import Tracker
     from tidemill.plans.training import flights
+    from tidemill.sources.store import work_folder
 
-    tracker = Tracker(spark, tempfile.mkdtemp(prefix="tidemill-tournament-"))
+    tracker = Tracker(spark, work_folder(spark, "tournament"))
     spec = ModelSpec("linear_regression", "regression", "label_delay", lambda: LinearRegression(maxIter=20), (("regParam", (0.01, 0.1)),))
     out = run_tournament(flights(spark, sf), [spec], tracker, Settings("row_id", folds=2, pca_k=10, tune_per_mille=100))
     if out.failures:

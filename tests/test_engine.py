@@ -357,3 +357,23 @@ def test_store(spark, tmp_path):
     put_text(spark, path, '{"é": 1}')
     assert exists(spark, path) and (tmp_path / "a/b.json").read_text() == '{"é": 1}'
     assert work_folder(spark, "x") != work_folder(spark, "x")
+
+
+@pytest.mark.parametrize("n", [2, 3, 700])
+def test_auc_equals_pair_counting(spark, n):
+    from tidemill.operators import metrics
+
+    rows = [(int(k * 7919 % 13 < 5) if k > 1 else k, float(k * 31 % 97)) for k in range(n)] + [(1, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    pos, neg = ([s for y, s in rows if y == v and s is not None] for v in (1, 0))
+    want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert metrics.auc(df, "y", "s").first()[0] == pytest.approx(want)
+    assert metrics.auc(df.limit(0), "y", "s").first()[0] is None
+
+
+def test_residual_percentiles_near_exact(spark):
+    from tidemill.operators import metrics
+
+    df = spark.range(20_001).select((F.col("id") / 1000).alias("r"))
+    a, b = (metrics.residual_summary(df, F.col("r"), acc).first() for acc in (None, 10_000))
+    assert a["n"] == b["n"] and all(abs(a[c] - b[c]) < 0.01 for c in ("p00_5", "p01", "p99", "p99_5"))

@@ -16,9 +16,9 @@ from tidemill.llm.tokens import encoder
 #: Text bytes that one run of the dynamic programme covers; a run's last window is the only one it must close.
 RUN_BYTES = 4 << 20
 #: Penalties in ids: a cut within a document at the end of a sentence, and a cut inside a sentence.
-SENTENCE, INSIDE = 1, 24
+SENTENCE, INSIDE = 1, 6
 #: Windows start and end at candidate cuts; a sentence longer than this has candidates inside it, too.
-LONGEST_GAP = 256
+LONGEST_GAP = 32
 
 
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -59,11 +59,9 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.word = kind == "word"
         self.cut = _WORD_CUT if self.word else _BYTE_CUT
-        self.era = 0
         self._clear()
 
     def _clear(self) -> None:
-        self.era += 1
         self.index = _Index()
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
@@ -74,8 +72,6 @@ class Encoder:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.index) + len(pieces) > TABLE_PIECES:
-            self._clear()
         joined, alone = [], []
         if self.word:
             for p in pieces:
@@ -122,26 +118,36 @@ class Encoder:
             return None
         return unicodedata.normalize("NFC", text).lower() if self.word else text
 
+    def _looked_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of pieces, how many each has, and whether it ends a sentence. More distinct pieces than the table holds go in halves."""
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        if (missing := np.flatnonzero(at < 0)).size:
+            new = sorted({pieces[i] for i in missing.tolist()})
+            if len(self.index) + len(new) > TABLE_PIECES:  # the table starts anew
+                new = sorted(set(pieces))
+                if len(new) > TABLE_PIECES and len(pieces) > 1:
+                    half = len(pieces) // 2
+                    parts = self._looked_up(pieces[:half]), self._looked_up(pieces[half:])
+                    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+                self._clear()
+                missing = np.arange(len(pieces))
+            self._learn(new)
+            at[missing] = [self.index[pieces[i]] for i in missing.tolist()]
+        begin, length = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(length)
+        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - length), length)]
+        return ids, length, self.ends_sentence[at]
+
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts, whether a sentence ends with each, and where each text begins (one more: the end)."""
         plain = [self._usual(t) for t in texts]
         cuts = [[] if p is None else self.cut.findall(p) for p in plain]
         pieces = list(itertools.chain.from_iterable(cuts))
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        if (missing := np.flatnonzero(at < 0)).size:
-            era = self.era
-            self._learn(sorted({pieces[i] for i in missing.tolist()}))
-            if self.era != era:  # the table started anew
-                self._learn(sorted({p for p in pieces if self.index[p] < 0}))
-                at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-            else:
-                at[missing] = [self.index[pieces[i]] for i in missing.tolist()]
-        begin, length = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ids, length, closes = self._looked_up(pieces)
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(begin - (ends - length), length)]
         sentence = np.zeros(total, bool)
-        last = ends[self.ends_sentence[at] & (length > 0)] - 1
+        last = ends[closes & (length > 0)] - 1
         sentence[last] = True
         upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cuts)])]
         if all(p is not None for p in plain):

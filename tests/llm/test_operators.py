@@ -151,8 +151,7 @@ def test_near_duplicates_in_hot_keys(spark, run):
     rows = {k: [*family[: k % 100], word(), *family[k % 100 :]] for k in range(80)}  # near copies of one text
     rows |= {100 + k: [*passage, *(word() for _ in range(60))] for k in range(60)}  # one passage, else nothing in common
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id long, text string")
-    links = neardup.candidate_links(neardup.keys_of(df, 5, "doc_id", "text").persist(), run=run)
-    got = {x["node"]: x["component"] for x in components.components(neardup.verified(links, df, 5, 0.8, "doc_id", "text")).collect()}
+    got = {x["node"]: x["component"] for x in neardup.near_components(df, run=run, key_run=2 * run).collect()}
     assert got == {k: 0 for k in range(80)}
 
 
@@ -194,7 +193,7 @@ def test_repeated_rows(spark, odd):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_dedup(df).collect())
     assert got == [(5, 6, 3, False), (5, 6, 3, False), (5, 7, 3, False), (6, 6, 3, True), (7, 7, 3, True), (7, 7, 3, True), (8, 8, 1, True), (8, 8, 1, True)]
-    assert sorted(tuple(r) for r in exact.drop_exact(df).collect()) == sorted(rows[3:])
+    assert sorted(tuple(r) for r in exact.drop_exact(df).collect()) == sorted([rows[3], rows[4], *rows[6:]])
     sizes = sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in shards.encode_corpus(df, public_path("word_bpe_49k.json")).collect())
     assert sizes == sorted((i, len(x), crc(x)) for i, t in rows for x in [library("word_bpe_49k.json", t, 2)])
     assert simhash.simhash_components(df).count() == len(rows) and repeats.remove_repeats(df).count() == len(rows)
@@ -203,9 +202,21 @@ def test_repeated_rows(spark, odd):
 
 
 def test_exact_dedup_null_ids(spark):
-    df = spark.createDataFrame([(None, "t"), (None, "t"), (1, "t")], "doc_id long, text string")
-    got = exact.exact_dedup(df).collect()
-    assert len(got) == 3 and all(r["kept"] and r["group_size"] == 1 for r in got)
+    df = spark.createDataFrame([(None, "t"), (None, "t"), (1, "t"), (None, "u"), (None, "u")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact.exact_dedup(df).collect())
+    assert got == [(0, 0, 2, True)] * 2 + [(0, 1, 3, False)] * 2 + [(1, 1, 3, True)]
+    assert sorted((r[0] or 0, r[1]) for r in exact.drop_exact(df).collect()) == [(0, "u"), (1, "t")]
+
+
+def test_exact_dedup_keeps_distinct_texts_whose_groups_share_a_head(spark):
+    x, y = "x" * 24, "y" * 24
+    rows = [(7, x + "aaa"), (5, x + "same"), (7, y + "bbb"), (4, y + "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, exact.drop_exact(df).collect())) == sorted(rows)
+    pairs = [(7, x + "1"), (3, x + "1"), (7, y + "1"), (2, y + "1"), (7, x + "1" * 400), (7, x + "1" * 400), (1, x + "1" * 400)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert sorted(r["group_size"] for r in exact.exact_dedup(df).collect()) == [2, 2, 2, 2, 3, 3, 3]
+    assert sorted(map(tuple, exact.drop_exact(df).collect())) == sorted([(7, x + "1"), (7, y + "1"), (7, x + "1" * 400)])
 
 
 # --- op2, op7 ----------------------------------------------------------------------------------------------
@@ -607,13 +618,39 @@ def test_decontamination_takes_the_benchmark_in_blocks(spark, monkeypatch):
     assert got == [(k, k) for k in range(7)]
 
 
+def test_no_item_is_lost_between_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    items = [(1, "a1 a2 a3 a4 a5 a6"), (2, "b1 b2 b3 b4 b5 b6"), (2, "c1 c2 c3 c4 c5 c6"), (None, "d1 d2 d3 d4 d5 d6"), (None, "e1 e2 e3 e4 e5 e6"), (None, "f1 f2 f3 f4 f5 f6")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(items)], "doc_id long, text string")
+    for size in (1 << 20, 20):  # bytes of a block; the second is less than two items have
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = sorted((r["doc_id"], r["item_id"] or 0) for r in decontam.contamination(df, bench).collect())
+        assert got == [(k, i or 0) for k, (i, _) in enumerate(items)]
+        assert decontam.drop_contaminated(df, bench).count() == 0
+
+
 def test_blocks_find_all_within_the_radius():
-    a, b = simhash.reference(200, 4), simhash.reference(300, 5)
-    b[:50] = a[:50] ^ np.uint64(0x0101010101010101)
-    for radius in (8, 24):
-        q, f = decontam.HammingBlocks(a, radius).pairs(b)
-        want = {(i, j) for i in range(300) for j in range(200) if int(b[i] ^ a[j]).bit_count() <= radius}
+    a, b = simhash.reference(800, 4).reshape(-1, 4), simhash.reference(1200, 5).reshape(-1, 4)
+    r = np.random.default_rng(1)
+    for k in range(150):  # 40 to 90 bits away
+        flips = np.zeros(256, np.uint8)
+        flips[r.choice(256, 40 + k // 3, replace=False)] = 1
+        b[k] = a[k] ^ np.packbits(flips).view(np.uint64)
+    for radius in (20, 73):
+        blocks = decontam.HammingBlocks(a, radius)
+        q, f = blocks.pairs(b)
+        want = {(i, j) for i in range(300) for j in range(200) if int(np.bitwise_count(b[i] ^ a[j]).sum()) <= radius}
         assert set(zip(q.tolist(), f.tolist(), strict=True)) == want
+    assert len(blocks.candidates(b[150:])[0]) < 0.12 * 150 * 200  # of unrelated pairs
+
+
+def test_few_shingles_with_all_the_weight(spark):
+    item = " ".join(["to be or not"] * 12)
+    docs = [(k, " ".join(["to be or not"] * 11) + f" x{k} be or not") for k in range(40)]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    want = [d for d, t in docs if plain_matches(t, [(1, item)])]
+    assert sorted(r["doc_id"] for r in got.collect()) == want and len(want) == 40
 
 
 # --- op6 -------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; whole texts of that many rows are in a Python worker at once.
 BATCH_ROWS = 512
+#: Bytes of one Arrow batch; a single text may be longer.
+BATCH_BYTES = 16 << 20
+#: Tables of keys up to this many bytes, as counted, are broadcast; longer ones are joined by a shuffle.
+KEY_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -21,12 +25,21 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Holds Arrow batches to a number of rows that a worker with long texts can bear."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Holds Arrow batches to a number of rows, and of bytes, that a worker with long texts can bear.
+
+    Plans read the settings when they run, so they stay; smaller ones that a caller has set are left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= rows:
+        spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, str(-1)):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local
+    one, but only if the executors are on this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -34,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemill-"))
     return sc.getCheckpointDir()
 
@@ -48,6 +63,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def restrict(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join with a cut table of short keys, which is sent to all executors only if its counted size allows it."""
+    small = keys.count() * ROW_BYTES <= KEY_BYTES
+    return df.join(F.broadcast(keys) if small else keys, on, how)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that a run has made in the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def binary(column: str) -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
@@ -81,6 +108,20 @@ def bounded_sample(df: DataFrame, group: str, key: str, rows: int) -> DataFrame:
     return df.where(keep)
 
 
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of which keep says so, by their texts (null: empty). One pass: each row is judged by itself, whatever
+    its id, nothing is shuffled, and all columns stay."""
+    bounded_batches(session(docs))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_mod4(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4

@@ -9,16 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import binary, bounded_batches, session, table
+from tidemill.llm.common import binary, bounded_batches, filtered, session, table
 
 WORDS, LEAST = 5, 0.8
-#: Fingerprints of two windows at the least similarity differ in about ten of 64 bits, give or take
-#: three; the radius is some five deviations beyond.
-RADIUS = 24
-#: The bits fall into blocks; of two fingerprints within the radius one block differs by at most RADIUS // BLOCKS.
-BLOCKS = 8
-#: Benchmark items taken in one pass over the documents: what is sent to the executors has this bound.
-BLOCK_ITEMS = 4096
+#: Bits of a fingerprint. Two windows at the least similarity differ in 39 of 256, give or take six (short ones in 48);
+#: the radius is four to six deviations beyond. Unrelated windows differ in 128, give or take eight.
+WIDE, RADIUS = 256, 73
+#: The bits fall into blocks of eight, and a block is near if it differs by so many bits at most. A pair with fewer near
+#: blocks than WIDE // 8 - RADIUS // (NEAR + 1) differs by more than the radius.
+NEAR = 2
+#: Items of fewer shingles than this, counted by weight, are verified wherever a window shares a shingle with them.
+EVEN = 8
+#: Benchmark items taken in one pass over the documents, and bytes of them (one item may be longer): the bound of what
+#: comes to the driver and goes to the executors.
+BLOCK_ITEMS, BLOCK_BYTES = 4096, 16 << 20
 #: Text bytes whose words are hashed at once.
 BYTES_AT_ONCE = 1 << 20
 
@@ -71,13 +75,17 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+_SALTS = _mix(np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * _ODD)
+
+
 def window_fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each run of so many shingles, each weighing as often as it occurs."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(hashes) + 1, 64), np.int32)
+    """SimHash of each run of so many shingles, each weighing as often as it occurs: rows of 64-bit words."""
+    wide = _mix(hashes[:, None] ^ _SALTS[None, :])
+    bits = np.unpackbits(wide.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    sums = np.zeros((len(hashes) + 1, WIDE), np.int32)
     np.cumsum(bits, axis=0, out=sums[1:])
     ones = sums[size:] - sums[:-size]
-    return np.packbits(ones * 2 > size, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(ones * 2 > size, axis=1, bitorder="little").view(np.uint64)
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -88,23 +96,36 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 
 class HammingBlocks:
-    """Which fingerprints can lie within the radius of a given one: those near it on some block."""
+    """Fingerprints by block and by the values near theirs on it: those that share enough near blocks with a query are
+    its candidates, and none within the radius is missing."""
 
-    def __init__(self, fps: np.ndarray, radius: int = RADIUS):
-        self.fps, self.radius = fps, radius
+    def __init__(self, fps: np.ndarray, radius: int = RADIUS, always: np.ndarray | None = None):
+        self.fps, self.radius = fps.reshape(-1, WIDE // 64), radius
+        self.always = np.zeros(len(self.fps), bool) if always is None else always
+        self.least = max(1, WIDE // 8 - radius // (NEAR + 1))
         values = np.arange(256, dtype=np.uint8)
-        bytes_of = fps.view(np.uint8).reshape(-1, 8)
-        # near[block, value]: a bit for each fingerprint within radius // BLOCKS of that value on that block.
-        self.near = np.stack([np.packbits(np.bitwise_count(values[:, None] ^ bytes_of[:, k][None, :]) <= radius // BLOCKS, axis=1) for k in range(BLOCKS)])
+        bytes_of = self.fps.view(np.uint8).reshape(len(self.fps), -1)
+        # near[block, value]: a bit for each fingerprint within NEAR bits of that value on that block.
+        self.near = np.stack([np.packbits(np.bitwise_count(values[:, None] ^ bytes_of[:, k][None, :]) <= NEAR, axis=1) for k in range(WIDE // 8)])
+
+    def candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, fingerprint) pairs with enough near blocks."""
+        at = queries.view(np.uint8).reshape(len(queries), -1)
+        found = []
+        for a in range(0, len(queries), step := max(1, (1 << 20) // max(1, len(self.fps)))):
+            part = at[a : a + step]
+            count = np.zeros((len(part), len(self.fps)), np.uint8)
+            for k in range(WIDE // 8):
+                count += np.unpackbits(self.near[k, part[:, k]], axis=1, count=len(self.fps))
+            q, f = np.nonzero((count >= self.least) | self.always)
+            found.append((q + a, f))
+        return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(2))
 
     def pairs(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, fingerprint) pairs within the radius, as two index arrays."""
-        at = queries.view(np.uint8).reshape(-1, 8)
-        mask = np.zeros((len(queries), self.near.shape[2]), np.uint8)
-        for k in range(BLOCKS):
-            mask |= self.near[k, at[:, k]]
-        q, f = np.nonzero(np.unpackbits(mask, axis=1, count=len(self.fps)))
-        ok = np.bitwise_count(queries[q] ^ self.fps[f]) <= self.radius
+        """All (query, fingerprint) pairs within the radius, and all with a fingerprint that is always a candidate."""
+        queries = queries.reshape(-1, WIDE // 64)
+        q, f = self.candidates(queries)
+        ok = (np.bitwise_count(queries[q] ^ self.fps[f]).sum(axis=1) <= self.radius) | self.always[f]
         return q[ok], f[ok]
 
 
@@ -115,10 +136,11 @@ def _grams(words: list[bytes], n: int) -> list[bytes]:
 class BenchmarkIndex:
     """Items by length in words, with their fingerprints, shingles and seeds."""
 
-    def __init__(self, items: list[tuple[int, bytes]], words: int = WORDS, radius: int = RADIUS, least: float = LEAST):
+    def __init__(self, items: list[tuple[int | None, bytes]], words: int = WORDS, radius: int = RADIUS, least: float = LEAST):
         hasher, self.least = _Hasher(), least
+        self.items = [key for key, _ in items]
         groups: dict[int, list[tuple[int, np.ndarray, Counter]]] = {}
-        for key, text in items:
+        for key, (_, text) in enumerate(items):
             split = text.lower().split()
             if split:
                 n = min(words, len(split))
@@ -128,8 +150,10 @@ class BenchmarkIndex:
         for length in sorted(groups):
             rows, n = groups[length], min(words, length)
             size = length - n + 1
-            fps = np.array([window_fingerprints(r[1], size)[0] for r in rows], np.uint64)
-            self.groups.append((length, n, size, [r[0] for r in rows], [r[2] for r in rows], HammingBlocks(fps, radius), np.unique(np.concatenate([r[1] for r in rows]))))
+            fps = np.concatenate([window_fingerprints(r[1], size)[:1] for r in rows])
+            # Where a few shingles carry nearly all the weight, one more can turn a quarter of the bits: no radius holds.
+            heavy = np.array([size >= 9 and size**2 < EVEN * sum(w * w for w in r[2].values()) for r in rows])
+            self.groups.append((length, n, size, [r[0] for r in rows], [r[2] for r in rows], HammingBlocks(fps, radius, heavy), np.unique(np.concatenate([r[1] for r in rows]))))
         self.sizes = sorted({g[1] for g in self.groups})
         self.seeds = {n: np.unique(np.concatenate([g[6] for g in self.groups if g[1] == n])) for n in self.sizes}
         self.filters = {}
@@ -144,7 +168,7 @@ class BenchmarkIndex:
         s = self.seeds[n]
         return at[s[np.minimum(np.searchsorted(s, hashes[at]), len(s) - 1)] == hashes[at]]
 
-    def matches(self, text: bytes, word_hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
+    def matches(self, text: bytes, word_hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: dict[int, np.ndarray]) -> list[tuple[int | None, int, int, float]]:
         """(item, first word, words, similarity) of the best window for each item at or over the least similarity."""
         best: dict[int, tuple[float, int, int]] = {}
         for length, n, size, keys, grams, blocks, own in self.groups:
@@ -167,7 +191,7 @@ class BenchmarkIndex:
                         value = weighted_similarity(Counter(_grams(words, n)), grams[i])
                         if value >= self.least and value > best.get(keys[i], (0.0,))[0]:
                             best[keys[i]] = (value, at, length)
-        return [(k, at, length, value) for k, (value, at, length) in sorted(best.items())]
+        return [(self.items[k], at, length, value) for k, (value, at, length) in sorted(best.items())]
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int, float]]]:
         """Matches of each text. Words of several texts are hashed in one buffer."""
@@ -203,16 +227,24 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word"
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark in blocks of BLOCK_ITEMS, by item id."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), binary(text_col).alias("text")).where("item_id is not null")
+    """The distinct (item id, text) of the benchmark in blocks of bounded size, by id (null last) and text."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), binary(text_col).alias("text")).distinct()
+    items = items.select(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "text").alias("item"))
     last = None
     while True:
-        part = (items if last is None else items.where(F.col("item_id") > last)).orderBy("item_id").limit(BLOCK_ITEMS).collect()
-        if part:
-            yield [(r[0], bytes(r[1])) for r in part]
-        if len(part) < BLOCK_ITEMS:
+        rest = items
+        if last is not None:
+            none, key, text = last
+            after = F.struct(F.lit(none).alias("none"), F.lit(key).cast("long").alias("item_id"), F.lit(text).alias("text"))
+            rest = items.where(F.col("item") > after)
+        rest = rest.orderBy("item")
+        sizes = [r[0] for r in rest.limit(BLOCK_ITEMS).select(F.octet_length("item.text")).collect()]
+        if not sizes:
             return
-        last = part[-1][0]
+        n = max(1, int(np.searchsorted(np.cumsum(sizes), BLOCK_BYTES, side="right")))
+        part = [r[0] for r in rest.limit(n).collect()]
+        yield [(r["item_id"], bytes(r["text"])) for r in part]
+        last = (part[-1]["none"], part[-1]["item_id"], part[-1]["text"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,8 +254,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, lea
     multisets of 5-word shingles (items of fewer words: all their words as one). Fingerprints of the
     windows that share a shingle with an item go through the Hamming blocks; pairs within the radius
     are verified exactly, and the best window (the first, on a tie) is returned if its similarity is
-    0.8 or more. Item ids should be distinct; null ids and items without words match nothing.
-    Null text: empty. Empty tables give no rows. The benchmark is taken in blocks of bounded size.
+    0.8 or more. Each text of an item id that occurs with several is an item of its own, and so is one
+    without an id (item_id null in the result); items without words match nothing. Documents that
+    repeat an id have rows each for itself. Null text: empty. Empty tables give no rows. The benchmark
+    is taken in blocks of bounded size.
     """
     spark: SparkSession = session(docs)
     bounded_batches(spark)
@@ -248,6 +282,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, lea
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The documents that hold no benchmark item; all columns stay."""
-    gone = contamination(docs, benchmark, words, least).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents that hold no benchmark item (see contamination), each row judged by its own text; all columns stay."""
+    for block in _blocks(benchmark, "item_id", "text"):
+        sent = session(docs).sparkContext.broadcast(BenchmarkIndex(block, words, RADIUS, least))
+        docs = filtered(docs, "text", lambda texts, sent=sent: [not m for m in sent.value.scan(texts)])
+    return docs

@@ -5,78 +5,103 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import binary, cut
+from tidemill.llm.common import binary, cut, restrict
 
 #: Byte offsets between which the rounds compare; later rounds go on from the last by this factor.
-FIRST_CUTS = (0, 24, 256)
+CUTS = (0, 24, 256, 2048)
 FACTOR = 8
+#: From this round on, documents still in a group carry the rest of their text along, and the corpus isn't read again.
+CARRY = 2
+#: What a row is known by between rounds: its id, whether that is null, and, for rows that repeat an id, a hash.
+_ROW = ["i", "z", "h"]
+#: The same beside the columns of a table that has others.
+_OWN = ["__i", "__z", "__h"]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    t = binary(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("i"), F.col(id_col).isNull().alias("z"), F.xxhash64(t).alias("h"), t.alias("t"))
 
 
 def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Classes of equal texts with more than one row: (doc_id, h, keep_id, group_size), h being the hash of the text.
+    """Classes of equal texts with more than one row: (i, z, h, keep_id, group_size, same), one row for each id and text.
+
+    i is the id (0 if null), z whether it is null, h a hash of the text, same the number of rows with that id and text.
 
     Documents are split by successive bytes, most significant first. A round takes the next run of
     bytes of every document still in a group, splits each group by them, and lets go of documents
-    that are alone. A group whose texts end within the run holds equal texts: no digest decides.
-    A round costs one aggregation (counted before its shuffle, so that a hot group is one row for
-    each task) and one join back, which may be split where it is skewed. Runs grow by a factor, so
-    that each byte is compared once and the number of rounds is the logarithm of the longest text.
-
-    A null text counts as empty; rows with a null id are never in a group. Rows that repeat an id and
-    a text count each in the size of their group, which has one row for them. An empty table gives no
-    rows. Other columns are not read.
+    that are alone. A group whose texts end within the run holds equal texts: no digest decides, and
+    each group has a number of its own. A round costs one aggregation (counted before its shuffle, so
+    that a hot group is one row for each task) and one join back, which may be split where it is
+    skewed. Runs grow by a factor, so that each byte is compared once and the number of rounds is the
+    logarithm of the longest text. After the first rounds, few documents but copies are left; they
+    take the rest of their text along.
+
+    A null text counts as empty, a null id as the smallest. An empty table gives no rows. Other columns
+    are not read.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), binary(text_col).alias("t")).where(F.col("doc_id").isNotNull())
-    # A row's handle between rounds: its id and, for rows that repeat an id, a hash. Groups come from bytes alone.
-    texts = texts.withColumn("h", F.xxhash64("t"))
-    empty = texts.select("doc_id", "h", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).limit(0)
-    found = [empty]
-    start, stop = FIRST_CUTS[0], FIRST_CUTS[1]
-    later = list(FIRST_CUTS[2:])
-    on = None
+    rows = _rows(docs, id_col, text_col).withColumn("at", F.lit(0))
+    found, start, stop, number, on = [], CUTS[0], CUTS[1], 0, None
     while True:
-        # Only the run's own bytes are dealt out, and only those of documents still in a group are kept.
-        runs = texts.where(F.octet_length("t") > start) if start else texts
-        runs = runs.select("doc_id", "h", F.substring("t", start + 1, stop - start).alias("run"), (F.octet_length("t") <= stop).alias("ended"))
-        cand = cut(runs.withColumn("g", F.lit(0).cast("long")) if on is None else runs.join(on, ["doc_id", "h"]))
+        here = F.lit(start) - F.col("at")
+        runs = rows if on is None else restrict(rows.where(F.octet_length("t") > here), on, _ROW, "inner")
+        if on is None:
+            runs = runs.withColumn("g", F.lit(0).cast("long"))
+        if number == CARRY:
+            rows = cut(runs.withColumns({"t": F.substring("t", start + 1, 1 << 30), "at": F.lit(start)}).drop("g"))
+            runs, here = restrict(rows, on, _ROW, "inner"), F.lit(0)
+        run = F.substring("t", here + 1, F.lit(stop - start))
+        cand = cut(runs.select("doc_id", *_ROW, "g", run.alias("run"), (F.octet_length("t") <= here + (stop - start)).alias("ended")))
         # Cut off, so that the join has a shuffle of its own on either side, which may be split where a group is hot.
-        split = cut(cand.groupBy("g", "run", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where("n > 1"))
-        kept = cut(
-            cand.alias("c")
-            .join(split.alias("s"), (F.col("c.g") == F.col("s.g")) & (F.col("c.run") == F.col("s.run")) & (F.col("c.ended") == F.col("s.ended")))
-            .select("c.doc_id", "c.h", F.col("s.top").alias("g"), "c.ended", "n")
-            .distinct()
-        )
-        found.append(kept.where("ended").select("doc_id", "h", F.col("g").alias("keep_id"), F.col("n").alias("group_size")))
-        on = kept.where("not ended").select("doc_id", "h", "g")
+        split = cand.groupBy("g", "run", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where("n > 1")
+        split = cut(split.withColumn("number", F.monotonically_increasing_id()))
+        kept = cand.join(split, ["g", "run", "ended"]).groupBy(*_ROW, "number", "ended", "n", "top").agg(F.count("*").alias("same"))
+        kept = cut(kept)
+        found.append(kept.where("ended").select(*_ROW, F.col("top").alias("keep_id"), F.col("n").alias("group_size"), "same"))
+        on = cut(kept.where("not ended").select(*_ROW, F.col("number").alias("g")))
         if on.isEmpty():
             break
-        start, stop = stop, later.pop(0) if later else stop * FACTOR
+        number += 1
+        start, stop = stop, CUTS[number + 1] if number + 1 < len(CUTS) else stop * FACTOR
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out
+    return cut(out)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. The digest is output only; it decides nothing.
-    Null text: empty. Null id: the row stands for itself (keep_id null, kept). Rows that repeat an id
-    and a text all stay or all go.
+    Null text: empty. Null id: smaller than any other; texts without any id have a null keep_id. Rows
+    that repeat an id and a text each count in the size of their group, and have the same answer.
     """
     groups = radix_groups(docs, id_col, text_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(binary(text_col)).alias("h"), F.sha2(binary(text_col), 256).alias("text_sha256"))
-    return base.join(groups, ["doc_id", "h"], "left").select(
+    base = _rows(docs, id_col, text_col).select("doc_id", *_ROW, F.sha2("t", 256).alias("text_sha256"))
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return restrict(base, groups, _ROW, "left").select(
         "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.coalesce("keep_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
+        keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that equal one of a larger id; all columns stay."""
-    gone = radix_groups(docs, id_col, text_col).where("doc_id <> keep_id").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h"))
-    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(binary(text_col)) == gone["__h"]), "left_anti")
+    """One document of each class of equal texts, that with the largest id (null: smallest); all columns stay.
+
+    Of rows that repeat an id and a text any one stays, whatever their other columns hold.
+    """
+    groups = radix_groups(docs, id_col, text_col).withColumnsRenamed(dict(zip(_ROW, _OWN, strict=True)))
+    i, z, _ = _OWN
+    row = zip(_OWN, (F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.col(id_col).isNull(), F.xxhash64(binary(text_col))), strict=True)
+    named = docs.withColumns(dict(row))
+    top = F.when(F.col(z), F.col("keep_id").isNull()).otherwise(F.col("keep_id") == F.col(i))
+    rest = restrict(named, cut(groups.where(~top).select(*_OWN)), _OWN, "left_anti")
+    twins = cut(groups.where(top & (F.col("same") > 1)).select(*_OWN))
+    if not twins.isEmpty():
+        once = restrict(rest, twins, _OWN, "left_semi").dropDuplicates(_OWN)
+        rest = restrict(rest, twins, _OWN, "left_anti").unionByName(once)
+    return rest.select(*docs.columns)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import binary, bounded_batches, bounded_sample, crc_mod4, session, table
+from tidemill.llm.common import binary, bounded_batches, bounded_sample, crc_mod4, filtered, session, table
 
 #: A filter sees WIDTH bytes and moves on by STRIDE; a chunk is 2 * HALF filter places, and chunks overlap by half.
 WIDTH, STRIDE, HALF = 12, 4, 16
@@ -15,6 +15,8 @@ CHUNK = 2 * HALF * STRIDE
 EMBED, FILTERS, HIDDEN = 4, 32, 24
 #: Learned from this many labelled rows of each label at most, those with the least hash of the id.
 SAMPLE_ROWS = 600
+#: Labelled texts longer than this aren't learned from (they are scored whole), so what the driver holds is bounded.
+SAMPLE_BYTES = 1 << 16
 EPOCHS, RATE, SEED = 10, 4e-3, 7
 #: Filter places taken at once, so that memory does not follow a text's length.
 BLOCK_CHUNKS = 4096
@@ -137,7 +139,11 @@ class ByteConvNet:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteConvNet:
-    """Fits the network to a bounded sample of labelled rows that aren't held out, whole texts."""
+    """Fits the network to a bounded sample of labelled rows that aren't held out, whole texts.
+
+    Of each label sample_rows ids at most, and of these the texts of up to SAMPLE_BYTES bytes. Rows that repeat
+    an id are all learned from, up to as many rows again.
+    """
     spark = session(docs)
     bounded_batches(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
@@ -146,7 +152,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     # Both the sample's ids and its texts are bounded by sample_rows of each label.
     wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, y int")
     texts = docs.select(F.col(id_col).alias("doc_id"), binary(text_col).alias("text")).where(crc_mod4("doc_id") != 2)
-    rows = sorted(tuple(r) for r in texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text").collect())
+    found = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text")
+    rows = sorted(tuple(r) for r in found.limit(4 * sample_rows).collect())
     return ByteConvNet().fit([bytes(r[2]) for r in rows], [r[1] for r in rows])
 
 
@@ -175,6 +182,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents whose score is at least the given one; all columns stay."""
-    gone = score(docs, learn(docs, labels, sample_rows)).where(F.col("score") < least).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents whose score is at least the given one, each row judged by its own text; all columns stay.
+
+    Null text: empty. Rows that repeat an id, or have none, are judged like any other. Empty tables give no rows.
+    """
+    sent = session(docs).sparkContext.broadcast(learn(docs, labels, sample_rows))
+    return filtered(docs, "text", lambda texts: [sent.value.probability(t) >= least for t in texts])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
+from tidemill.llm import pipeline
 from tidemill.llm.decontam import contamination
 from tidemill.llm.exact import exact_dedup
 from tidemill.llm.language import language_report
@@ -66,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {f.__name__: f for f in (op1_simhash, op2_token_shards, op3_repeats, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination)}
-    return {**named, "pipeline": corpus_pipeline.run}
+    return {**named, "pipeline": pipeline.run}
 
 
 _OP5 = """
@@ -77,4 +77,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op5_exact_dedup": _OP5} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import binary, bounded_batches, cut, session, table
-from tidemill.llm.components import components
+from tidemill.llm.components import Sets, components
 
 BITS = 64
 SEED = 42
@@ -101,23 +101,6 @@ def _mixed(columns: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Sets:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _survivors(x: np.ndarray, y: np.ndarray, radius: int, refs: np.ndarray) -> np.ndarray:
     """Which pairs (x[i], y[i]) pass the table (largest coordinate difference) and then the distance itself."""
     ok = np.abs(distance_table(x, refs) - distance_table(y, refs)).max(axis=1) <= radius
@@ -174,7 +157,7 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
             yield from links_of_run(x[begin[k] : begin[k] + length[k]], radius, refs)
 
     def linked(batches):
-        sets, held = _Sets(), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        sets, held = Sets(), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for b in (*batches, None):
             if b is None:
                 key, fp, last = *held, True

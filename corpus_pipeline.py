@@ -1,58 +1,5 @@
-"""The corpus pipeline: quality, exact dedup, near dedup, decontamination, packing."""
+"""The corpus pipeline's stages and run(); they live in the training-data subpackage."""
 
-from __future__ import annotations
+from tidemill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tidemill.llm.common import fresh_folder
-from tidemill.llm.decontam import drop_contaminated
-from tidemill.llm.exact import drop_exact
-from tidemill.llm.neardup import drop_near
-from tidemill.llm.packing import pack
-from tidemill.llm.quality import keep_good
-from tidemill.llm.tokens import public_path
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte network rejects (probability under a half) go."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    return drop_exact(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, similarity 0.8 or more) the one with the least id stays."""
-    return drop_near(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 1024 ids."""
-    return pack(docs, public_path("byte_bpe_50k.json"))
-
-
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("pack", packed)]
-
-#: The quality network can't be expressed in SQL; the tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        folder = fresh_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

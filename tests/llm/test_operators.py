@@ -458,6 +458,12 @@ def test_language_held_out_accuracy(docs, odd):
     assert language.language_report(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["²²", "Ⅷ", "123 ½", "٣ ①", " ?!\n"])
+def test_signs_are_no_letters(text):
+    trees = language.ByteTrees({x: (np.array([65], np.uint32), np.array([1])) for x in ("de", "fr")})
+    assert trees.predict(text.encode()) == ("und", 0.0) and trees.predict((text + "é").encode())[0] != "und"
+
+
 def test_predictions_ignore_other_columns(docs):
     trees = language.learn(docs)
     a = {r[0]: r[1] for r in language.identify(docs, trees).select("doc_id", "lang_pred").collect()}
@@ -688,6 +694,12 @@ def test_lcs(seed):
         ("<p hidden>h</p><div style='display: none'>n</div>", ""),
         ("<!-- never closed <p>x", ""),
         ("<article class='advert'>no</article><p>yes", "yes"),
+        ("<body class='overflow-hidden'><article class='overflow-hidden'><p>x</p></article>", "x"),
+        ("<article><p>see <a href='/hidden-gems'>these gems</a> and <a class='share'>that</a> now</p></article>", "see these gems and that now"),
+        ("<article><p class='lead share-price'>Up</p><div class='ad-hoc'>b</div><section class='social-history' aria-label='Related work'><p>c</p></section></article>", "Up\nb\nc"),
+        ("<article><header><h1>Title</h1><p>By me</p></header><p>t</p></article>", "Title\nt"),
+        ("<header><h1>Site</h1></header><div class='site-header'>h</div><p>t</p><div class='comment-list'><p>c</p></div>", "t"),
+        ("<article><p>a <span hidden>no</span><button>go</button> b</p></article>", "a b"),
         ("<article class='post related-off'><p>a</p><article class='comment x'><p>c</p></article></article>", "a"),
     ],
 )
@@ -708,6 +720,20 @@ def test_pages_differ_from_their_neighbours(spark):
     assert pages.extract_pages(df.limit(0)).count() == 0
 
 
+def test_neighbours_decide_what_a_class_leaves_open(spark):
+    page = lambda k: f"<article><p>Own {k}</p><div class='share-price'>Price {k}</div><div class='related-work'>Read on</div></article>"
+    rows = [(k, f"http://h/a/{k}", page(k)) for k in range(4)] + [(9, "http://g/a", page(9))]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Own {k}\nPrice {k}" for k in range(4)} | {9: "Own 9\nPrice 9\nRead on"}
+
+
+def test_the_nearest_path_is_on_either_side(spark):
+    page = lambda own, side: f"<p>{side} top</p><p>{own}</p>"
+    rows = [(1, "http://h/a/z", page("one", "A")), (2, "http://h/b/a", page("two", "B")), (3, "http://h/b/b", page("three", "B"))]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "A top\none", 2: "two", 3: "three"}
+
+
 def test_pages_of_the_tables(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     import html

@@ -17,10 +17,16 @@ ORDER = 3
 SAMPLE_ROWS = 1200
 #: Bytes taken at once.
 BLOCK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters and some numbers besides; see has_letter.
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _START = b"\n" * ORDER
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; signs such as superscripts, fractions and Roman numerals aren't."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def grams(text: bytes) -> np.ndarray:
     """For each byte of a text, itself and the ORDER bytes before it as one number; line ends stand before the text."""
     x = np.frombuffer(_START + text, np.uint8).astype(np.uint32)
@@ -96,7 +102,7 @@ class ByteTrees:
 
     def predict(self, text: bytes) -> tuple[str, float]:
         """A language and its posterior probability; und (0.0) for texts without a letter."""
-        if not self.langs or not _LETTER.search(text.decode("utf-8", "ignore")):
+        if not self.langs or not has_letter(text.decode("utf-8", "ignore")):
             return "und", 0.0
         nats = self.code_lengths(text)
         best = int(np.argmin(nats))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -127,14 +129,21 @@ def find_pii(text: str) -> list[Span]:
     others need a checksum or context words that bring their score to LEAST, and may not overlap a base span."""
     digits = _DIGIT.search(text) is not None
     out: list[Span] = []
+    ends: list[int] | None = None
     for kind, (find, sign) in _FIND.items():
         if (kind != "email" and not digits) or sign not in text:
             continue
-        base = len(out) if KINDS.index(kind) < BASE else -1
+        base = KINDS.index(kind) < BASE
+        if not base and ends is None:  # the base spans by start, and the farthest end so far
+            starts = sorted((s.start, s.end) for s in out)
+            ends = list(accumulate((e for _, e in starts), max))
         for start, end in find(text):
             value = score(kind, text, start, end)
-            if base >= 0 or value >= LEAST and not any(s.kind in KINDS[:BASE] and s.start < end and start < s.end for s in out):
-                out.append(Span(kind, start, end, value))
+            if not base:
+                k = bisect_left(starts, (end,))  # base spans that start before this one ends
+                if value < LEAST or (k and ends[k - 1] > start):
+                    continue
+            out.append(Span(kind, start, end, value))
     return out
 
 
@@ -169,13 +178,19 @@ def masked(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def _scored(spans: Column) -> Column:
+    """kind:start:end:score of each span, the score with two digits."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), F.format_number(s["score"], 2))), ",")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans, and all spans as a string."""
+    """Counts of the base kinds, a digest of the base spans, all spans as a string, and the same with the scores that
+    context words have raised or lowered. Null text: none. Rows are kept as they are, repeated or of null id."""
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter(spans, lambda s: s["kind"].isin(*KINDS[:BASE]))
-    return pii_spans(docs).select("doc_id", *map(count, KINDS[:BASE]), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    return pii_spans(docs).select("doc_id", *map(count, KINDS[:BASE]), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"), _scored(spans).alias("scored_spans"))

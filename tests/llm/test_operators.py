@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import functools
 import hashlib
 import random
 import re
@@ -236,10 +237,15 @@ def test_encoder_equals_the_library(texts, name, kind, monkeypatch):
             assert ids[upto[k] : upto[k + 1]].tolist() == enc.tokenizer.encode(s, add_special_tokens=False).ids, repr(s[:40])
 
 
-def library(name, text, end):
+@functools.lru_cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_path(name)).encode(text, add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(public_path(name))
+
+
+def library(name, text, end):
+    return tokenizer(name).encode(text, add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -257,6 +263,36 @@ def test_shards_round_trip(odd):
     assert shards.encode_corpus(odd.limit(0), public_path("word_bpe_49k.json")).count() == 0
 
 
+def test_shards_of_the_whole_table(docs, texts):
+    path = public_path("word_bpe_49k.json")
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in shards.encode_corpus(docs, path).collect()}
+    at = 0
+    for i in sorted(texts):
+        ids = library("word_bpe_49k.json", texts[i], 2)
+        assert got[i] == (at, len(ids), crc(ids))
+        at += len(ids)
+    manifest = shards.write_shards(docs, path, "word", 2).persist()
+    found = {r["doc_id"]: r["ids"] for r in shards.get_many(manifest, [3, 150, 150, 10**9, -4]).collect()}
+    assert found == {i: library("word_bpe_49k.json", texts[i], 2) for i in (3, 150)}
+    assert shards.get_many(manifest, []).count() == 0
+
+
+def test_shards_hold_rows_without_an_id(spark, monkeypatch):
+    rows = [(None, "no id"), (None, "no id"), (4, "four"), (0, "zero"), (None, None), (4, "four again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1, 1 << 20):  # bytes of a shard
+        monkeypatch.setattr(shards, "SHARD_BYTES", size)
+        got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in shards.encode_corpus(df, public_path("word_bpe_49k.json")).collect())
+        at, want = 0, []
+        for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+            ids = library("word_bpe_49k.json", t or "", 2)
+            want.append((at, i, len(ids), crc(ids)))
+            at += len(ids)
+        assert got == want
+        manifest = shards.write_shards(df, public_path("word_bpe_49k.json"), "word", 2)
+        assert [(r["doc_id"], r["ids"]) for r in shards.get_many(manifest, [4, 7]).collect()] == [(4, library("word_bpe_49k.json", "four", 2))]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_perfect_hash_is_minimal_and_knows_strangers(n):
     keys = simhash.reference(n, 1).view(np.int64)

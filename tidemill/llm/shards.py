@@ -1,15 +1,17 @@
 """Token-id shards: raw id payloads with a minimal perfect hash index from document key to offset.
 
 A shard file holds, little-endian: the magic, a header (counts and section lengths), the levels of
-the hash, and for each slot the stored fingerprint, the key's place and length in the payload; then
-the ids, 16 or 32 bits wide. A key is looked up by hashing it level by level until its bit is set;
-the rank of that bit is its slot, and the stored fingerprint tells a key that was never put in.
+the hash, and for each slot the stored fingerprint, the key's place and length in the payload; the
+keys in the order of the documents; then the ids, 16 or 32 bits wide. A key is looked up by hashing
+it level by level until its bit is set; the rank of that bit is its slot, and the stored fingerprint
+tells a key that was never put in. The manifest has the keys each shard covers, so that a look-up in
+the whole corpus opens only the shards that can hold the key.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import bounded_batches, fresh_folder, ids_crc, session, table
 from tidemill.llm.tokens import encoder
 
-MAGIC = b"TMSHARD1"
+MAGIC = b"TMSHARD2"
 _HEAD = struct.Struct("<8sQQIIq")
 #: Bits of a level for each key that is still without a slot.
 GAMMA = 2
@@ -90,9 +92,15 @@ def key_fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 1000) >> np.uint64(32)).astype(np.uint32)
 
 
-def index_keys(keys: np.ndarray) -> np.ndarray:
-    """The keys as the index has them: the first row of a key by itself, each further one by a key made from its number."""
-    unsigned = np.asarray(keys, np.int64).view(np.uint64).copy()
+def index_keys(keys: np.ndarray, nameless: int = 0) -> np.ndarray:
+    """The keys as the index has them: the first row of a key by itself, each further one by a key made from its number.
+    The last so many rows have no key; theirs come from their number, too."""
+    named = np.asarray(keys, np.int64)[: len(keys) - nameless]
+    return np.concatenate([_numbered(named), _mix(np.arange(nameless, dtype=np.uint64), 3000)])
+
+
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    unsigned = keys.view(np.uint64).copy()
     order = np.argsort(unsigned, kind="stable")
     same = unsigned[order]
     first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(same) else np.zeros(0, np.int64)
@@ -103,35 +111,34 @@ def index_keys(keys: np.ndarray) -> np.ndarray:
     return unsigned
 
 
-def pack_shard(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, first_row: int = 0) -> bytes:
-    """A shard of documents in the given order; keys are signed longs."""
+def pack_shard(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nameless: int = 0) -> bytes:
+    """A shard of documents in the given order; keys are signed longs, and the last so many documents have none."""
     wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
-    unsigned = index_keys(keys)
+    unsigned = index_keys(keys, nameless)
     mph = PerfectHash.build(unsigned)
     slot = mph.slots(unsigned)
-    stored, place, length, order = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u4")
+    stored, place, length = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u8")
     stored[slot], place[slot], length[slot] = key_fingerprints(unsigned), np.cumsum(lengths) - lengths, lengths
-    order[:] = slot
     index = mph.pack()
-    head = _HEAD.pack(MAGIC, len(keys), len(ids), len(index), 4 if wide else 2, first_row)
-    return b"".join([head, index, stored.tobytes(), place.tobytes(), length.tobytes(), order.tobytes(), keys.astype("<i8").tobytes(), ids.astype("<u4" if wide else "<u2").tobytes()])
+    head = _HEAD.pack(MAGIC, len(keys), len(ids), len(index), 4 if wide else 2, nameless)
+    return b"".join([head, index, stored.tobytes(), place.tobytes(), length.tobytes(), keys.astype("<i8").tobytes(), ids.astype("<u4" if wide else "<u2").tobytes()])
 
 
 class Shard:
     """A shard read back. get(key) is one hash, one fingerprint and one slice."""
 
     def __init__(self, data: bytes):
-        magic, n, tokens, index, width, _ = _HEAD.unpack_from(data)
+        magic, n, tokens, index, width, self.nameless = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a shard")
         at = _HEAD.size
         self.hash = PerfectHash.unpack(data[at : at + index])
         at += index
         sections = []
-        for kind in ("<u4", "<u8", "<u8", "<u4", "<i8"):
+        for kind in ("<u4", "<u8", "<u8", "<i8"):
             sections.append(np.frombuffer(data, kind, n, at))
             at += sections[-1].nbytes
-        self.stored, self.place, self.length, self.order, self.keys = sections
+        self.stored, self.place, self.length, self.keys = sections
         self.payload = np.frombuffer(data, "<u4" if width == 4 else "<u2", tokens, at)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +147,13 @@ class Shard:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Place and length of every document in the order of the shard, rows that repeat a key included."""
-        return self._find(index_keys(self.keys))
+        place, length = self._find(index_keys(self.keys, self.nameless))
+        if (length < 0).any():
+            raise ValueError("the index of a shard doesn't find its own keys")
+        return place, length
+
+    def doc_ids(self) -> list[int | None]:
+        return [*self.keys[: len(self.keys) - self.nameless].tolist(), *[None] * self.nameless]
 
     def _find(self, unsigned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = self.hash.slots(unsigned)
@@ -192,24 +205,26 @@ def _spans(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list,
         yield ids, texts
 
 
-_MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+_MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) in partitions of rising ids, each sorted."""
+    """(doc_id, text) in partitions of rising ids, each sorted; null ids come last, null texts are empty."""
     spark = session(docs)
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    by = F.col("doc_id").asc_nulls_last()
+    return rows.repartitionByRange(n, by).sortWithinPartitions(by, "text")
 
 
 def write_shards(docs: DataFrame, path: str, kind: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every document and writes shard files in ascending id order; one row per shard.
 
-    Rows of a null id have no key and are left out of the files. Rows that repeat an id are all in the
-    files, by text; a look-up of the id finds the first. Null text: only the end id. A shard file appears whole or not at all, and a task that runs again
-    writes the same bytes to the same name.
+    Rows of a null id come last and have no key; reading a shard through gives them, too. Rows that repeat
+    an id are all in the files, by text; a look-up of the id finds the first. Null text: only the end id.
+    A shard file appears whole or not at all, and a task that runs again writes the same bytes to the same
+    name.
     """
     folder = folder or fresh_folder(session(docs), "shards")
 
@@ -222,12 +237,13 @@ def write_shards(docs: DataFrame, path: str, kind: str, end_id: int, folder: str
                 lengths.append(np.diff(upto) + 1)
                 found.append(np.insert(ids, upto[1:], end_id))
             ids, length = np.concatenate(found), np.concatenate(lengths)
-            uri = f"{folder}/part-{part:06d}-{k:06d}.shard"
-            put_file(uri, pack_shard(np.array(keys, np.int64), length, ids))
-            yield table({"part": [part], "shard": [k], "uri": [uri], "docs": [len(keys)], "tokens": [len(ids)]}, _MANIFEST)
+            uri, nameless = f"{folder}/part-{part:06d}-{k:06d}.shard", keys.count(None)
+            named = keys[: len(keys) - nameless]
+            put_file(uri, pack_shard(np.array([*named, *[0] * nameless], np.int64), length, ids, nameless))
+            ends = (named[0], named[-1]) if named else (None, None)
+            yield table({"part": [part], "shard": [k], "uri": [uri], "docs": [len(keys)], "tokens": [len(ids)], "low": [ends[0]], "high": [ends[1]]}, _MANIFEST)
 
-    rows = ordered(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    return rows.mapInArrow(run, "part long, shard long, uri string, docs long, tokens long")
+    return ordered(docs, id_col, text_col).mapInArrow(run, "part long, shard long, uri string, docs long, tokens long, low long, high long")
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -245,11 +261,39 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 shard = Shard(get_file(uri))
                 place, length = shard.rows()
                 crc = [ids_crc(shard.payload[p : p + n]) for p, n in zip(place.tolist(), length.tolist(), strict=True)]
-                yield table({"doc_id": shard.keys, "start": base + place, "n_tokens": length, "ids_crc32": crc}, _READ)
+                yield table({"doc_id": shard.doc_ids(), "start": base + place, "n_tokens": length, "ids_crc32": crc}, _READ)
 
     return manifest.select("uri", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+_GOT = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+
+def get_many(manifest: DataFrame, keys: Sequence[int]) -> DataFrame:
+    """(doc_id, ids) of a list of keys, those that aren't there left out; of rows that repeat an id, the first.
+
+    Only shards whose range of keys has one of them are opened, and in each a key costs one hash, one
+    fingerprint and one slice. The list goes to the executors; it is the caller's, and so of bounded size.
+    """
+    wanted = np.unique(np.array(list(keys), np.int64))
+
+    def run(batches):
+        for b in batches:
+            for part, number, uri in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                shard = Shard(get_file(uri))
+                place, length = shard.find(wanted)
+                at = np.flatnonzero(length >= 0)
+                # A fingerprint of 32 bits may be met by a key that was never put in; the key itself tells.
+                at = at[np.isin(wanted[at], shard.keys[: len(shard.keys) - shard.nameless])]
+                if len(at):
+                    ids = [shard.payload[p : p + n].tolist() for p, n in zip(place[at].tolist(), length[at].tolist(), strict=True)]
+                    yield table({"part": [part] * len(at), "shard": [number] * len(at), "doc_id": wanted[at], "ids": ids}, _GOT)
+
+    any_of = F.exists(F.lit(wanted.tolist()) if len(wanted) else F.array().cast("array<long>"), lambda k: (k >= F.col("low")) & (k <= F.col("high")))
+    got = manifest.where(any_of).select("part", "shard", "uri").mapInArrow(run, "part long, shard long, doc_id long, ids array<long>")
+    return got.groupBy("doc_id").agg(F.min_by("ids", F.struct("part", "shard")).alias("ids"))
+
+
 def with_base(manifest: DataFrame) -> DataFrame:
     """Adds base, the ids of all shards before: sums of whole partitions, then of shards within one."""
     from pyspark.sql import Window

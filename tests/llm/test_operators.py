@@ -97,11 +97,12 @@ def test_near_links_join_all_within_radius(spark, radius):
     # One dense group, longer than what is compared in one sweep: flips within a few bits share keys.
     fps |= {seeds[0] ^ sum(1 << b for b in r.sample(range(10), r.randint(1, 4))) for _ in range(200)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius).collect()
     mask = (1 << 64) - 1
     want = classes([(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & mask).bit_count() <= radius], signed)
-    assert all(((x["a"] ^ x["b"]) & mask).bit_count() <= radius for x in links)
-    assert classes([(x["a"], x["b"]) for x in links], signed) == want
+    for most in (simhash.KEY_RUN, 20):  # the second has keys split, more than once
+        links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, most).collect()
+        assert all(((x["a"] ^ x["b"]) & mask).bit_count() <= radius for x in links)
+        assert classes([(x["a"], x["b"]) for x in links], signed) == want
 
 
 def test_distance_within_a_mask_follows_from_reference_distances():

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import binary, bounded_batches, cut, session, table
+from tidemill.llm.common import binary, bounded_batches, cut, restrict, session, table
 from tidemill.llm.components import Sets, components
 
 BITS = 64
@@ -22,6 +22,8 @@ PIVOTS = 16
 KEY_PIVOTS = 12
 #: Runs of one key up to this length are compared in one sweep over the whole batch.
 SHORT_RUN = 48
+#: Fingerprints of one key that are compared in one task; keys of more are split by further zones.
+KEY_RUN = 1 << 15
 
 
 def _shingles(words: list[bytes], n: int) -> Iterator[list[bytes]]:
@@ -92,6 +94,15 @@ def key_masks(radius: int) -> list[tuple[int, int]]:
     return [(a, b) for a in _zones(full, radius + 1) for b in _zones(full & ~a, radius + 1)]
 
 
+def rests(radius: int, level: int) -> list[int]:
+    """The bits outside the zones of each key: of those of key_masks, and level by level of their splits."""
+    full = (1 << BITS) - 1
+    out = [full & ~a & ~b for a, b in key_masks(radius)]
+    for _ in range(level):
+        out = [m & ~c for m in out for c in _zones(m, radius + 1)]
+    return out
+
+
 def _mixed(columns: np.ndarray) -> np.ndarray:
     """One 64-bit number for each row of a distance table. Two rows that meet by chance fail later."""
     out = np.zeros(len(columns), np.uint64)
@@ -125,17 +136,52 @@ def links_of_run(fps: np.ndarray, radius: int, refs: np.ndarray) -> Iterator[tup
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_KEYED = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+_KEYED = pa.schema([("key", pa.int64()), ("path", pa.int64()), ("fp", pa.int64())])
+_KEYED_DDL = "key long, path long, fp long"
 
 
-def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def _deeper(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """Rows of keys of a level split by zones of the bits they leave open: any two within the radius that had a key in
+    common have one in common again."""
+    refs, masks = reference(KEY_PIVOTS, 3 + level), rests(radius, level)
+
+    def run(batches):
+        for b in batches:
+            key, path, fp = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            for p in np.unique(path).tolist():
+                at = path == p
+                x, old = fp[at].view(np.uint64), key[at].view(np.uint64)
+                for z, zone in enumerate(_zones(masks[p], radius + 1)):
+                    new = old ^ _mixed(np.hstack([np.full((len(x), 1), z + 1, np.int8), distance_table(x, refs, zone)]))
+                    yield table({"key": new.view(np.int64), "path": np.full(len(x), p * (radius + 1) + z), "fp": x.view(np.int64)}, _KEYED)
+
+    return rows.select("key", "path", "fp").mapInArrow(run, _KEYED_DDL)
+
+
+def _bounded_keys(rows: DataFrame, radius: int, most: int) -> DataFrame:
+    """The rows with keys of too many fingerprints split until none is left. Distinct fingerprints of one key differ in the
+    open bits, so this ends; and only what is hot is read again."""
+    done, level = None, 0
+    while True:
+        hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"))
+        few = hot.isEmpty()
+        part = rows if few else restrict(rows, hot, ["key"], "left_anti")
+        done = part if done is None else done.unionByName(part)
+        if few:
+            return done
+        rows = cut(_deeper(restrict(rows, hot, ["key"], "left_semi"), radius, level))
+        level += 1
+
+
+def near_links(fps: DataFrame, radius: int = 2, most: int = KEY_RUN) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of a column fp that join whatever is within the radius.
 
     Each fingerprint goes to (radius + 1)^2 keys, each a row of a pivot distance table; fingerprints
     with a key in common are the candidates, the full table discards those whose largest coordinate
     difference is over the radius, and survivors are verified bit by bit. Of the links found in a
     partition only those are returned that join two sets not yet joined there, so a group of near
-    copies makes as many rows as it has fingerprints, not as it has pairs.
+    copies makes as many rows as it has fingerprints, not as it has pairs. A key of more than so many
+    fingerprints is split by further zones, without losing a link.
     """
     masks = key_masks(radius)
     refs, first, second = reference(PIVOTS, 0), reference(KEY_PIVOTS, 1), reference(KEY_PIVOTS, 2)
@@ -145,7 +191,7 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
             x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for k, (m, s) in enumerate(masks):
                 rows = np.hstack([np.full((len(x), 1), k, np.int8), distance_table(x, first, m), distance_table(x, second, s)])
-                yield table({"key": _mixed(rows).view(np.int64), "fp": x.view(np.int64)}, _KEYED)
+                yield table({"key": _mixed(rows).view(np.int64), "path": np.full(len(x), k), "fp": x.view(np.int64)}, _KEYED)
 
     def pairs(key, x, begin, length):
         run = np.repeat(length, length)
@@ -176,7 +222,7 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
                 yield table({"a": [min(p) for p in new], "b": [max(p) for p in new]}, _LINK)
 
     n = int(session(fps).conf.get("spark.sql.shuffle.partitions"))
-    keys = fps.select("fp").mapInArrow(keyed, "key long, fp long")
+    keys = _bounded_keys(fps.select("fp").mapInArrow(keyed, _KEYED_DDL), radius, most).select("key", "fp")
     return keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(linked, "a long, b long")
 
 

@@ -38,7 +38,8 @@ SPEC = FeatureSpec(
 
 def test_geo_stage_native_equals_arrow(spark):
     df = synthetic(spark, 5)
-    a, b = stages.GeoFeatures().transform(df).first(), stages.GeoFeatures(useArrow=True).transform(df).first()
+    geo = {"inputCols": list(SPEC.geo_from), "outputCols": list(SPEC.geo_to)}
+    a, b = stages.GeoFeatures(**geo).transform(df).first(), stages.GeoFeatures(**geo, variant="arrow").transform(df).first()
     assert abs(a["GC_DISTANCE_MI"] - 2554) < 5 and all(abs(a[c] - b[c]) < 1e-6 for c in ("GC_DISTANCE_MI", "ROUTE_DETOUR", "SCHEDULE_SPEED_MPH"))
 
 
@@ -55,7 +56,7 @@ def test_fences_come_from_training_rows_only(spark):
 
 
 def test_clipper_alone_uses_its_own_data(spark):
-    out = stages.IQRClipper(inputCols=["DEPARTURE_DELAY"], outputCols=["c"]).transform(synthetic(spark))
+    out = stages.ClipToOwn(inputCols=["DEPARTURE_DELAY"], outputCols=["c"]).transform(synthetic(spark))
     assert out.agg(F.max("c")).first()[0] < 900
 
 
@@ -75,9 +76,10 @@ def test_encoder_nulls_unseen_and_both_paths(spark):
 
 def test_chain_saves_and_loads(spark, tmp_path):
     train, test = split.train_test_split(synthetic(spark), "id")
-    chain = [*feature_stages("label", False, spec=SPEC), LinearRegression(featuresCol="features", labelCol="label", regParam=0.01)]
+    mine, other = stages.HeldRows(), stages.HeldRows()
+    chain = [*feature_stages("label", False, spec=SPEC, held=mine), LinearRegression(featuresCol="features", labelCol="label", regParam=0.01)]
     model = Pipeline(stages=chain).fit(train)
-    assert stages.release_caches() == 1 and stages.release_caches() == 0
+    assert other.release() == 0 and mine.release() == 1 and mine.release() == 0
     model.write().overwrite().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
     mark = lambda m: m.transform(test).agg(F.round(F.sum("prediction"), 6)).first()[0]
@@ -88,16 +90,17 @@ def test_chain_saves_and_loads(spark, tmp_path):
 
 
 def test_pca_arm_names(spark):
-    chain = feature_stages("label", True, 2, SPEC)
-    model = Pipeline(stages=[*chain, LinearRegression(featuresCol="features", labelCol="label")]).fit(synthetic(spark))
+    with stages.HeldRows() as held:
+        chain = feature_stages("label", True, 2, SPEC, held)
+        model = Pipeline(stages=[*chain, LinearRegression(featuresCol="features", labelCol="label")]).fit(synthetic(spark))
     assert feature_names(model, synthetic(spark)) == ["pc_1", "pc_2"]
-    stages.release_caches()
 
 
 def test_cache_stage_does_nothing_on_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = files.scan_json_stream(spark, str(tmp_path / "in"), spark.range(1).schema)
-    assert stages.FitCache()._fit(stream).transform(stream).isStreaming and stages.release_caches() == 0
+    cache = stages.FitCache()
+    assert cache.fit(stream).transform(stream).isStreaming and cache.held.release() == 0
 
 
 def test_leakage_policy(spark):
@@ -253,8 +256,9 @@ def test_spec_builds(spark, spec):
 
 
 def test_profile(spark):
-    rows = profile_stages([stages.GeoFeatures(), VectorAssembler(inputCols=["DISTANCE"], outputCol="v")], synthetic(spark, 20))
-    assert [r[0] for r in rows] == ["GeoFeatures", "VectorAssembler"]
+    geo = stages.GeoFeatures(inputCols=list(SPEC.geo_from), outputCols=list(SPEC.geo_to))
+    rows = profile_stages([geo, VectorAssembler(inputCols=["DISTANCE"], outputCol="v")], synthetic(spark, 20))
+    assert [r[0] for r in rows] == ["GeoFeatures", "VectorAssembler", "pipeline"]
 
 
 def test_stream_scores_equal_batch_scores(spark, tmp_path):
@@ -262,7 +266,7 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     chain = [stages.SmoothedTargetEncoder(inputCols=["ORIGIN_AIRPORT"], outputCols=["te"]), VectorAssembler(inputCols=["te", "DEPARTURE_DELAY"], outputCol="features", handleInvalid="keep")]
     model = Pipeline(stages=[*chain, LinearRegression(labelCol="label")]).fit(train)
     contract = ServingContract.of(train.select("ORIGIN_AIRPORT", "DEPARTURE_DELAY", "DISTANCE", "label"), ["label"])
-    events = scoring.fixture_events(15)
+    events = [{"ORIGIN_AIRPORT": f"AP{k % 9}", "DEPARTURE_DELAY": 2 * k, "DISTANCE": 100.0 + k, "OTHER": k} for k in range(15)]
     for k in range(3):
         sinks.put_events(str(tmp_path / "in"), f"e{k}.json", events[5 * k : 5 * k + 5])
     counter = scoring.RowCounter()
@@ -276,6 +280,68 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     want = scoring.score(spark.read.schema(contract.schema).json(str(tmp_path / "in")), model, stamp=False)
     assert got.count() == 15 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert not [p for p in os.listdir(tmp_path / "in") if p.endswith(".part")]
+    with pytest.raises(ValueError, match="belongs to"):
+        scoring.start_scoring(spark, str(tmp_path / "in"), contract, model, str(tmp_path / "out"), str(tmp_path / "cp2"))
+
+
+def test_console_sink(spark, tmp_path):
+    sinks.put_events(str(tmp_path / "in"), "e.json", [{"id": 1}])
+    q = scoring.start_console_sink(files.scan_json_stream(spark, str(tmp_path / "in"), spark.range(1).schema), every="1 second")
+    assert scoring.drain(q, 1) is False and q.exception() is None
+
+
+def test_winner_that_was_never_registered(spark, tmp_path):
+    tracker = Tracker(spark, str(tmp_path / "store"))
+    s = Settings("id", folds=2, parallelism=1, pca_k=2, tune_per_mille=1000, label="label", features=SPEC)
+    run_tournament(synthetic(spark), [regressor(grid=(("regParam", (0.01,)),))], tracker, s, arms=("nopca",))  # and then the process dies
+    again = run_tournament(synthetic(spark), [regressor()], tracker, s, arms=("nopca",))
+    assert not again.models and register_winner(again, tracker) == 1
+    assert tracker.load("best_pipeline", "production").transform(synthetic(spark, 3)).count() == 3
+    params = tracker.runs().first()["params"]
+    assert params["param_maxIter"] == "5" and params["folds"] == "2" and "DISTANCE" in params["features"]
+    paths = report.write_benchmark(tracker, str(tmp_path / "out"), tracker.load("best_pipeline", "staging").transform(synthetic(spark)), "label")
+    names = {os.path.basename(p) for p in paths}
+    assert {"results_table.md", "arms_regression.json", "importances_lr__nopca.json", "residuals.json"} <= names
+    assert sum(n for _, n in json.loads((tmp_path / "out/residuals.json").read_text())) > 500
+
+
+def test_sample_and_tuning_choices_are_independent(spark):
+    df = spark.range(40_000)
+    both = split.hash_sample(split.hash_sample(df, "id", 500, split.SAMPLE), "id", 20).count()
+    assert 300 < both < 500  # 2 % of a half
+    keyless = spark.createDataFrame([(None,), (1,)], "id long")
+    parts = split.train_test_split(keyless, "id")
+    assert [r["id"] for r in parts[1].where("id is null").collect()] == [None] and parts[0].where("id is null").count() == 0
+
+
+def test_cli_from_feed_to_scores(spark, tmp_path, capsys):
+    from tidemill.cli import main
+
+    feed = tmp_path / "f.csv"
+    rows = []
+    for k in range(400):
+        rows.append(FACT | {"MONTH": str(k % 12 + 1), "DAY": str(k % 28 + 1), "DAY_OF_WEEK": str(k % 7 + 1), "FLIGHT_NUMBER": str(k), "ORIGIN_AIRPORT": ("ABE", "MCO")[k % 2], "DESTINATION_AIRPORT": ("MCO", "ABE")[k % 2],
+                     "SCHEDULED_DEPARTURE": f"{k % 24:02d}15", "WHEELS_OFF": f"{k % 24:02d}30", "SCHEDULED_ARRIVAL": f"{(k + 2) % 24:02d}10", "DISTANCE": str(880 + k % 5), "SCHEDULED_TIME": str(150 + k % 9),
+                     "DEPARTURE_DELAY": str(k % 41 - 9), "TAXI_OUT": str(8 + k % 11), "ARRIVAL_DELAY": str(k % 41 - 9 + k % 7), "CANCELLED": str(int(k % 50 == 0))})
+    feed.write_text(",".join(files.FACT_COLUMNS) + "\n" + "".join(",".join(r.get(c, "") for c in files.FACT_COLUMNS) + "\n" for r in rows))
+    (tmp_path / "places.csv").write_text("IATA_CODE,LATITUDE,LONGITUDE\nABE,40.6,-75.4\nMCO,28.4,-81.3\n")
+    (tmp_path / "carriers.csv").write_text("IATA_CODE,AIRLINE\nAS,Alpine\n")
+    at = lambda n: str(tmp_path / n)
+    assert main(["raw", "--facts", at("f.csv"), "--out", at("raw")]) == 0
+    assert main(["prepare", "--facts", at("raw"), "--places", at("places.csv"), "--carriers", at("carriers.csv"), "--out", at("curated")]) == 0
+    said = capsys.readouterr().out
+    assert "OK (400 rows)" in said and "not cancelled: 392" in said and "curated: 392" in said and "severe:" in said
+    store = ["--store", at("store"), "--experiment", "e1"]
+    assert main(["train", "--curated", at("curated"), "--key", "FLIGHT_NUMBER", *store, "--folds", "2", "--models", "linear_regression", "--arms", "nopca", "--tune-per-mille", "1000"]) == 0
+    assert (tmp_path / "store/e1/input_schema.json").exists() and "linear_regression__nopca" in (tmp_path / "store/e1/tournament_results.json").read_text()
+    assert main(["events", "--curated", at("curated"), "--key", "FLIGHT_NUMBER", *store, "--out", at("in"), "--rows", "30", "--batch", "10"]) == 0
+    capsys.readouterr()
+    assert main(["score", "--source", at("in"), *store, "--out", at("scored")]) == 0
+    said = capsys.readouterr().out
+    assert "in 3 batches" in said and spark.read.parquet(at("scored")).count() == 30
+    assert main(["report", *store]) == 0 and "linear_regression" in capsys.readouterr().out
+    assert main(["benchmark", *store, "--out", at("figures"), "--curated", at("curated"), "--key", "FLIGHT_NUMBER"]) == 0 and (tmp_path / "figures/residuals.json").exists()
+    assert main(["profile", "--curated", at("curated"), "--rows", "200"]) == 0 and "pipeline" in capsys.readouterr().out
 
 
 def test_stream_schema_mismatch_gives_nulls(spark, tmp_path):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Mean Earth radius in miles.
 EARTH_MILES = 3958.7613
 MINUTES_OF_DAY = 1440
+#: Odd factors by salt; their products with what they multiply stay within 63 bits.
+SALT_FACTORS = (2246822519, 3266489917, 668265263, 374761393)
 
 
 def _col(c: Column | str) -> Column:
@@ -87,12 +89,12 @@ def mapped(c: Column | str, table: dict[str, float], default: float) -> Column:
 def hash_bucket(key: Column | str, buckets: int = 100, salt: int = 0) -> Column:
     """A bucket from an integer key by arithmetic alone: the same on any partitioning and in any SQL engine.
 
-    The key is reduced before it is multiplied, so that no key overflows. Another salt gives buckets
-    that don't go with those of the first, for a choice within a choice.
+    The key is reduced before it is multiplied, so that no key overflows. Each salt has a factor of its
+    own, so that its buckets don't go with those of another, for a choice within a choice.
     """
     n = lambda v: F.lit(v).cast("long")
     h = F.pmod(F.pmod(_col(key).cast("long"), n(1 << 31)) * n(2654435761), n(1 << 32))
     if salt:
         mixed = (h % n(1 << 16)) * n(40503) + F.floor(h / n(1 << 16)).cast("long") + n(7919 * salt)
-        h = F.floor(F.pmod(mixed * n(2246822519), n(1 << 32)) / n(64)).cast("long")
+        h = F.floor(F.pmod(mixed * n(SALT_FACTORS[salt % len(SALT_FACTORS)]), n(1 << 32)) / n(64)).cast("long")
     return h % buckets

@@ -8,12 +8,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.sql import DataFrame
 
-from tidemill.ml.stages import FitCache, GeoFeatures, IQRClip, SignedLog1p, SmoothedTargetEncoder
+from tidemill.ml.stages import FitCache, GeoFeatures, HeldRows, IQRClip, SignedLog1p, SmoothedTargetEncoder
 
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """Which columns go through which step. The defaults are the curated table's."""
+    """Which columns go through which step. The defaults are the curated table's: fixed values, as models depend on them."""
 
     clipped: tuple[str, ...] = ("DEPARTURE_DELAY", "TAXI_OUT")
     clipped_to: tuple[str, ...] = ("dep_delay_clip", "taxi_out_clip")
@@ -29,18 +29,23 @@ class FeatureSpec:
     plain: tuple[str, ...] = (
         "DEPARTURE_DELAY", "SCHEDULE_SPEED_MPH", "ROUTE_DETOUR", "SCHED_DEP_MIN", "SCHED_ARR_MIN", "WHEELS_OFF_MIN", "IS_WEEKEND", "DAY", "ORIGIN_LAT", "ORIGIN_LON", "DEST_LAT", "DEST_LON",
     )
-    geo: bool = True
+    #: A leg's ends, distance and minutes, and what GeoFeatures makes of them; none: no such step.
+    geo_from: tuple[str, ...] = ("ORIGIN_LAT", "ORIGIN_LON", "DEST_LAT", "DEST_LON", "DISTANCE", "SCHEDULED_TIME")
+    geo_to: tuple[str, ...] = ("GC_DISTANCE_MI", "ROUTE_DETOUR", "SCHEDULE_SPEED_MPH")
     smoothing: float = 20.0
     iqr_error: float = 0.001
 
 
-def feature_stages(label: str, use_pca: bool, k: int = 10, spec: FeatureSpec = FeatureSpec()) -> list:
-    """Estimators and transformers in order; every learned one is learned inside the fit, so from training rows."""
+def feature_stages(label: str, use_pca: bool, k: int = 10, spec: FeatureSpec = FeatureSpec(), held: HeldRows | None = None) -> list:
+    """Estimators and transformers in order; every learned one is learned inside the fit, so from training rows.
+
+    What the fit keeps in memory belongs to held, for whoever fits to let go.
+    """
     stages: list = []
     if spec.clipped:
         stages.append(IQRClip(inputCols=list(spec.clipped), outputCols=list(spec.clipped_to), relativeError=spec.iqr_error))
-    if spec.geo:
-        stages.append(GeoFeatures())
+    if spec.geo_from:
+        stages.append(GeoFeatures(inputCols=list(spec.geo_from), outputCols=list(spec.geo_to)))
     if spec.logged:
         stages.append(SignedLog1p(inputCols=list(spec.logged), outputCols=list(spec.logged_to)))
     if spec.imputed:
@@ -53,7 +58,7 @@ def feature_stages(label: str, use_pca: bool, k: int = 10, spec: FeatureSpec = F
     if spec.one_hot:
         stages.append(OneHotEncoder(inputCols=list(spec.one_hot), outputCols=hot, handleInvalid="keep", dropLast=True))
     stages += [
-        FitCache(),
+        FitCache(held),
         VectorAssembler(inputCols=[*spec.clipped_to, *spec.logged_to, *spec.encoded_to, *spec.plain, *hot], outputCol="features_raw", handleInvalid="keep"),
         StandardScaler(inputCol="features_raw", outputCol="features_scaled", withMean=False, withStd=True),
         VarianceThresholdSelector(featuresCol="features_scaled", outputCol="features_selected", varianceThreshold=0.0),

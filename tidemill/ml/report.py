@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import io
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.sources.files import read_json
+from tidemill.sources.store import put_bytes
 
 METRICS = {"regression": ("rmse", "mae", "r2"), "classification": ("areaUnderROC", "areaUnderPR", "f1", "accuracy")}
 
@@ -51,8 +55,56 @@ def markdown_table(results: dict[str, dict]) -> str:
     return "\n".join(out)
 
 
-def plot_bars(rows: list[tuple[str, float]], path: str, title: str) -> bool:
-    """A bar chart if matplotlib is there; whether it was drawn."""
+def importances_of(tracker) -> dict[str, list[tuple[str, float]]]:
+    """By run name, the importances that the latest finished run logged, largest first."""
+    from tidemill.ml.tracking import latest_finished
+
+    out = {}
+    for r in latest_finished(tracker.runs()).select("name", "run_id").collect():
+        try:
+            out[r["name"]] = [(n, float(v)) for n, v in tracker.read_artifact(r["run_id"], "importances.json")]
+        except FileNotFoundError:
+            continue
+    return out
+
+
+def variance_shares(tracker) -> dict[str, list[float]]:
+    """By run name, the share of variance that each component of its decomposition has."""
+    from tidemill.ml.tracking import latest_finished
+
+    rows = latest_finished(tracker.runs()).select("name", F.try_element_at("params", F.lit("pca_variance")).alias("v")).where("v is not null").collect()
+    return {r["name"]: json.loads(r["v"]) for r in rows}
+
+
+def write_benchmark(tracker, out: str, predicted: DataFrame | None = None, label: str = "label_delay", top: int = 15) -> list[str]:
+    """The result table, and the figures' numbers beside the figures themselves where matplotlib is there: comparison of
+    arms, importances, cumulative variance, and residuals of predictions. The paths written, in any store."""
+    from tidemill.operators.metrics import histogram
+    from tidemill.sources.sinks import put_json
+    from tidemill.sources.store import replace_text
+
+    spark, results, paths = tracker.spark, load_results(tracker), [f"{out}/results_table.md"]
+    replace_text(spark, paths[0], markdown_table(results))
+    figures: dict[str, list[tuple[str, float]]] = {}
+    for task, names in METRICS.items():
+        figures[f"arms_{task}"] = sorted((n, r["metrics"][names[0]]) for n, r in results.items() if r["task"] == task and names[0] in r["metrics"])
+    figures |= {f"importances_{n}": rows[:top] for n, rows in importances_of(tracker).items()}
+    figures |= {f"variance_{n}": [(f"pc_{k + 1}", sum(v[: k + 1])) for k in range(len(v))] for n, v in variance_shares(tracker).items()}
+    if predicted is not None:
+        width = 2.0  # minutes of a bin
+        rows = histogram(predicted, F.col(label) - F.col("prediction"), -60.0, 60.0, 60).orderBy("bin").collect()
+        figures["residuals"] = [(f"{-60 + width * r['bin']:g}", float(r["n"])) for r in rows]
+    for name, rows in figures.items():
+        if rows:
+            put_json(f"{out}/{name}.json", rows)
+            paths.append(f"{out}/{name}.json")
+            if plot_bars(rows, f"{out}/{name}.png", name.replace("_", " "), spark):
+                paths.append(f"{out}/{name}.png")
+    return paths
+
+
+def plot_bars(rows: list[tuple[str, float]], path: str, title: str, spark=None) -> bool:
+    """A bar chart if matplotlib is there, in any store; whether it was drawn."""
     try:
         from matplotlib.backends.backend_agg import FigureCanvasAgg
         from matplotlib.figure import Figure
@@ -63,5 +115,7 @@ def plot_bars(rows: list[tuple[str, float]], path: str, title: str) -> bool:
     ax = fig.subplots()
     ax.barh([r[0] for r in reversed(rows)], [r[1] for r in reversed(rows)])
     ax.set_title(title)
-    fig.savefig(path, dpi=150)
+    drawn = io.BytesIO()
+    fig.savefig(drawn, dpi=150, format="png")
+    put_bytes(spark or SparkSession.active(), path, drawn.getvalue())
     return True

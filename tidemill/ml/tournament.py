@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
 import traceback
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemill.ml.features import FeatureSpec, feature_names, feature_stages, importances
 from tidemill.ml.specs import ModelSpec, evaluators
-from tidemill.ml.stages import release_caches
+from tidemill.ml.stages import FitCache, HeldRows
 from tidemill.ml.tracking import Tracker
 from tidemill.operators.split import hash_sample, train_test_split, with_folds
 from tidemill.sources.sinks import put_json
@@ -62,17 +63,16 @@ def checkpoint(path: str | None, results: dict, failures: dict) -> None:
         return
     try:
         put_json(path, {"results": results, "failures": failures})
-    except OSError:
+    except Exception:  # whatever the store says
         traceback.print_exc()
 
 
 def run_arm(spec: ModelSpec, use_pca: bool, train: DataFrame, tune: DataFrame, test: DataFrame, s: Settings) -> tuple[PipelineModel, dict[str, float], dict]:
-    est = spec.estimator()
-    stages = feature_stages(spec.label, use_pca, s.pca_k, s.features)
-    pipe, scores = Pipeline(stages=[*stages, est]), evaluators(spec.task, spec.label)
+    est, scores = spec.estimator(), evaluators(spec.task, spec.label)
     primary = next(iter(scores.values()))
     grid = spec.param_maps(est)
-    try:
+    with HeldRows() as held:
+        pipe = Pipeline(stages=[*feature_stages(spec.label, use_pca, s.pca_k, s.features, held), est])
         # The decomposition behind PCA keeps state between calls and fails when several run at once on one driver.
         parallelism = 1 if use_pca else s.parallelism
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=primary, numFolds=s.folds, parallelism=parallelism, foldCol="__fold")
@@ -83,12 +83,13 @@ def run_arm(spec: ModelSpec, use_pca: bool, train: DataFrame, tune: DataFrame, t
         model = fitted.bestModel if tune is train else pipe.copy(grid[at]).fit(train)
         predicted = model.transform(test)
         metrics = {name: float(e.evaluate(predicted)) for name, e in scores.items()}
-    finally:
-        release_caches()
     extra = {f"best_{k}": v for k, v in best.items()} | {"cv_best": float(fitted.avgMetrics[at])}
+    extra |= {f"param_{p.name}": v for p, v in model.stages[-1].extractParamMap().items() if isinstance(v, (bool, int, float, str))}
+    extra |= {"folds": s.folds, "tune_per_mille": s.tune_per_mille, "train_percent": s.train_percent, "pca_k": s.pca_k if use_pca else None, "features": json.dumps(asdict(s.features))}
     pca = next((m for m in model.stages if type(m).__name__ == "PCAModel"), None)
     if pca is not None:
-        extra["pca_variance_retained"] = float(sum(pca.explainedVariance.toArray()))
+        shares = [float(x) for x in pca.explainedVariance.toArray()]
+        extra |= {"pca_variance_retained": sum(shares), "pca_variance": json.dumps(shares)}
     return model, metrics, extra
 
 
@@ -111,7 +112,8 @@ def run_tournament(curated: DataFrame, specs: Sequence[ModelSpec], tracker: Trac
                 began = time.time()
                 try:
                     model, metrics, extra = run_arm(spec, ARMS[arm], train, tune, test, s)
-                    run = tracker.log_run(name, spec.task, metrics, extra, started=began)
+                    # The model first: a run that counts as finished has one, whatever happens to this process.
+                    run = tracker.log_run(name, spec.task, metrics, extra, started=began, tags={"model_uri": tracker.save_model(model)})
                     tracker.log_artifact(run, "importances.json", importances(model, feature_names(model, test)))
                     out.models[name] = model
                     out.results[name] = {"task": spec.task, "model": spec.name, "arm": arm, "metrics": metrics, "train_seconds": time.time() - began, **extra}
@@ -137,24 +139,25 @@ def winner(results: dict[str, dict], metric: str = "rmse", task: str = "regressi
 
 
 def register_winner(outcome: Outcome, tracker: Tracker, model: str = "best_pipeline", aliases: Sequence[str] = ("staging", "production")) -> int:
-    """Registers the best regression arm and moves the aliases to it, in order. A resumed winner keeps its version."""
+    """Registers the best regression arm and moves the aliases to it, in order. A resumed winner keeps its version;
+    one that finished before it could be registered is registered with the model of its run."""
     name = winner(outcome.results)
-    if name not in outcome.models:
-        row = tracker.versions().where((F.col("model") == model) & (F.col("run_name") == name)).orderBy(F.desc("version")).first()
-        if row is None:
-            raise LookupError(f"{name} was resumed and has no registered version; run it again")
+    row = None if name in outcome.models else tracker.versions().where((F.col("model") == model) & (F.col("run_name") == name)).orderBy(F.desc("version")).first()
+    if row is not None:
         version = row["version"]
     else:
+        fitted = outcome.models.get(name) or tracker.run_model(name)
         tags = {"rmse": outcome.results[name]["metrics"]["rmse"], "glm_offset": outcome.offset, "arms": len(outcome.results)}
-        version = tracker.register(model, name, outcome.models[name], tags)
+        version = tracker.register(model, name, fitted, tags)
     for a in aliases:
         tracker.set_alias(model, a, version)
     return version
 
 
 def profile_stages(stages: Sequence, df: DataFrame) -> list[tuple[str, float, float]]:
-    """(stage, fit seconds, transform seconds) of a chain, each stage on what those before it made."""
-    out = []
+    """(stage, fit seconds, transform seconds) of a chain, each stage on what those before it made; then the whole fitted
+    chain in one go, under the name "pipeline"."""
+    out, models, first = [], [], df
     for s in stages:
         t0 = time.perf_counter()
         model = s.fit(df) if hasattr(s, "fit") else s
@@ -162,5 +165,10 @@ def profile_stages(stages: Sequence, df: DataFrame) -> list[tuple[str, float, fl
         df = model.transform(df)
         df.write.format("noop").mode("overwrite").save()
         out.append((type(s).__name__, t1 - t0, time.perf_counter() - t1))
-    release_caches()
-    return out
+        models.append(model)
+    for s in stages:
+        if isinstance(s, FitCache):
+            s.held.release()
+    t0 = time.perf_counter()
+    PipelineModel(models).transform(first).write.format("noop").mode("overwrite").save()
+    return [*out, ("pipeline", sum(r[1] for r in out), time.perf_counter() - t0)]

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.sources.store import exists, put_text
+from tidemill.sources.store import exists, get_text, put_text
 
 RUN_DDL = "run_id string, name string, task string, status string, started double, seconds double, params map<string,string>, metrics map<string,double>, tags map<string,string>"
 VERSION_DDL = "model string, version int, run_name string, uri string, created double, tags map<string,string>"
@@ -54,12 +54,28 @@ class Tracker:
         put_text(self.spark, path, json.dumps(value))
         return path
 
+    def read_artifact(self, run_id: str, name: str) -> object:
+        return json.loads(get_text(self.spark, f"{self.root}/artifacts/{run_id}/{name}"))
+
     def runs(self) -> DataFrame:
         return self._read("runs", RUN_DDL)
 
     def completed(self) -> dict[str, dict[str, float]]:
         return {r["name"]: dict(r["metrics"]) for r in latest_finished(self.runs()).collect()}
 
+    def save_model(self, fitted: PipelineModel) -> str:
+        """Where a run's model is kept; the run names it in its tag model_uri."""
+        uri = f"{self.root}/run-models/{uuid.uuid4().hex}"
+        fitted.write().save(uri)
+        return uri
+
+    def run_model(self, name: str) -> PipelineModel:
+        """The model of the latest finished run of a name."""
+        row = latest_finished(self.runs()).where(F.col("name") == name).select(F.try_element_at("tags", F.lit("model_uri")).alias("uri")).first()
+        if row is None or row["uri"] is None:
+            raise LookupError(f"no finished run of {name} has a model")
+        return PipelineModel.load(row["uri"])
+
     def versions(self) -> DataFrame:
         return self._read("versions", VERSION_DDL)
 

@@ -20,9 +20,10 @@ def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
 
 
 def repair_codes(df: DataFrame, code_map: DataFrame, columns: Sequence[str], code: str = "dot_code", good: str = "iata_code") -> DataFrame:
-    """Replaces codes that the map knows in each column; others stay as they are. One row in, one row out."""
+    """Replaces codes that the map knows in each column; others stay as they are. One row in, one row out: of several
+    meanings of a code the least counts."""
     for c in columns:
-        names = code_map.select(F.col(code).alias(f"__code_{c}"), F.col(good).alias(f"__good_{c}")).dropDuplicates([f"__code_{c}"])
+        names = code_map.groupBy(F.col(code).alias(f"__code_{c}")).agg(F.min(good).alias(f"__good_{c}"))
         df = df.join(small(names), F.col(c) == F.col(f"__code_{c}"), "left").withColumn(c, F.coalesce(f"__good_{c}", c)).drop(f"__code_{c}", f"__good_{c}")
     return df
 
@@ -66,6 +67,12 @@ def derive(df: DataFrame) -> DataFrame:
     )
 
 
+def curation_steps() -> list[tuple[str, Column]]:
+    """What a row of the feed must pass, one condition after another."""
+    flags, needed = ("CANCELLED", "DIVERTED"), ("ARRIVAL_DELAY", "DEPARTURE_DELAY", "TAXI_OUT")
+    return [*((f"not {c.lower()}", F.col(c) == 0) for c in flags), *((f"has {c.lower()}", F.col(c).isNotNull()) for c in needed)]
+
+
 def funnel(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     """Rows that pass the first k conditions, for each k, in one pass: (step, name, rows)."""
     passed, sums = F.lit(True), [F.count(F.lit(1)).alias("c0")]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -60,8 +59,9 @@ class ServingContract:
     @classmethod
     def load(cls, path: str) -> ServingContract:
         """Any type that a schema string can name is accepted."""
-        if not Path(path).exists():
-            raise FileNotFoundError(f"no serving contract at {path}; training publishes it")
-        raw = read_json(path)
+        try:
+            raw = read_json(path)
+        except FileNotFoundError as e:
+            raise FileNotFoundError(f"no serving contract at {path}; training publishes it") from e
         fields = ", ".join(f"`{f['name']}` {f['type']}" for f in raw["fields"])
         return cls(T.StructType([T.StructField(f.name, f.dataType, True) for f in T.StructType.fromDDL(fields).fields]), float(raw.get("glm_offset", 0.0)))

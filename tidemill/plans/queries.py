@@ -438,7 +438,7 @@ def train_test_split(spark, sf):
 
 
 def _salted(salt: int) -> str:
-    return f"(((({_BUCKET} % 65536) * 40503 + {_BUCKET} // 65536 + {7919 * salt}) * 2246822519 % 4294967296) // 64)"
+    return f"(((({_BUCKET} % 65536) * 40503 + {_BUCKET} // 65536 + {7919 * salt}) * {S.SALT_FACTORS[salt]} % 4294967296) // 64)"
 
 
 @query(f"SELECT event_id, CAST({_salted(1)} % 5 AS INTEGER) AS fold FROM events")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import scalar as S
 from tidemill.ml.features import feature_stages
-from tidemill.ml.stages import release_caches
+from tidemill.ml.stages import HeldRows
 from tidemill.operators.split import train_test_split
 from tidemill.plans.views import legs
 
@@ -60,12 +60,10 @@ def flights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fit_chain(train: DataFrame, use_pca: bool = False) -> PipelineModel:
-    """The whole default chain with a linear model; caches of the fit are released."""
-    try:
+    """The whole default chain with a linear model; what the fit held in memory is let go."""
+    with HeldRows() as held:
         est = LinearRegression(featuresCol="features", labelCol="label_delay", maxIter=50, regParam=0.01)
-        return Pipeline(stages=[*feature_stages("label_delay", use_pca), est]).fit(train)
-    finally:
-        release_caches()
+        return Pipeline(stages=[*feature_stages("label_delay", use_pca, held=held), est]).fit(train)
 
 
 def chain_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,8 +8,11 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.sources.store import get_text
+
 #: The fact feed's columns, in file order. Clock columns are text, as leading zeros count.
 FACT_COLUMNS = (
     "YEAR MONTH DAY DAY_OF_WEEK AIRLINE FLIGHT_NUMBER TAIL_NUMBER ORIGIN_AIRPORT DESTINATION_AIRPORT SCHEDULED_DEPARTURE DEPARTURE_TIME "
@@ -33,6 +36,13 @@ def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
+def scan_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The fact feed: CSV, or the Parquet that was made of it (with the partition column back in its place)."""
+    if path.rstrip("/").endswith((".csv", ".csv.gz")):
+        return scan_csv(spark, path, FACT_SCHEMA)
+    return spark.read.parquet(path).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT_SCHEMA.fields))
+
+
 def scan_json_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     """A folder of JSON lines as a stream. Fields that don't fit the schema are null."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("mode", "PERMISSIVE").json(path)
@@ -48,4 +58,5 @@ def find_source(name: str, env: str = "TIDEMILL_RAW_DIR", folders: Sequence[str]
 
 
 def read_json(path: str) -> dict | list:
-    return json.loads(Path(path).read_text())
+    """A JSON file in any store."""
+    return json.loads(get_text(SparkSession.active(), path))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.sources.store import put_text, replace_text
+
 
 def write_partitioned(df: DataFrame, path: str, by: str, salt: int = 1) -> None:
     """Parquet by a column's values. salt spreads each value over so many tasks and files."""
@@ -34,18 +34,11 @@ def export_csv(df: DataFrame, path: str, order: str) -> None:
 
 
 def put_json(path: str, value: object) -> None:
-    """A JSON file that appears whole."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.{os.getpid()}")
-    part.write_text(json.dumps(value, indent=2, sort_keys=True))
-    os.replace(part, target)
+    """A JSON file, in any store, that appears whole and may replace one."""
+    replace_text(SparkSession.active(), path, json.dumps(value, indent=2, sort_keys=True))
 
 
 def put_events(folder: str, name: str, rows: Iterable[dict]) -> str:
-    """A file of JSON lines that appears whole, so that a stream never reads half of it."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    part, target = Path(folder) / f".{name}.part", Path(folder) / name
-    part.write_text("".join(json.dumps(r) + "\n" for r in rows))
-    os.replace(part, target)
-    return str(target)
+    """A file of JSON lines that appears whole, so that a stream never reads half of it. The name must be new."""
+    put_text(SparkSession.active(), f"{folder}/{name}", "".join(json.dumps(r) + "\n" for r in rows))
+    return f"{folder}/{name}"

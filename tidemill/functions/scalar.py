@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,10 +81,20 @@ def severe_label(delay: Column | str, threshold: float = 30) -> Column:
     return (_col(delay) > threshold).cast("double")
 
 
+#: Entries of each part of a lookup literal, about.
+PART = 8
+
+
 def mapped(c: Column | str, table: dict[str, float], default: float) -> Column:
-    """A learned lookup as one literal: a JSON text parsed once, whatever its size. Missing keys: the default."""
-    literal = F.from_json(F.lit(json.dumps(table)), "map<string,double>")
-    return F.coalesce(F.try_element_at(literal, _col(c).cast("string")), F.lit(float(default)))
+    """A learned lookup as one literal, parsed once: maps by checksum of the key, so that a row is held against some
+    eight keys, however many there are. Missing and null keys: the default."""
+    key = _col(c).cast("string")
+    parts: list[dict[str, float]] = [{} for _ in range(len(table) // PART + 1)]
+    for k, v in table.items():
+        parts[zlib.crc32(k.encode()) % len(parts)][k] = v
+    literal = F.from_json(F.lit(json.dumps(parts)), "array<map<string,double>>")
+    part = F.element_at(literal, (F.crc32(key.cast("binary")) % len(parts) + 1).cast("int")) if len(parts) > 1 else literal[0]
+    return F.coalesce(F.try_element_at(part, key), F.lit(float(default)))
 
 
 def hash_bucket(key: Column | str, buckets: int = 100, salt: int = 0) -> Column:

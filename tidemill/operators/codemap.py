@@ -9,7 +9,7 @@ from tidemill.functions.scalar import haversine_miles
 from tidemill.operators.curate import small
 
 NUMERIC = "^[0-9]+$"
-#: Miles: a code whose median error is over SUSPECT is looked at again. A refit is taken up to FIT, if the
+#: Fixed values. Miles: a code whose median error is over SUSPECT is looked at again. A refit is taken up to FIT, if the
 #: runner-up is MARGIN behind or RATIO times as far. Rounds of refitting.
 SUSPECT, FIT, MARGIN, RATIO, FLOOR, ROUNDS = 25.0, 10.0, 25.0, 5.0, 0.5, 6
 
@@ -40,7 +40,7 @@ def numeric_codes(df: DataFrame, origin: str, dest: str) -> DataFrame:
 def one_directional(df: DataFrame, keys: list[str], origin: str, dest: str) -> DataFrame:
     """Rows of keys that go one way only: exactly one distinct origin>dest. Null keys match nothing."""
     way = F.concat_ws(">", origin, dest)
-    single = df.groupBy(*keys).agg(F.count_distinct(way).alias("ways")).where("ways = 1").select(*keys)
+    single = df.groupBy(*keys).agg(F.min(way).alias("low"), F.max(way).alias("high")).where("low = high").select(*keys)
     return df.join(single, keys, "left_semi")
 
 
@@ -48,12 +48,14 @@ def vote_mapping(encoded: DataFrame, clean: DataFrame, keys: list[str], origin:
     """dot_code, iata_code, votes, total, share: one vote for each key and end; ties go to the smaller code."""
     a, b = one_directional(encoded, keys, origin, dest), one_directional(clean, keys, origin, dest)
 
-    def end(c: str) -> DataFrame:
-        codes = a.select(*keys, F.col(c).alias("dot_code")).where(F.col("dot_code").rlike(NUMERIC)).distinct()
-        names = b.select(*keys, F.col(c).alias("iata_code")).where(~F.col("iata_code").rlike(NUMERIC)).distinct()
-        return codes.join(names, keys).select("dot_code", "iata_code")
+    def ends(df: DataFrame, to: str) -> DataFrame:
+        """Both ends of each row at once, told apart by which they are."""
+        both = F.explode(F.array(F.struct(F.lit(0).alias("__end"), F.col(origin).alias(to)), F.struct(F.lit(1).alias("__end"), F.col(dest).alias(to))))
+        return df.select(*keys, both.alias("__e")).select(*keys, "__e.*")
 
-    tally = end(origin).unionByName(end(dest)).groupBy("dot_code", "iata_code").agg(F.count(F.lit(1)).alias("votes"))
+    codes = ends(a, "dot_code").where(F.col("dot_code").rlike(NUMERIC)).distinct()
+    names = ends(b, "iata_code").where(~F.col("iata_code").rlike(NUMERIC)).distinct()
+    tally = codes.join(names, [*keys, "__end"]).groupBy("dot_code", "iata_code").agg(F.count(F.lit(1)).alias("votes"))
     best = Window.partitionBy("dot_code").orderBy(F.desc("votes"), "iata_code")
     ranked = tally.withColumns({"rn": F.row_number().over(best), "total": F.sum("votes").over(Window.partitionBy("dot_code"))})
     return ranked.where("rn = 1").select("dot_code", "iata_code", "votes", "total", (F.col("votes") / F.col("total")).alias("share"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,35 +30,83 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
     return per.agg((F.sum("tp") / F.sum("t")).alias("accuracy"), (F.sum(f1 * F.col("t")) / F.sum("t")).alias("weighted_f1"), F.sum("t").alias("n"))
 
 
-def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
-    """Area under the ROC curve by ranks of distinct scores; ties count half.
+def ranged(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
+    """Adds __b, the number of the range of a numeric column that a row falls in; ranges hold about as many rows each."""
+    cuts = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    number = F.lit(0)
+    for c in sorted({float(c) for c in cuts}):
+        number = number + (F.col(order) > c).cast("int")
+    return df.withColumn("__b", number)
 
-    Scores are counted, and the counts dealt out by ranges of the score: running sums stay within a
-    range, and what lies before each comes from one row for each range.
+
+def running(df: DataFrame, order: str, value: str, to: str, ranges: int = 64) -> DataFrame:
+    """Adds the sum of a column over all rows before, by a numeric column without ties; null: nothing before.
+
+    Rows are dealt out by ranges: sums run within a range, and what lies before each comes from one row for each range.
     """
+    by, upto = ranged(df, order, ranges), (Window.unboundedPreceding, -1)
+    totals = by.groupBy("__b").agg(F.sum(value).alias("__n")).select("__b", F.sum("__n").over(Window.orderBy("__b").rowsBetween(*upto)).alias("__base"))
+    within = F.sum(value).over(Window.partitionBy("__b").orderBy(order).rowsBetween(*upto))
+    joined = by.withColumn("__within", within).join(F.broadcast(totals), "__b")  # one row for each range
+    return joined.withColumn(to, F.coalesce(F.col("__base") + F.col("__within"), "__base", "__within")).drop("__b", "__base", "__within")
+
+
+def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
+    """Area under the ROC curve by ranks of distinct scores; ties count half. Scores are counted before they are ranked."""
     by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s"))
     by = by.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"))
-    cuts = by.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
-    number = F.lit(0)
-    for c in sorted({float(c) for c in cuts}):
-        number = number + (F.col("s") > c).cast("int")
-    by = by.withColumn("b", number)
-    upto = Window.unboundedPreceding, -1
-    totals = by.groupBy("b").agg(F.sum("neg").alias("n")).select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(*upto)), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("s").rowsBetween(*upto)), F.lit(0))
-    each = by.withColumn("within", within).join(F.broadcast(totals), "b")  # one row for each range
-    return each.agg((F.sum(F.col("pos") * (F.col("base") + F.col("within") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc_roc"))
+    below = F.coalesce("below", F.lit(0))
+    return running(by, "s", "neg", "below", ranges).agg((F.sum(F.col("pos") * (below + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc_roc"))
+
+
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], n: int, accuracy: int = 10_000) -> list[float]:
+    """The values at so many places, counted from 0, in ascending order of a numeric column of n values: exact, in bounded memory.
+
+    A sketch brackets each place; the rows outside a bracket are only counted, those inside are counted
+    by value, and the running count is taken by ranges.
+    """
+    v, out = F.col(value), []
+    near = [(max(0.0, k / n - 3 / accuracy), min(1.0, (k + 1) / n + 3 / accuracy)) for k in ranks]
+    found = df.agg(F.percentile_approx(value, [x for pair in near for x in pair], accuracy), F.min(value), F.max(value)).first()
+    brackets = [(float(found[0][2 * i]), float(found[0][2 * i + 1])) for i in range(len(ranks))]
+    below = df.agg(*(F.count(F.when(v < a, 1)) for a, _ in brackets), *(F.count(F.when(v <= b, 1)) for _, b in brackets)).first()
+    for i, (k, (a, b)) in enumerate(zip(ranks, brackets, strict=True)):
+        before, upto = below[i], below[len(ranks) + i]
+        if not before <= k < upto:  # the sketch was off: the whole column
+            a, b, before = float(found[1]), float(found[2]), 0
+        inside = df.where((v >= a) & (v <= b)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        placed = running(inside, "v", "n", "before", 16).withColumn("before", F.coalesce("before", F.lit(0)) + before)
+        out.append(float(placed.where((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first()["v"]))
+    return out
+
+
+def quantiles(df: DataFrame, value: Column, shares: Sequence[float], between: bool = False) -> list[float | None]:
+    """Exact quantiles: the value at which a share of the rows is reached, or between, weighed by place. Nulls don't count."""
+    rows = df.select(value.cast("double").alias("q")).where("q is not null")
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    if not between:
+        return order_statistics(rows, "q", [max(0, math.ceil(p * n - 1e-9) - 1) for p in shares], n)
+    at = [p * (n - 1) for p in shares]
+    ranks = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    values = dict(zip(ranks, order_statistics(rows, "q", ranks, n), strict=True))
+    return [values[math.floor(x)] + (x - math.floor(x)) * (values[math.ceil(x)] - values[math.floor(x)]) for x in at]
+
+
+_TAILS = {"p00_5": 0.005, "p01": 0.01, "p99": 0.99, "p99_5": 0.995}
 
 
 def residual_summary(df: DataFrame, residual: Column, accuracy: int | None = 100_000) -> DataFrame:
-    """Mean, deviation and four percentiles. The exact ones (no accuracy) hold every distinct value in one
-    place and are for small tables; the others are within a rank of one in accuracy, in bounded memory."""
+    """Mean, deviation and four percentiles, in bounded memory: within a rank of one in accuracy, or exact (no accuracy)
+    with places in between weighed, at the cost of some more passes."""
     r = df.select(residual.alias("r")).where("r is not null")
-    at = F.array(*map(F.lit, (0.005, 0.01, 0.99, 0.995)))
-    q = F.percentile("r", at) if accuracy is None else F.percentile_approx("r", at, accuracy)
-    return r.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), q.alias("q")).select(
-        "n", "mean", "sd", *(F.col("q")[k].alias(f"p{name}") for k, name in enumerate(("00_5", "01", "99", "99_5")))
-    )
+    plain = (F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
+    if accuracy is None:
+        exact = quantiles(r, F.col("r"), list(_TAILS.values()), between=True)
+        return r.agg(*plain, *(F.lit(v).cast("double").alias(name) for name, v in zip(_TAILS, exact, strict=True)))
+    q = F.percentile_approx("r", F.array(*map(F.lit, _TAILS.values())), accuracy)
+    return r.agg(*plain, q.alias("q")).select("n", "mean", "sd", *(F.col("q")[k].alias(name) for k, name in enumerate(_TAILS)))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
@@ -77,8 +128,8 @@ def top_k(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:
 
 
 def running_share(df: DataFrame, order: str, value: str) -> DataFrame:
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("cumulative", F.sum(value).over(w))
+    """Adds cumulative, the sum of a column up to each row, by a numeric column without ties."""
+    return running(df, order, value, "__before").withColumn("cumulative", F.coalesce("__before", F.lit(0)) + F.col(value)).drop("__before")
 
 
 def fingerprint(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -205,8 +205,8 @@ def one_directional(spark, sf):
     return codemap.one_directional(legs(spark, sf), ["l_orderkey"], "origin", "dest").select("l_orderkey", "l_linenumber", "l_suppkey", "o_custkey", "origin", "dest")
 
 
-_VOTES = f"""{DRIFT}, bad AS (SELECT month FROM drift GROUP BY 1 HAVING sum(CAST(regexp_matches(origin, {_NUM}) OR regexp_matches(dest, {_NUM}) AS INTEGER)) > 0),
-enc AS (SELECT * FROM drift WHERE month IN (SELECT month FROM bad)), cln AS (SELECT * FROM drift WHERE month NOT IN (SELECT month FROM bad)),
+_VOTES = f"""{DRIFT}, drifting AS (SELECT month FROM drift GROUP BY 1 HAVING sum(CAST(regexp_matches(origin, {_NUM}) OR regexp_matches(dest, {_NUM}) AS INTEGER)) > 0),
+enc AS (SELECT * FROM drift WHERE month IN (SELECT month FROM drifting)), cln AS (SELECT * FROM drift WHERE month NOT IN (SELECT month FROM drifting)),
 enc1 AS (SELECT * FROM enc WHERE o_custkey IN (SELECT o_custkey FROM enc GROUP BY o_custkey, distance HAVING count(DISTINCT concat_ws('>', origin, dest)) = 1)),
 cln1 AS (SELECT * FROM cln WHERE o_custkey IN (SELECT o_custkey FROM cln GROUP BY o_custkey, distance HAVING count(DISTINCT concat_ws('>', origin, dest)) = 1)),
 pairs AS (SELECT e.c AS dot_code, k.c AS iata_code FROM (SELECT DISTINCT o_custkey, distance, origin AS c FROM enc1 WHERE regexp_matches(origin, {_NUM})) e JOIN (SELECT DISTINCT o_custkey, distance, origin AS c FROM cln1) k USING (o_custkey, distance)
@@ -259,30 +259,54 @@ def suspect_codes(spark, sf):
     return codemap.suspects(codes, m, codemap.per_code_error(routes, m, coords))
 
 
+_BAD = "bad AS (SELECT code FROM (SELECT origin AS code FROM routes UNION SELECT dest FROM routes) WHERE code NOT IN (SELECT dot_code FROM m) UNION SELECT code FROM errors WHERE median_err > 25.0)"
+_SCORE = HAV.replace("olat", "lat").replace("olon", "lon").replace("dlat", "tlat").replace("dlon", "tlon")
+
+
+def _scored(k: str) -> str:
+    """Best candidate w{k} of each code of todo{k}, by its routes to the codes of t{k} (dot_code, iata_code)."""
+    return f"""tr{k} AS (SELECT dot_code, iata_code, lat AS tlat, lon AS tlon FROM t{k} JOIN geo ON iata_code = place),
+    obs{k} AS (SELECT code, tlat, tlon, distance FROM (SELECT origin AS code, dest AS other, distance FROM routes UNION ALL SELECT dest, origin, distance FROM routes) JOIN tr{k} ON other = dot_code WHERE code IN (SELECT code FROM todo{k})),
+    sc{k} AS (SELECT code, place AS iata, median(abs({_SCORE} - distance)) AS score, count(*) AS n_obs FROM obs{k} JOIN geo ON place NOT IN (SELECT iata_code FROM t{k}) GROUP BY ALL),
+    w{k} AS MATERIALIZED (SELECT *, coalesce(runner, 'Infinity'::DOUBLE) AS runner_up FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score, iata) AS rn, lead(score) OVER (PARTITION BY code ORDER BY score, iata) AS runner FROM sc{k}) WHERE rn = 1)"""
+
+
+def _refits(rounds: int) -> str:
+    """t{rounds}: trusted votes of m, and what that many rounds of refitting add; bad has the codes in doubt."""
+    out = ["t0 AS (SELECT dot_code, iata_code, 'vote' AS source, NULL::DOUBLE AS score FROM m WHERE dot_code NOT IN (SELECT code FROM bad))"]
+    for k in range(rounds):
+        out += [
+            f"todo{k} AS (SELECT code FROM bad WHERE code NOT IN (SELECT dot_code FROM t{k}))",
+            _scored(str(k)),
+            f"""ok{k} AS (SELECT code, iata, score FROM w{k} WHERE score <= {codemap.FIT} AND (runner_up - score >= {codemap.MARGIN} OR runner_up >= {codemap.RATIO} * greatest(score, {codemap.FLOOR}))
+            QUALIFY row_number() OVER (PARTITION BY iata ORDER BY score, code) = 1)""",
+            f"t{k + 1} AS MATERIALIZED (SELECT * FROM t{k} UNION ALL SELECT code, iata, 'geometric', score FROM ok{k})",
+        ]
+    return ", ".join(out)
+
+
+def _doubted(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    routes, m, coords = _wrong(spark, sf)
+    codes = codemap.numeric_codes(drift(spark, sf).where("month = 10"), "origin", "dest")
+    return routes, m, coords, codemap.suspects(codes, m, codemap.per_code_error(routes, m, coords))
+
+
 @query(
-    f"""WITH {_ERRORS}, wanted AS (SELECT DISTINCT origin AS code FROM routes WHERE origin IN ('10000', '10013')),
-    trusted AS (SELECT dot_code, iata_code, lat AS tlat, lon AS tlon FROM m JOIN geo ON iata_code = place WHERE CAST(dot_code AS INTEGER) % 5 <> 0),
-    obs AS (SELECT code, tlat, tlon, distance FROM (SELECT origin AS code, dest AS other, distance FROM routes UNION ALL SELECT dest, origin, distance FROM routes) JOIN trusted ON other = dot_code WHERE code IN (SELECT code FROM wanted)),
-    cand AS (SELECT place AS iata, lat, lon FROM geo WHERE place NOT IN (SELECT iata_code FROM trusted)),
-    scored AS (SELECT code, iata, median(abs({HAV.replace('olat', 'lat').replace('olon', 'lon').replace('dlat', 'tlat').replace('dlon', 'tlon')} - distance)) AS score, count(*) AS n_obs FROM obs CROSS JOIN cand GROUP BY ALL),
-    w AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score, iata) AS rn, lead(score) OVER (PARTITION BY code ORDER BY score, iata) AS runner FROM scored)
-    SELECT code, iata, round(score, 6) AS score, round(coalesce(runner - score, -1), 6) AS margin, n_obs FROM w WHERE rn = 1"""
+    f"""WITH {_ERRORS}, {_BAD}, t AS (SELECT dot_code, iata_code FROM m WHERE dot_code NOT IN (SELECT code FROM bad)), todo AS (SELECT code FROM bad), {_scored("")}
+    SELECT code, iata, round(score, 6) AS score, round(coalesce(runner - score, -1), 6) AS margin, n_obs FROM w"""
 )
 def refit_scores(spark, sf):
-    routes, m, coords = _wrong(spark, sf)
-    wanted = routes.where(F.col("origin").isin("10000", "10013")).select(F.col("origin").alias("code")).distinct()
-    trusted = m.where(F.col("dot_code").cast("int") % 5 != 0)
-    s = codemap.score_candidates(routes, wanted, trusted, coords)
+    routes, m, coords, bad = _doubted(spark, sf)
+    trusted = m.join(bad, m["dot_code"] == bad["code"], "left_anti")
+    s = codemap.score_candidates(routes, bad, trusted, coords)
     margin = F.when(F.col("margin") == float("inf"), F.lit(-1.0)).otherwise(F.col("margin"))
     return s.select("code", "iata", r6(F.col("score"), "score"), r6(margin, "margin"), "n_obs")
 
 
-@query()
+@query(f"WITH {_ERRORS}, {_BAD}, {_refits(codemap.ROUNDS)} SELECT dot_code, iata_code, source, round(score, 6) AS score FROM t{codemap.ROUNDS}")
 def geometric_refit(spark, sf):
-    routes, m, coords = _wrong(spark, sf)
-    codes = codemap.numeric_codes(drift(spark, sf).where("month = 10"), "origin", "dest")
-    bad = codemap.suspects(codes, m, codemap.per_code_error(routes, m, coords))
-    return codemap.geometric_refit(routes, m, bad, coords)
+    routes, m, coords, bad = _doubted(spark, sf)
+    return codemap.geometric_refit(routes, m, bad, coords).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -299,10 +323,8 @@ def mapping_quality(spark, sf):
 )
 def haversine_error_pcts(spark, sf):
     miles = S.haversine_miles("olat", "olon", "dlat", "dlon")
-    err = legs(spark, sf).select(F.abs(miles - F.round(miles / 50) * 50).alias("err"))
-    # The accuracy is over the number of rows that any one group of this query has, so ranks are exact.
-    q = F.percentile_approx("err", F.array(F.lit(0.5), F.lit(0.99)), 2_000_000)
-    return err.agg(q.alias("q")).select(r6(F.col("q")[0], "p50"), r6(F.col("q")[1], "p99"))
+    p50, p99 = metrics.quantiles(legs(spark, sf).select("olat", "olon", "dlat", "dlon"), F.abs(miles - F.round(miles / 50) * 50), (0.5, 0.99))
+    return spark.range(1).select(r6(F.lit(p50), "p50"), r6(F.lit(p99), "p99"))
 
 
 # --- learned stages --------------------------------------------------------------------------------
@@ -502,10 +524,16 @@ def auc_roc(spark, sf):
     return metrics.auc(_classified(spark, sf), "y", "f").select(r6(F.col("auc_roc"), "auc_roc"))
 
 
-@query()
+@query(
+    f"""WITH {_CLS}, g AS (SELECT f, sum(y) AS pos, sum(1 - y) AS neg FROM c GROUP BY f),
+    b AS (SELECT f, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g WINDOW w AS (ORDER BY f DESC ROWS UNBOUNDED PRECEDING)),
+    x AS (SELECT tp / p AS r, tp / (tp + fp) AS q, coalesce(lag(tp) OVER w / p, 0) AS r0, coalesce(lag(tp / (tp + fp)) OVER w, tp / (tp + fp)) AS q0, fp / n AS e, coalesce(lag(fp) OVER w / n, 0) AS e0 FROM b WINDOW w AS (ORDER BY f DESC))
+    SELECT round(sum((e - e0) * (r + r0) / 2), 6) AS "areaUnderROC", round(sum((r - r0) * (q + q0) / 2), 6) AS "areaUnderPR" FROM x"""
+)
 def binary_evaluator(spark, sf):
     d = _classified(spark, sf)
-    got = {m: BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="f", metricName=m).evaluate(d) for m in ("areaUnderROC", "areaUnderPR")}
+    # Every distinct score is a point of the curves; with bins, the areas are those of a coarser curve.
+    got = {m: BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="f", metricName=m, numBins=0).evaluate(d) for m in ("areaUnderROC", "areaUnderPR")}
     return spark.range(1).select(*(r6(F.lit(v), k) for k, v in got.items()))
 
 
@@ -542,67 +570,84 @@ def topk(spark, sf):
     return metrics.top_k(read(spark, sf, "events").select("event_id", "value"), "value", 15, "event_id").select("event_id", r6(F.col("value"), "value"), "rank")
 
 
-_VARIANCE = ((1, 0.12), (2, 0.06), (3, 0.04), (4, 0.03), (5, 0.02))
-_IMPORTANCE = tuple((f"feature_{i:02d}", round(1.0 / (i * i % 17 + 1), 4)) for i in range(1, 31))
-#: (name, model, arm, task, status, started, rmse, auc)
-_RUNS = (
-    ("linear_regression__pca", "linear_regression", "pca", "regression", "FINISHED", 1.0, 21.5, None),
-    ("linear_regression__nopca", "linear_regression", "nopca", "regression", "FINISHED", 2.0, 10.9, None),
-    ("linear_regression__nopca", "linear_regression", "nopca", "regression", "FINISHED", 7.0, 10.5, None),
-    ("gbt_regressor__nopca", "gbt_regressor", "nopca", "regression", "FINISHED", 3.0, 12.8, None),
-    ("gbt_regressor__pca", "gbt_regressor", "pca", "regression", "FAILED", 4.0, None, None),
-    ("gbt_classifier__nopca", "gbt_classifier", "nopca", "classification", "FINISHED", 5.0, None, 0.98),
-    ("linear_svc__nopca", "linear_svc", "nopca", "classification", "FINISHED", 6.0, None, 0.97),
-    ("scratch", "scratch", "-", "regression", "FINISHED", 8.0, 1.0, None),
-)
+_PARTS = ("l_quantity", "l_discount * 100", "l_tax * 100", "l_extendedprice / 10000")
 
 
-def _values(rows, names: str) -> str:
-    cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
-
-
-@query(f"SELECT k, CAST(share AS DOUBLE) AS share, round(sum(CAST(share AS DOUBLE)) OVER (ORDER BY k), 6) AS cumulative FROM {_values(_VARIANCE, 'k, share')}")
+@query(
+    "WITH v AS (" + " UNION ALL ".join(f"SELECT {k + 1} AS k, var_pop({c}) AS x FROM lineitem" for k, c in enumerate(_PARTS)) + """), s AS (SELECT k, x / sum(x) OVER () AS share FROM v)
+    SELECT k, round(share, 6) AS share, round(sum(share) OVER (ORDER BY k), 6) AS cumulative FROM s"""
+)
 def cumulative_variance(spark, sf):
-    d = spark.createDataFrame(_VARIANCE, "k int, share double")
-    return metrics.running_share(d, "k", "share").withColumn("cumulative", F.round("cumulative", 6))
+    each = read(spark, sf, "lineitem").agg(*(F.var_pop(F.expr(c)).alias(f"v{k}") for k, c in enumerate(_PARTS)))
+    total = sum((F.col(f"v{k}") for k in range(1, len(_PARTS))), F.col("v0"))
+    rows = each.select(F.explode(F.array(*(F.struct(F.lit(k + 1).alias("k"), (F.col(f"v{k}") / total).alias("share")) for k in range(len(_PARTS))))).alias("r")).select("r.*")
+    return metrics.running_share(rows, "k", "share").select("k", r6(F.col("share"), "share"), r6(F.col("cumulative"), "cumulative"))
 
 
-@query(f"SELECT name, CAST(value AS DOUBLE) AS value, CAST(row_number() OVER (ORDER BY value DESC, name) AS INTEGER) AS rank FROM {_values(_IMPORTANCE, 'name, value')} QUALIFY row_number() OVER (ORDER BY value DESC, name) <= 15")
+@query(
+    """WITH v AS (SELECT p_brand || ' ' || p_type AS name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+    SELECT name, value, CAST(row_number() OVER (ORDER BY value DESC, name) AS INTEGER) AS rank FROM v QUALIFY row_number() OVER (ORDER BY value DESC, name) <= 15"""
+)
 def importance_topk(spark, sf):
-    return metrics.top_k(spark.createDataFrame(_IMPORTANCE, "name string, value double"), "value", 15, "name")
-
-
-_RUN_COLUMNS = "name, model, arm, task, status, started, rmse, auc"
-_DONE = f"r AS (SELECT name, model, arm, task, status, CAST(started AS DOUBLE) AS started, CAST(rmse AS DOUBLE) AS rmse, CAST(auc AS DOUBLE) AS auc FROM {_values(_RUNS, _RUN_COLUMNS)}), done AS (SELECT * FROM r WHERE status = 'FINISHED' AND contains(name, '__') QUALIFY row_number() OVER (PARTITION BY name ORDER BY started DESC) = 1)"
-
-
-def _finished(spark) -> DataFrame:
+    parts = read(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("name"))
+    sold = read(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("name")
+    return metrics.top_k(sold.agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("value")), "value", 15, "name")
+
+
+# Runs made of the events: one for each type and day, odd days on one arm and even ones on the other, some failed, some
+# without an arm. A rerun of a name is another day's.
+_DAYS = f"""{EV}, days AS (SELECT airline, CAST(day(ts) AS INTEGER) AS d, count(*) AS n, stddev_pop(ev.value) AS spread, avg(CAST(ev.value > 30 AS INTEGER)) AS share FROM ev JOIN events USING (event_id) GROUP BY ALL),
+r AS (SELECT CASE WHEN airline = 'error' AND d % 4 = 0 THEN airline ELSE airline || '__' || CASE WHEN d % 2 = 0 THEN 'nopca' ELSE 'pca' END END AS name, airline AS model, CASE WHEN d % 2 = 0 THEN 'nopca' ELSE 'pca' END AS arm,
+  CASE WHEN airline IN ('click', 'view') THEN 'classification' ELSE 'regression' END AS task, CASE WHEN n % 3 = 0 THEN 'FAILED' ELSE 'FINISHED' END AS status, CAST(d AS DOUBLE) AS started,
+  CASE WHEN airline NOT IN ('click', 'view') THEN round(spread, 6) END AS rmse, CASE WHEN airline IN ('click', 'view') THEN round(share, 6) END AS auc FROM days),
+done AS (SELECT * FROM r WHERE status = 'FINISHED' AND contains(name, '__') QUALIFY row_number() OVER (PARTITION BY name ORDER BY started DESC) = 1)"""
+
+
+def _runs(spark, sf) -> DataFrame:
+    e = read(spark, sf, "events").select(F.col("event_type").alias("model"), F.dayofmonth("ts").alias("d"), "value")
+    days = e.groupBy("model", "d").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("spread"), F.avg((F.col("value") > 30).cast("int")).alias("share"))
+    arm, two = F.when(F.col("d") % 2 == 0, "nopca").otherwise("pca"), F.col("model").isin("click", "view")
+    return days.select(
+        F.when((F.col("model") == "error") & (F.col("d") % 4 == 0), F.col("model")).otherwise(F.concat_ws("__", "model", arm)).alias("name"),
+        "model",
+        arm.alias("arm"),
+        F.when(two, "classification").otherwise("regression").alias("task"),
+        F.when(F.col("n") % 3 == 0, "FAILED").otherwise("FINISHED").alias("status"),
+        F.col("d").cast("double").alias("started"),
+        F.when(~two, F.round("spread", 6)).alias("rmse"),
+        F.when(two, F.round("share", 6)).alias("auc"),
+    )
+
+
+def _finished(spark, sf) -> DataFrame:
     from tidemill.ml.tracking import latest_finished
 
-    rows = spark.createDataFrame(_RUNS, "name string, model string, arm string, task string, status string, started double, rmse double, auc double")
     kept = F.map_filter(F.create_map(F.lit("rmse"), F.col("rmse"), F.lit("auc"), F.col("auc")), lambda k, v: v.isNotNull())
-    return latest_finished(rows.withColumns({"run_id": F.col("name"), "metrics": kept})).drop("run_id", "metrics")
+    return latest_finished(_runs(spark, sf).withColumns({"run_id": F.col("name"), "metrics": kept})).drop("run_id", "metrics")
 
 
-@query(f"WITH {_DONE} SELECT name, started FROM done")
+@query(f"WITH {_DAYS} SELECT name, started FROM done")
 def resume_completed_arms(spark, sf):
-    return _finished(spark).select("name", "started")
+    return _finished(spark, sf).select("name", "started")
 
 
-@query(f"WITH {_DONE} SELECT task, name, CAST(row_number() OVER (PARTITION BY task ORDER BY CASE WHEN task = 'regression' THEN rmse ELSE -auc END NULLS LAST, name) AS INTEGER) AS rank FROM done")
+@query(f"WITH {_DAYS} SELECT task, name, CAST(row_number() OVER (PARTITION BY task ORDER BY CASE WHEN task = 'regression' THEN rmse ELSE -auc END NULLS LAST, name) AS INTEGER) AS rank FROM done")
 def tournament_table(spark, sf):
-    return report.ranked(_finished(spark)).select("task", "name", "rank")
+    return report.ranked(_finished(spark, sf)).select("task", "name", "rank")
 
 
-@query(f"WITH {_DONE} SELECT model, any_value(rmse) FILTER (arm = 'pca') AS pca, any_value(rmse) FILTER (arm = 'nopca') AS nopca FROM done GROUP BY model")
+@query(f"WITH {_DAYS} SELECT model, any_value(rmse) FILTER (arm = 'pca') AS pca, any_value(rmse) FILTER (arm = 'nopca') AS nopca FROM done GROUP BY model")
 def arm_comparison(spark, sf):
-    return report.arm_comparison(_finished(spark), "rmse")
+    return report.arm_comparison(_finished(spark, sf), "rmse")
 
 
-@query(f"WITH {_DONE} SELECT arg_min(name, rmse) AS name, min(rmse) AS rmse FROM done WHERE task = 'regression'")
+@query(f"WITH {_DAYS} SELECT arg_min(name, (rmse, name)) AS name, min(rmse) AS rmse FROM done WHERE task = 'regression'")
 def tournament_winner(spark, sf):
-    return _finished(spark).where("task = 'regression'").agg(F.min_by("name", "rmse").alias("name"), F.min("rmse").alias("rmse"))
+    from tidemill.ml.tournament import winner
+
+    rows = {r["name"]: {"task": r["task"], "metrics": {"rmse": r["rmse"]} if r["rmse"] is not None else {}} for r in _finished(spark, sf).collect()}  # one row for each arm
+    best = winner(rows)
+    return spark.createDataFrame([(best, rows[best]["metrics"]["rmse"])], "name string, rmse double")
 
 
 @query("SELECT round(sum(l_quantity), 4) AS l_quantity, round(sum(l_discount), 4) AS l_discount, round(sum(l_tax), 4) AS l_tax FROM lineitem")
@@ -617,7 +662,20 @@ def subset_check(spark, sf):
     return one.unionByName(metrics.missing_keys(orders, lines, "k").select(F.lit("lines").alias("part"), "missing"))
 
 
-@query()
+_EACH = f"""each AS (SELECT origin, dest, abs({HAV} - distance) AS err FROM (SELECT r.*, o.lat AS olat, o.lon AS olon, d.lat AS dlat, d.lon AS dlon FROM routes r JOIN k o ON origin = o.dot_code JOIN k d ON dest = d.dot_code)),
+errors AS (SELECT code, median(err) AS median_err FROM (SELECT origin AS code, err FROM each UNION ALL SELECT dest, err FROM each) GROUP BY code)"""
+_LAST = _EACH.replace("each", "each2").replace("errors", "errors2").replace("JOIN k ", "JOIN k2 ")
+
+
+@query(
+    f"""WITH {_VOTES}, m AS (SELECT dot_code, iata_code FROM votes WHERE rn = 1 AND iata_code IN (SELECT place FROM geo)),
+    numeric AS (SELECT * FROM enc WHERE regexp_matches(origin, {_NUM}) AND regexp_matches(dest, {_NUM})), routes AS (SELECT DISTINCT origin, dest, distance FROM numeric),
+    k AS (SELECT dot_code, lat, lon FROM m JOIN geo ON iata_code = place), {_EACH},
+    bad AS (SELECT code FROM (SELECT origin AS code FROM enc WHERE regexp_matches(origin, {_NUM}) UNION SELECT dest FROM enc WHERE regexp_matches(dest, {_NUM})) WHERE code NOT IN (SELECT dot_code FROM m)
+      UNION SELECT code FROM errors WHERE median_err > {codemap.SUSPECT}),
+    {_refits(codemap.ROUNDS)}, k2 AS (SELECT dot_code, lat, lon FROM t{codemap.ROUNDS} JOIN geo ON iata_code = place), {_LAST}
+    SELECT dot_code, iata_code, source, round(median_err, 3) AS median_err_mi FROM t{codemap.ROUNDS} LEFT JOIN errors2 ON dot_code = code"""
+)
 def code_map(spark, sf):
     """The whole inference over the drifting feed: votes, errors and refits."""
     coords = geo(spark, sf).select(F.col("place").alias("iata"), "lat", "lon")
@@ -650,19 +708,32 @@ def _fit(spark, sf, est, label: str) -> DataFrame:
     return model.transform(test).select("event_id", r6(F.col("prediction"), "prediction"))
 
 
-@query()
+_AXES = "l_quantity AS a, l_extendedprice / 1000 AS b"
+
+
+@query(
+    f"""WITH d AS (SELECT {_AXES} FROM lineitem), c AS (SELECT var_samp(a) AS x, var_samp(b) AS y, covar_samp(a, b) AS z FROM d), e AS (SELECT (x + y) / 2 AS mid, sqrt(pow((x - y) / 2, 2) + z * z) AS off, x + y AS total FROM c)
+    SELECT 1 AS k, round((mid + off) / total, 6) AS share, round((mid + off) / total, 6) AS cumulative FROM e UNION ALL SELECT 2, round((mid - off) / total, 6), 1.0 FROM e"""
+)
 def pca_variance(spark, sf):
-    d = _training(spark, sf)
-    model = Pipeline(stages=_small_chain("delay", True)).fit(d).stages[-1]
+    d = VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(read(spark, sf, "lineitem").selectExpr(*_AXES.split(", ")))
+    model = PCA(k=2, inputCol="v", outputCol="pc").fit(d)
     rows = [(i + 1, float(x)) for i, x in enumerate(model.explainedVariance)]
-    return metrics.running_share(spark.createDataFrame(rows, "k int, share double"), "k", "share")
+    return metrics.running_share(spark.createDataFrame(rows, "k int, share double"), "k", "share").select("k", r6(F.col("share"), "share"), r6(F.col("cumulative"), "cumulative"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS by_,
+      avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_extendedprice) AS y FROM lineitem), s AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS s0, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS s1 FROM c)
+    SELECT round(s0, 4) AS quantity, round(s1, 2) AS discount, round(y - s0 * a - s1 * b, 3) AS intercept FROM s"""
+)
 def linear_fit(spark, sf):
     from pyspark.ml.regression import LinearRegression
 
-    return _fit(spark, sf, LinearRegression(maxIter=50, regParam=0.01), "delay")
+    d = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(read(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"))
+    m = LinearRegression(labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(d)
+    row = (*(float(x) for x in m.coefficients), float(m.intercept))
+    return spark.range(1).select(*(F.round(F.lit(v), digits).alias(n) for v, digits, n in zip(row, (4, 2, 3), ("quantity", "discount", "intercept"), strict=True)))
 
 
 @query()
@@ -713,29 +784,29 @@ def gbt_classifier_fit(spark, sf):
     return _fit(spark, sf, GBTClassifier(maxIter=5, maxDepth=3, maxBins=64, seed=7), "severe")
 
 
-@query()
+@query(f"WITH {EV} SELECT event_id, airline, round(value - 30, 6) AS prediction FROM ev WHERE delay IS NOT NULL AND place IS NOT NULL")
 def stream_score(spark, sf):
-    """Events written as JSON, scored as a stream, one file a batch, and read back."""
+    """Events written as JSON, scored as a stream, one file a batch, and read back. The model has learned what the delay is."""
+    from pyspark.ml.regression import LinearRegression
+
     from tidemill.plans.contract import ServingContract
     from tidemill.sources.store import work_folder
     from tidemill.streaming.score import drain, start_scoring
 
     work = work_folder(spark, "stream")
     d = _training(spark, sf).drop("severe")
-    model = Pipeline(stages=[*_small_chain("delay", False), _linear()]).fit(d)
+    chain = [VectorAssembler(inputCols=["value"], outputCol="features"), LinearRegression(labelCol="delay", regParam=0.0, solver="normal")]
+    model = Pipeline(stages=chain).fit(d)
     d.drop("delay").coalesce(2).write.mode("overwrite").json(f"{work}/in")
     contract = ServingContract.of(d, ("delay",))
     drain(start_scoring(spark, f"{work}/in", contract, model, f"{work}/out", f"{work}/checkpoint", keep=("event_id", "airline")))
     return spark.read.parquet(f"{work}/out").select("event_id", "airline", r6(F.col("prediction"), "prediction"))
 
 
-def _linear():
-    from pyspark.ml.regression import LinearRegression
-
-    return LinearRegression(maxIter=20, labelCol="delay", featuresCol="features")
-
-
-@query()
+@query(
+    f"""WITH {EV}, q AS (SELECT quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM ev), f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+    SELECT 2 AS version, count(*) AS n, round(max(least(greatest(value, lo), hi)), 6) AS most FROM ev, f"""
+)
 def registry_lookup(spark, sf):
     """A model registered twice; the alias names the second version."""
     from tidemill.ml.tracking import Tracker
@@ -743,8 +814,8 @@ def registry_lookup(spark, sf):
 
     t = Tracker(spark, work_folder(spark, "registry"))
     d = ev(spark, sf).select("event_id", "value", "delay")
-    model = Pipeline(stages=[stages.IQRClip(inputCols=["value"], outputCols=["clipped"])]).fit(d)
-    for run in ("a__pca", "b__nopca"):
+    for run, multiplier in (("a__pca", 0.5), ("b__nopca", 1.5)):
+        model = Pipeline(stages=[stages.IQRClip(inputCols=["value"], outputCols=["clipped"], iqrMultiplier=multiplier, relativeError=0.0)]).fit(d)
         version = t.register("demo", run, model, {"run": run})
         t.set_alias("demo", "staging", version)
     loaded = t.load("demo", "production", "staging")

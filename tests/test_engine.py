@@ -443,3 +443,125 @@ def test_residual_percentiles_near_exact(spark):
     df = spark.range(20_001).select((F.col("id") / 1000).alias("r"))
     a, b = (metrics.residual_summary(df, F.col("r"), acc).first() for acc in (None, 10_000))
     assert a["n"] == b["n"] and all(abs(a[c] - b[c]) < 0.01 for c in ("p00_5", "p01", "p99", "p99_5"))
+
+
+# --- values of fitted models -------------------------------------------------------------------------
+
+
+def numbers(spark, n=400):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(n, 2)), 3)
+    y = np.round(np.exp(0.4 * x[:, 0] - 0.2 * x[:, 1] + 1.0) + r.random(n), 3)
+    c = (x[:, 0] + 0.5 * x[:, 1] + 0.3 * r.normal(size=n) > 0).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(t), float(k)) for (a, b), t, k in zip(x, y, c, strict=True)], "a double, b double, y double, c double")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).persist(), x, y, c
+
+
+def spec_of(name, **params):
+    est = next(s for s in default_specs("y", "c", "y") if s.name == name).estimator()
+    return est.setParams(**params) if params else est
+
+
+def test_poisson_model_solves_its_equations(spark):
+    import numpy as np
+
+    df, x, y, _ = numbers(spark)
+    m = spec_of("glm_poisson_log", regParam=0.0, maxIter=50).fit(df)
+    mu = np.exp(x @ m.coefficients.toArray() + m.intercept)
+    assert np.abs(np.column_stack([x, np.ones(len(x))]).T @ (y - mu)).max() < 1e-4  # the score of a Poisson model with log link
+    got = [r["prediction"] for r in m.transform(df).select("prediction").collect()]
+    assert np.allclose(got, mu)
+
+
+def test_svc_is_near_the_least_loss(spark):
+    import numpy as np
+
+    df, x, _, c = numbers(spark)
+    m = spec_of("linear_svc", regParam=0.05, maxIter=60, tol=1e-8, standardization=False).fit(df)
+
+    def loss(w, b):
+        return np.maximum(0, 1 - (2 * c - 1) * (x @ w + b)).mean() + 0.05 / 2 * (w @ w)
+
+    w, b = np.zeros(2), 0.0
+    for k in range(6000):  # a plain subgradient descent
+        on = ((2 * c - 1) * (x @ w + b) < 1) * (2 * c - 1)
+        step = 1.0 / (0.05 * (k + 50))
+        w, b = w - step * (0.05 * w - (on[:, None] * x).mean(axis=0)), b + step * on.mean()
+    assert loss(m.coefficients.toArray(), m.intercept) < loss(w, b) + 2e-3
+    side = np.array([r["prediction"] for r in m.transform(df).collect()])
+    assert (side == (x @ m.coefficients.toArray() + m.intercept > 0)).all()
+
+
+@pytest.mark.parametrize("name", ["random_forest_regressor", "random_forest_classifier", "gbt_regressor", "gbt_classifier"])
+def test_trees_predict_from_their_leaves(spark, name):
+    """Every tree by itself, as written out by the model, against the model's prediction."""
+    import numpy as np
+
+    df, x, y, c = numbers(spark)
+    small = {"numTrees": 5, "maxDepth": 3} if "forest" in name else {"maxIter": 5, "maxDepth": 3}
+    m = spec_of(name, **small).fit(df)
+
+    def walk(node, row):
+        while node.numDescendants() > 0:
+            split = node.split()
+            go_left = row[split.featureIndex()] <= split.threshold()
+            node = node.leftChild() if go_left else node.rightChild()
+        return node
+
+    trees, rows = [t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode") for t in m.trees], x[:40].tolist()
+    got = [r["prediction"] for r in m.transform(df).limit(40).collect()]
+    if name == "random_forest_regressor":
+        want = [np.mean([walk(t, r).prediction() for t in trees]) for r in rows]
+    elif name == "random_forest_classifier":
+        want = []
+        for r in rows:
+            votes = np.zeros(2)
+            for t in trees:
+                s = np.array(list(walk(t, r).impurityStats().stats()))
+                votes += s / s.sum()
+            want.append(float(votes.argmax()))
+    else:
+        sums = [sum(w * walk(t, r).prediction() for w, t in zip(m.treeWeights, trees, strict=True)) for r in rows]
+        want = sums if name == "gbt_regressor" else [float(v > 0) for v in sums]
+    assert np.allclose(got, want)
+    if name == "gbt_regressor":  # the first tree's leaves hold the mean label of their rows
+        leaves = [walk(trees[0], r).prediction() for r in x.tolist()]
+        for v in set(leaves):
+            assert y[np.array(leaves) == v].mean() == pytest.approx(v)
+
+
+def test_lookup_by_checksum(spark):
+    from tidemill.functions.scalar import mapped
+
+    table = {f"key é{k}": float(k) for k in range(500)}
+    df = spark.createDataFrame([(f"key é{k}",) for k in range(-5, 505)] + [(None,), ("",)], "k string")
+    got = {r["k"]: r["v"] for r in df.select("k", mapped("k", table, -1.0).alias("v")).collect()}
+    assert got == {k: table.get(k, -1.0) for k in got}
+    assert df.select(mapped("k", {}, 2.0).alias("v")).agg(F.min("v"), F.max("v")).first()[:] == (2.0, 2.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5000])
+def test_exact_quantiles(spark, n):
+    import numpy as np
+
+    from tidemill.operators import metrics
+
+    values = [float((k * 7919 % 1013) // 3) for k in range(n)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(4)
+    shares = (0.0, 0.005, 0.5, 0.99, 1.0)
+    assert metrics.quantiles(df, F.col("v"), shares, between=True) == pytest.approx(np.quantile(values, shares).tolist())
+    assert metrics.quantiles(df, F.col("v"), shares[1:]) == np.quantile(values, shares[1:], method="inverted_cdf").tolist()
+    assert metrics.quantiles(df.limit(0), F.col("v"), (0.5,)) == [None]
+
+
+def test_large_vocabulary_is_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i % 50}", float(i)) for i in range(500)] + [(None, 3.0)], "k string, label double")
+    inline, table = (stages.SmoothedTargetEncoder(inputCols=["k"], outputCols=["e"], maxInline=n, **more) for n, more in ((50, {}), (49, {"tableFolder": str(tmp_path / "means")})))
+    a, b = inline.fit(df), table.fit(df)
+    assert len(a.mapping()["k"]) == 50 and not b.mapping() and b.isSet(b.tableUri)
+    b.write().overwrite().save(str(tmp_path / "m"))
+    b = stages.SmoothedTargetEncoderModel.load(str(tmp_path / "m"))
+    probe = df.limit(60).unionByName(spark.createDataFrame([("new", 0.0)], df.schema))
+    assert sorted(r["e"] for r in a.transform(probe).collect()) == pytest.approx(sorted(r["e"] for r in b.transform(probe).collect()))

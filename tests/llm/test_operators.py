@@ -546,6 +546,40 @@ def test_network_sees_the_whole_text(monkeypatch):
     assert net.probability(text[:-200] + b"!" * 200) != whole and 0 <= net.probability(b"") <= 1
 
 
+def plain_probability(net, text):
+    """One place after another, one chunk after another, with nothing but loops."""
+    p, half = net.p, quality.HALF
+    halves = max(2, -(-len(text) // (half * quality.STRIDE)))
+    x = list(text) + [0] * (halves * half * quality.STRIDE + quality.WIDTH - quality.STRIDE - len(text))
+    places = []
+    for k in range(halves * half):
+        seen = np.concatenate([p["E"][x[k * quality.STRIDE + i]] for i in range(quality.WIDTH)])
+        places.append(np.maximum(seen @ p["W"] + p["b"], 0))
+    hidden = []
+    for c in range(halves - 1):
+        chunk = np.stack(places[c * half : (c + 2) * half])
+        hidden.append(np.maximum(np.concatenate([chunk.mean(axis=0), chunk.max(axis=0)]) @ p["V"] + p["c"], 0))
+    h = np.stack(hidden)
+    return 1 / (1 + np.exp(-(np.concatenate([h.max(axis=0), h.mean(axis=0)]) @ p["u"] + p["d"][0])))
+
+
+@pytest.mark.parametrize("blocks", [4096, 2])
+def test_probability_equals_plain_loops(texts, blocks, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_CHUNKS", blocks)
+    net = quality.ByteConvNet(3)
+    for t in (b"", b"a", "ñ é".encode() * 30, b"x" * 1000, *(t.encode() for t in list(texts.values())[:15])):
+        assert net.probability(t[:6000]) == pytest.approx(float(plain_probability(net, t[:6000])), abs=1e-5)
+
+
+def test_quality_area_on_rows_held_out(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality.quality_report(docs, labels).where("held_out").join(labels, "doc_id").select("quality", "score").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    area = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(good) >= 15 and len(bad) >= 15 and area > 0.9
+
+
 def test_quality_held_out(spark, odd):
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -59,39 +59,57 @@ def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
     return running(by, "s", "neg", "below", ranges).agg((F.sum(F.col("pos") * (below + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc_roc"))
 
 
-def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], n: int, accuracy: int = 10_000) -> list[float]:
-    """The values at so many places, counted from 0, in ascending order of a numeric column of n values: exact, in bounded memory.
+#: Counts by value up to so many, as counted, are ranked in one place.
+FEW_VALUES = 100_000
 
-    A sketch brackets each place; the rows outside a bracket are only counted, those inside are counted
-    by value, and the running count is taken by ranges.
+
+def order_statistics(rows: DataFrame, places: Sequence[tuple[int, float, float]]) -> list[float] | None:
+    """Values of a column q at places (rank counted from 0, and two values that it lies between): two passes, in bounded memory.
+
+    Rows outside all brackets are only counted, those inside are counted by value and ranked. None if a
+    rank isn't in its bracket.
+    """
+    q, inside = F.col("q"), F.lit(False)
+    for _, a, b in places:
+        inside = inside | ((q >= a) & (q <= b))
+    counts = [c for _, a, b in places for c in (F.count(F.when(q < a, 1)), F.count(F.when(q <= b, 1)), F.count(F.when((q < a) & inside, 1)))]
+    *found, size = rows.agg(*counts, F.count(F.when(inside, 1))).first()
+    wanted = []
+    for i, (k, _, _) in enumerate(places):
+        below, upto, base = found[3 * i : 3 * i + 3]
+        if not below <= k < upto:
+            return None
+        wanted.append(k - below + base)  # its rank among the rows inside
+    by = rows.where(inside).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    if size <= FEW_VALUES:
+        by = by.withColumn("r", F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        by = running(by, "q", "n", "r")
+    by, hit = by.withColumn("r", F.coalesce("r", F.lit(0))), F.lit(False)
+    for k in set(wanted):
+        hit = hit | ((F.col("r") <= k) & (F.col("r") + F.col("n") > k))
+    at = [(r["r"], r["r"] + r["n"], float(r["q"])) for r in by.where(hit).collect()]  # a row for each place at most
+    return [next(v for low, high, v in at if low <= k < high) for k in wanted]
+
+
+def quantiles(df: DataFrame, value: Column, shares: Sequence[float], between: bool = False, accuracy: int = 10_000) -> list[float | None]:
+    """Exact quantiles: the value at which a share of the rows is reached, or between, weighed by place. Nulls don't count.
+
+    One pass for a sketch that brackets each place, and two for the places themselves (see order_statistics).
     """
-    v, out = F.col(value), []
-    near = [(max(0.0, k / n - 3 / accuracy), min(1.0, (k + 1) / n + 3 / accuracy)) for k in ranks]
-    found = df.agg(F.percentile_approx(value, [x for pair in near for x in pair], accuracy), F.min(value), F.max(value)).first()
-    brackets = [(float(found[0][2 * i]), float(found[0][2 * i + 1])) for i in range(len(ranks))]
-    below = df.agg(*(F.count(F.when(v < a, 1)) for a, _ in brackets), *(F.count(F.when(v <= b, 1)) for _, b in brackets)).first()
-    for i, (k, (a, b)) in enumerate(zip(ranks, brackets, strict=True)):
-        before, upto = below[i], below[len(ranks) + i]
-        if not before <= k < upto:  # the sketch was off: the whole column
-            a, b, before = float(found[1]), float(found[2]), 0
-        inside = df.where((v >= a) & (v <= b)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        placed = running(inside, "v", "n", "before", 16).withColumn("before", F.coalesce("before", F.lit(0)) + before)
-        out.append(float(placed.where((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first()["v"]))
-    return out
-
-
-def quantiles(df: DataFrame, value: Column, shares: Sequence[float], between: bool = False) -> list[float | None]:
-    """Exact quantiles: the value at which a share of the rows is reached, or between, weighed by place. Nulls don't count."""
-    rows = df.select(value.cast("double").alias("q")).where("q is not null")
-    n = rows.count()
+    rows, step = df.select(value.cast("double").alias("q")).where("q is not null"), 3 / accuracy
+    near = [x for p in shares for x in (max(0.0, p - step), min(1.0, p + step))]
+    n, low, high, sketch = rows.agg(F.count(F.lit(1)), F.min("q"), F.max("q"), F.percentile_approx("q", near, accuracy)).first()
     if not n:
         return [None] * len(shares)
-    if not between:
-        return order_statistics(rows, "q", [max(0, math.ceil(p * n - 1e-9) - 1) for p in shares], n)
-    at = [p * (n - 1) for p in shares]
-    ranks = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
-    values = dict(zip(ranks, order_statistics(rows, "q", ranks, n), strict=True))
-    return [values[math.floor(x)] + (x - math.floor(x)) * (values[math.ceil(x)] - values[math.floor(x)]) for x in at]
+    places: list[tuple[int, float, float]] = []
+    at = [p * (n - 1) for p in shares] if between else [float(max(0, math.ceil(p * n - 1e-9) - 1)) for p in shares]
+    for i, x in enumerate(at):
+        bracket = (low, high) if n <= accuracy else (float(sketch[2 * i]), float(sketch[2 * i + 1]))
+        places += [(math.floor(x), *bracket), (math.ceil(x), *bracket)]
+    # Should a place lie outside what the sketch says, the whole column is its bracket.
+    values = order_statistics(rows, places) or order_statistics(rows, [(k, low, high) for k, _, _ in places])
+    return [a + (x - math.floor(x)) * (b - a) for x, a, b in zip(at, values[::2], values[1::2], strict=True)]
 
 
 _TAILS = {"p00_5": 0.005, "p01": 0.01, "p99": 0.99, "p99_5": 0.995}

@@ -17,7 +17,7 @@ BATCH_ROWS = 512
 #: Bytes of one Arrow batch; a single text may be longer.
 BATCH_BYTES = 16 << 20
 #: Tables of keys up to this many bytes, as counted, are broadcast; longer ones are joined by a shuffle.
-KEY_BYTES, ROW_BYTES = 32 << 20, 64
+KEY_BYTES, ROW_BYTES = 32 << 20, 128
 
 
 def session(df: DataFrame) -> SparkSession:

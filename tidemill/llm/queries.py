@@ -10,6 +10,7 @@ from tidemill.llm import pipeline
 from tidemill.llm.decontam import contamination
 from tidemill.llm.exact import exact_dedup
 from tidemill.llm.language import language_report
+from tidemill.llm.mixing import mix_report
 from tidemill.llm.packing import pack
 from tidemill.llm.pages import extract_pages
 from tidemill.llm.pii import pii_digest
@@ -64,8 +65,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_read(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_simhash, op2_token_shards, op3_repeats, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination)}
+    named = {f.__name__: f for f in (op1_simhash, op2_token_shards, op3_repeats, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination, op11_mix)}
     return {**named, "pipeline": pipeline.run}
 
 

@@ -18,6 +18,8 @@ SHARE, MOST = Fraction(3, 2), 2
 FAN = 256
 #: Draws that the root of a tree tries; the one with the least words left to round at its end counts.
 TRIES = 8
+#: Sources of one partition of the table of sources.
+SOURCES = 100_000
 #: Salt of all draws: the same salt gives the same mix.
 SALT = 11
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -41,10 +43,12 @@ def words(text: str | Column) -> Column:
 def source_order(sources: DataFrame, name: str = "source") -> DataFrame:
     """The table with place: from 0, by code points of the name, null last.
 
-    Sorted by ranges, so that no task has all names; the driver sees a row count of each range.
+    Sorted by ranges, so that no task has all names; the driver sees a row count of each range. The table that comes back
+    has a partition for each SOURCES names.
     """
+    few = -(-max(1, sources.count()) // SOURCES)
     # A number that rises with the sort: the range in the upper bits, the row within it in the lower 33.
-    ranged = cut(sources.orderBy(F.asc_nulls_last(name)).withColumn("place", F.monotonically_increasing_id()))
+    ranged = cut(sources.orderBy(F.asc_nulls_last(name)).withColumn("place", F.monotonically_increasing_id()).coalesce(few))
     at, row = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["at"], r["n"]) for r in ranged.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect())
     before, total = [], 0

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import pipeline
+from tidemill.llm.centroids import cluster_report, cluster_sql
 from tidemill.llm.collocations import collocations, collocations_sql
 from tidemill.llm.decontam import contamination
 from tidemill.llm.exact import exact_dedup
@@ -74,8 +75,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_read(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(_read(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_simhash, op2_token_shards, op3_repeats, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination, op11_mix, op12_collocations)}
+    named = {f.__name__: f for f in (op1_simhash, op2_token_shards, op3_repeats, op4_language, op5_exact_dedup, op6_main_text, op7_packing, op8_quality, op9_pii, op10_decontamination, op11_mix, op12_collocations, op13_centroids)}
     return {**named, "pipeline": pipeline.run}
 
 
@@ -87,4 +92,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op12_collocations": collocations_sql()} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
+    return {"op5_exact_dedup": _OP5, "op12_collocations": collocations_sql(), "op13_centroids": cluster_sql()} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

@@ -251,7 +251,7 @@ def cluster_sql(k: int = CENTROIDS, rounds: int = ROUNDS, salt: str = SALT, dim:
             f"m{r} AS (SELECT num, j, floor_div(sum(x)::HUGEINT, count(*)) AS x FROM v JOIN a{r} USING (rid) GROUP BY num, j)".replace("floor_div(sum(x)::HUGEINT, count(*))", "((sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"),
             f"c{r + 1} AS MATERIALIZED (SELECT num, j, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (num, j))",
         ]
-    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = {dim}),
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x) AND abs({scale} * CAST(x AS DOUBLE)) < {LARGEST})) = {dim}),
     v AS MATERIALIZED (SELECT rid, unnest(range(1, {dim + 1})) AS j, floor({scale} * CAST(unnest(e) AS DOUBLE))::BIGINT AS x FROM kept),
     s AS (SELECT rid, row_number() OVER (ORDER BY sha256('{salt}:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS num FROM kept QUALIFY num < {k}),
     c0 AS MATERIALIZED (SELECT num, j, x FROM s JOIN v USING (rid)), {", ".join(steps)},

@@ -23,6 +23,9 @@ ROWS, BYTES_A_CELL, NARROW, WIDE = 2, 16, 1 << 16, 1 << 27
 BLOCK, FULL = 1 << 20, 255
 #: Bytes of text that a worker takes together, and sketches of that much text that one merge takes.
 SEGMENT, MERGED = 8 << 20, 4096
+#: Text that a task of the exact count has at least, if there is enough for two rounds of tasks, and phrases that it holds.
+#: The more of both, the fewer rows it sends on for each phrase.
+TASK, HELD = 256 << 20, 500_000
 #: Parts in which the best phrases of a language are found before they are ranked together.
 PARTS = 32
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -211,11 +214,20 @@ def _counts(width: int, shared):
             ok &= (bits[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
         return ok
 
+    def flush(counts: dict[tuple[str, bytes], int]):
+        rows = list(counts.items())
+        for k in range(0, len(rows), 1 << 16):
+            part = rows[k : k + (1 << 16)]
+            sizes = [p.count(b" ") + 1 if p else 0 for (_, p), _ in part]
+            yield table({"lang": [x for (x, _), _ in part], "phrase": [p for (_, p), _ in part], "size": sizes, "f": [f for _, f in part]}, _COUNTS)
+        counts.clear()
+
     def run(batches):
+        counts: dict[tuple[str, bytes], int] = {}
         for held in _segments(batches):
             for lang, texts in held.items():
                 ids, words = _word_ids(texts)
-                out = {"phrase": [b""], "size": [0], "f": [int((ids > 1).sum())]}
+                counts[lang, b""] = counts.get((lang, b""), 0) + int((ids > 1).sum())
                 alive = number = None
                 phrases: list[bytes] = words
                 for n, begins, h in _hashes(ids, words, lang):
@@ -233,11 +245,11 @@ def _counts(width: int, shared):
                     phrases = [words[k] for k in kinds] if n == 1 else [phrases[k // len(words)] + b" " + words[k % len(words)] for k in kinds.tolist()]
                     number = np.zeros(len(ids), np.int64)
                     number[at] = same
-                    out["phrase"] += phrases
-                    out["size"] += [n] * len(kinds)
-                    out["f"] += f.tolist()
-                for k in range(0, len(out["f"]), 1 << 16):
-                    yield table({"lang": [lang] * len(out["f"][k : k + (1 << 16)])} | {c: v[k : k + (1 << 16)] for c, v in out.items()}, _COUNTS)
+                    for p, k in zip(phrases, f.tolist(), strict=True):
+                        counts[lang, p] = counts.get((lang, p), 0) + k
+            if len(counts) >= HELD:
+                yield from flush(counts)
+        yield from flush(counts)
 
     return run
 
@@ -255,7 +267,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width, bits = frequent_cells(rows, total, least)
     shared = spark.sparkContext.broadcast(bits)
-    found = rows.mapInArrow(_counts(width, shared), "lang string, phrase binary, size int, f long")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK))
+    found = rows.coalesce(tasks).mapInArrow(_counts(width, shared), "lang string, phrase binary, size int, f long")
     counted = found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "size").agg(F.sum("f").alias("f"))
     return cut(counted.where((F.col("f") >= least) | (F.col("size") == 0)))
 

@@ -137,7 +137,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, salt: str = SALT) ->
     """The k vectors with the smallest sha256 of salt:vec_id, in order of it (rows that repeat an id: by components)."""
     key = F.sha2(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
     rows = vectors.select(key.alias("key"), "v").orderBy("key", "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), len(rows[0]["v"]) if rows else 0)
 
 
 def _step(shared):

@@ -872,3 +872,6 @@ def tournament(spark, sf):
         raise RuntimeError(str(out.failures))
     rows = [(n, r["task"], r["metrics"]["rmse"], r["metrics"]["r2"]) for n, r in sorted(out.results.items())]
     return spark.createDataFrame(rows, "arm string, task string, rmse double, r2 double")
+
+
+from tidemill.plans import event_queries  # noqa: E402,F401  registers its queries here

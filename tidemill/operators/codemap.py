@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.scalar import haversine_miles
+from tidemill.functions.scalar import EARTH_MILES, haversine_miles
 from tidemill.operators.curate import small
+from tidemill.operators.metrics import grouped_medians
 
 NUMERIC = "^[0-9]+$"
 #: Fixed values. Miles: a code whose median error is over SUSPECT is looked at again. A refit is taken up to FIT, if the
 #: runner-up is MARGIN behind or RATIO times as far. Rounds of refitting.
 SUSPECT, FIT, MARGIN, RATIO, FLOOR, ROUNDS = 25.0, 10.0, 25.0, 5.0, 0.5, 6
+#: Degrees of a cell of the sphere, and how far from its ring a candidate is looked for, in turn; the last is everywhere.
+CELL, RADII = 5, (400.0, 3200.0, 13000.0)
 
 
 def is_numeric(*ends: str) -> Column:
@@ -44,17 +49,29 @@ def one_directional(df: DataFrame, keys: list[str], origin: str, dest: str) -> D
     return df.join(single, keys, "left_semi")
 
 
+def listed(df: DataFrame) -> DataFrame:
+    """A list of codes, periods or places, worked out once: some hundred rows by its nature, held in the plan."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def one_way(df: DataFrame, keys: list[str], origin: str, dest: str) -> DataFrame:
+    """keys, origin, dest of the keys that go one way only: as one_directional, each once, without joining back."""
+    way, ends = F.concat_ws(">", origin, dest), F.struct(F.col(origin).alias(origin), F.col(dest).alias(dest))
+    single = df.na.drop("any", subset=keys).groupBy(*keys).agg(F.min(way).alias("__low"), F.max(way).alias("__high"), F.max(ends).alias("__e"))
+    return single.where("__low = __high").select(*keys, "__e.*")
+
+
 def vote_mapping(encoded: DataFrame, clean: DataFrame, keys: list[str], origin: str, dest: str) -> DataFrame:
     """dot_code, iata_code, votes, total, share: one vote for each key and end; ties go to the smaller code."""
-    a, b = one_directional(encoded, keys, origin, dest), one_directional(clean, keys, origin, dest)
+    a, b = one_way(encoded, keys, origin, dest), one_way(clean, keys, origin, dest)
 
     def ends(df: DataFrame, to: str) -> DataFrame:
         """Both ends of each row at once, told apart by which they are."""
         both = F.explode(F.array(F.struct(F.lit(0).alias("__end"), F.col(origin).alias(to)), F.struct(F.lit(1).alias("__end"), F.col(dest).alias(to))))
         return df.select(*keys, both.alias("__e")).select(*keys, "__e.*")
 
-    codes = ends(a, "dot_code").where(F.col("dot_code").rlike(NUMERIC)).distinct()
-    names = ends(b, "iata_code").where(~F.col("iata_code").rlike(NUMERIC)).distinct()
+    codes = ends(a, "dot_code").where(F.col("dot_code").rlike(NUMERIC))
+    names = ends(b, "iata_code").where(~F.col("iata_code").rlike(NUMERIC))
     tally = codes.join(names, [*keys, "__end"]).groupBy("dot_code", "iata_code").agg(F.count(F.lit(1)).alias("votes"))
     best = Window.partitionBy("dot_code").orderBy(F.desc("votes"), "iata_code")
     ranked = tally.withColumns({"rn": F.row_number().over(best), "total": F.sum("votes").over(Window.partitionBy("dot_code"))})
@@ -78,7 +95,7 @@ def per_code_error(routes: DataFrame, mapping: DataFrame, coords: DataFrame) ->
     err = F.abs(haversine_miles("olat", "olon", "dlat", "dlon") - F.col("distance"))
     each = _placed(routes, mapping, coords).select("origin", "dest", err.alias("err")).where("err is not null")
     ends = each.select(F.explode(F.array("origin", "dest")).alias("code"), "err")
-    return ends.groupBy("code").agg(F.median("err").alias("median_err"))
+    return grouped_medians(ends, ["code"], F.col("err")).select("code", F.col("median").alias("median_err"))
 
 
 def suspects(codes: DataFrame, mapping: DataFrame, errors: DataFrame, most: float = SUSPECT) -> DataFrame:
@@ -87,24 +104,89 @@ def suspects(codes: DataFrame, mapping: DataFrame, errors: DataFrame, most: floa
     return unmapped.unionByName(errors.where(F.col("median_err") > most).select("code")).distinct()
 
 
-def score_candidates(routes: DataFrame, wanted: DataFrame, trusted: DataFrame, coords: DataFrame) -> DataFrame:
+def _cell(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Band and place in the band of a point, in cells of CELL degrees."""
+    bands, around = 180 // CELL, 360 // CELL
+    return F.least(F.floor((lat + 90) / CELL), F.lit(bands - 1)).cast("int"), F.pmod(F.floor((lon + 180) / CELL), F.lit(around)).cast("int")
+
+
+def ring_cells(rows: DataFrame, lat: str, lon: str, distance: str, radius: float) -> DataFrame:
+    """Adds __band and __place: each row once for every cell that may hold a point whose distance from (lat, lon) is at
+    most a radius off the given one.
+
+    A point of a band lies within half a band of the band's middle line, on which the distance grows with the
+    difference of longitudes: so two arcs of that line, east and west, cover what the ring can reach of the band.
+    """
+    bands, around, half = 180 // CELL, 360 // CELL, EARTH_MILES * 3.141592653589793 / 180 * CELL / 2
+    slack = radius + half + 1.0
+    near, far = (F.greatest(F.lit(0.0), F.col(distance) - slack) / EARTH_MILES, F.least(F.lit(3.141592653589793), (F.col(distance) + slack) / EARTH_MILES))
+    lowest, highest = (F.floor((F.col(lat) + sign * F.degrees(far) + 90) / CELL).cast("int") for sign in (-1, 1))
+    each = rows.withColumn("__band", F.explode(F.sequence(F.greatest(F.lit(0), lowest), F.least(F.lit(bands - 1), F.greatest(F.lit(0), highest)))))
+    at, here = F.radians(F.col(lat)), F.radians((F.col("__band") + 0.5) * CELL - 90)
+    flat = F.greatest(F.cos(at) * F.cos(here), F.lit(1e-12))
+    cosine = lambda x: (F.cos(x) - F.sin(at) * F.sin(here)) / flat
+    wide = lambda x: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(x)))))
+    inner, outer = F.greatest(F.lit(0.0), wide(near) - 0.01), F.least(F.lit(180.0), wide(far) + 0.01)
+    cell = lambda x: F.floor((F.col(lon) + x + 180) / CELL).cast("int")
+    arcs = F.concat(F.sequence(cell(inner), cell(outer)), F.sequence(cell(-outer), cell(-inner)))
+    return each.where(cosine(far) <= 1.0 + 1e-9).withColumn("__place", F.explode(F.array_distinct(F.transform(arcs, lambda k: F.pmod(k, F.lit(around))))))
+
+
+def _off(lat: str, lon: str) -> Column:
+    return F.abs(haversine_miles(lat, lon, "tlat", "tlon") - F.col("distance"))
+
+
+def _scores(obs: DataFrame, free: DataFrame, radius: float) -> DataFrame:
+    """(code, iata, score, n_obs) of every place whose median error is within a radius.
+
+    At least half of a code's observations are within the radius of such a place, so it lies in the cells of
+    half of the rings; only places that do are measured against all observations of the code.
+    """
+    band, place = _cell(F.col("lat"), F.col("lon"))
+    cells = small(free.withColumns({"__band": band, "__place": place}))
+    rings = ring_cells(obs, "tlat", "tlon", "distance", radius) if radius < RADII[-1] else ring_cells(obs.dropDuplicates(["code"]), "tlat", "tlon", "distance", radius).withColumn("n_obs", F.lit(1))
+    hits = rings.join(cells, ["__band", "__place"]).where(_off("lat", "lon") <= radius)
+    pairs = hits.groupBy("code", "iata").agg(F.count(F.lit(1)).alias("k"), F.first("n_obs").alias("n_obs")).where("2 * k >= n_obs").select("code", "iata")
+    each = pairs.join(small(free), "iata").join(obs, "code").select("code", "iata", _off("lat", "lon").alias("err"))
+    found = grouped_medians(each, ["code", "iata"], F.col("err")).select("code", "iata", F.col("median").alias("score"), F.col("n").alias("n_obs"))
+    return found.where(F.col("score") <= radius)
+
+
+def score_candidates(routes: DataFrame, wanted: DataFrame, trusted: DataFrame, coords: DataFrame, within: float | None = None) -> DataFrame:
     """(code, iata, score, margin, runner_up, n_obs): best candidate of each wanted code by its routes to trusted ends.
 
-    The candidates are a reference table of some thousand places at most; observations, the routes
-    of the codes still unknown, are dealt out by code, and the places come to them.
+    A route of a known length to a trusted end puts a code on a ring around it. Candidates are looked up by cell near
+    these rings, first close to them, and farther out for the codes that don't have two candidates yet, so that best and
+    runner-up are those of all free places. With within, only as far: codes without a candidate there are left out, and
+    a runner-up beyond it counts as infinitely far.
     """
     t = trusted.join(small(coords), trusted["iata_code"] == coords["iata"]).select(F.col("dot_code").alias("other"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
     out = routes.select(F.col("origin").alias("code"), F.col("dest").alias("other"), "distance").unionByName(routes.select(F.col("dest").alias("code"), F.col("origin").alias("other"), "distance"))
-    obs = out.join(small(wanted), "code", "left_semi").join(small(t), "other")
-    free = coords.join(small(trusted.select(F.col("iata_code").alias("iata"))), "iata", "left_anti")
-    places = free.agg(F.collect_list(F.struct("iata", "lat", "lon")).alias("places"))
-    each = obs.join(small(places)).select("code", "tlat", "tlon", "distance", F.explode("places").alias("p"))
-    err = F.abs(haversine_miles("p.lat", "p.lon", "tlat", "tlon") - F.col("distance"))
-    scored = each.groupBy("code", F.col("p.iata").alias("iata")).agg(F.median(err).alias("score"), F.count(F.lit(1)).alias("n_obs"))
-    w = Window.partitionBy("code").orderBy("score", "iata")
-    first = scored.withColumns({"rn": F.row_number().over(w), "runner_up": F.lead("score").over(w)}).where("rn = 1")
-    runner = F.coalesce("runner_up", F.lit(float("inf")))
-    return first.select("code", "iata", "score", (runner - F.col("score")).alias("margin"), runner.alias("runner_up"), "n_obs")
+    obs = out.join(small(wanted), "code", "left_semi").join(small(t), "other").where("distance is not null")
+    free = coords.join(small(trusted.select(F.col("iata_code").alias("iata"))), "iata", "left_anti").where("lat is not null and lon is not null")
+    obs = obs.withColumn("n_obs", F.count(F.lit(1)).over(Window.partitionBy("code"))).persist()
+    try:
+        if within is not None:
+            scored = _scores(obs, free, within).collect()  # codes in doubt, and places near them
+        else:
+            enough, scored, left = min(2, free.count()), [], obs
+            for radius in RADII:
+                found = _scores(left, free, radius).collect()
+                done = {c for c, n in Counter(r["code"] for r in found).items() if n >= enough or radius == RADII[-1]}
+                scored += [r for r in found if r["code"] in done]
+                left = left.where(~F.col("code").isin(sorted(done))) if done else left
+                if left.isEmpty():
+                    break
+    finally:
+        obs.unpersist()
+    by: dict[str, list] = {}
+    for r in scored:
+        by.setdefault(r["code"], []).append((r["score"], r["iata"], r["n_obs"]))
+    rows = []
+    for code, found in by.items():
+        (score, iata, n), runner = min(found), sorted(found)[1][0] if len(found) > 1 else float("inf")
+        rows.append((code, iata, score, runner - score, runner, n))
+    return routes.sparkSession.createDataFrame(rows, "code string, iata string, score double, margin double, runner_up double, n_obs long")
 
 
 def acceptable(score: float, margin: float, runner_up: float) -> bool:
@@ -114,21 +196,21 @@ def acceptable(score: float, margin: float, runner_up: float) -> bool:
 def geometric_refit(routes: DataFrame, mapping: DataFrame, bad: DataFrame, coords: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """dot_code, iata_code, source, score: trusted votes and what geometry adds; codes still unknown are left out.
 
-    Scoring is distributed. The greedy step needs one row for each unknown code, at most some hundreds
+    Scoring is distributed, and goes no farther than a runner-up can matter. The greedy step needs one row for each unknown code, at most some hundreds
     by the nature of a code list, and takes best scores first while a candidate is still free.
     """
     spark = routes.sparkSession
     ddl = "dot_code string, iata_code string, source string, score double"
-    kept = mapping.join(bad, mapping["dot_code"] == bad["code"], "left_anti").select("dot_code", "iata_code").collect()
-    rows = [(r["dot_code"], r["iata_code"], "vote", None) for r in kept]
     left = {r["code"] for r in bad.collect()}
+    rows = [(r["dot_code"], r["iata_code"], "vote", None) for r in mapping.select("dot_code", "iata_code").collect() if r["dot_code"] not in left]
+    matters = FIT + max(MARGIN, (RATIO - 1) * max(FIT, FLOOR))
     for _ in range(rounds):
         if not left or not rows:
             break
         trusted = spark.createDataFrame(rows, ddl)
         wanted = spark.createDataFrame([(c,) for c in sorted(left)], "code string")
         taken, fixed = {r[1] for r in rows}, 0
-        for r in sorted(score_candidates(routes, wanted, trusted, coords).collect(), key=lambda r: (r["score"] if r["score"] is not None else float("inf"), r["code"])):
+        for r in sorted(score_candidates(routes, wanted, trusted, coords, matters).collect(), key=lambda r: (r["score"] if r["score"] is not None else float("inf"), r["code"])):
             if r["score"] is not None and r["iata"] not in taken and acceptable(r["score"], r["margin"], r["runner_up"]):
                 rows.append((r["code"], r["iata"], "geometric", float(r["score"])))
                 taken.add(r["iata"])
@@ -148,20 +230,22 @@ def mapping_quality(df: DataFrame, mapping: DataFrame, origin: str, dest: str) -
     for c in (origin, dest):
         joined = joined.join(names.withColumnRenamed("code", f"__{c}"), F.col(c) == F.col(f"__{c}"), "left")
     cover = joined.agg(F.count(F.lit(1)).alias("total_rows"), F.sum(F.when(ok(origin) & ok(dest), 1).otherwise(0)).cast("long").alias("joinable_rows"))
-    return known.join(cover)
+    codes, injective = known.first()
+    return cover.select(F.lit(codes).alias("codes"), F.lit(injective).alias("injective"), "total_rows", "joinable_rows")
 
 
 def code_map(df: DataFrame, coords: DataFrame, period: str, keys: list[str], origin: str, dest: str, distance: str) -> DataFrame:
     """The whole inference: dot_code, iata_code, source, median_err_mi (3 digits), sorted by code."""
-    encoded, clean = split_by_drift(df, drift_report(df, period, origin, dest), period)
-    votes = vote_mapping(encoded, clean, keys, origin, dest).join(coords.select(F.col("iata").alias("iata_code")), "iata_code", "left_semi").select("dot_code", "iata_code")
+    coords = listed(coords)
+    encoded, clean = split_by_drift(df, listed(drift_report(df, period, origin, dest)), period)
+    votes = listed(vote_mapping(encoded, clean, keys, origin, dest).join(small(coords.select(F.col("iata").alias("iata_code"))), "iata_code", "left_semi").select("dot_code", "iata_code"))
     numeric = encoded.where(F.col(origin).rlike(NUMERIC) & F.col(dest).rlike(NUMERIC))
     routes = route_counts(numeric, origin, dest, distance).persist()
     try:
-        bad = suspects(numeric_codes(encoded, origin, dest), votes, per_code_error(routes, votes, coords))
+        bad = listed(suspects(numeric_codes(encoded, origin, dest), votes, per_code_error(routes, votes, coords)))
         final = geometric_refit(routes, votes, bad, coords)
         errors = per_code_error(routes, final, coords)
         out = final.join(errors, final["dot_code"] == errors["code"], "left").select("dot_code", "iata_code", "source", F.round("median_err", 3).alias("median_err_mi")).orderBy("dot_code")
-        return df.sparkSession.createDataFrame(out.collect(), out.schema)
+        return listed(out)
     finally:
         routes.unpersist()

@@ -244,7 +244,8 @@ def _wrong(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     to = g.select(k.alias("t"), F.col("place").alias("iata_code"))
     m = g.where(k != 13).select((k + 10000).cast("string").alias("dot_code"), F.when(k % 5 == 0, (k + 1) % 25).otherwise(k).alias("t")).join(to, "t").select("dot_code", "iata_code")
     coords = g.select(F.col("place").alias("iata"), "lat", "lon")
-    return codemap.route_counts(drift(spark, sf).where("month = 10"), "origin", "dest", "distance"), m, coords
+    # Lists of some hundred rows: worked out once, as they are used again and again.
+    return codemap.route_counts(drift(spark, sf).where("month = 10"), "origin", "dest", "distance"), codemap.listed(m), codemap.listed(coords)
 
 
 @query(f"WITH {_ERRORS} SELECT code, round(median_err, 6) AS median_err FROM errors")
@@ -287,8 +288,9 @@ def _refits(rounds: int) -> str:
 
 def _doubted(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     routes, m, coords = _wrong(spark, sf)
-    codes = codemap.numeric_codes(drift(spark, sf).where("month = 10"), "origin", "dest")
-    return routes, m, coords, codemap.suspects(codes, m, codemap.per_code_error(routes, m, coords))
+    routes = routes.persist()
+    codes = codemap.numeric_codes(routes, "origin", "dest")
+    return routes, m, coords, codemap.listed(codemap.suspects(codes, m, codemap.per_code_error(routes, m, coords)))
 
 
 @query(
@@ -297,8 +299,9 @@ def _doubted(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 )
 def refit_scores(spark, sf):
     routes, m, coords, bad = _doubted(spark, sf)
-    trusted = m.join(bad, m["dot_code"] == bad["code"], "left_anti")
+    trusted = codemap.listed(m.join(bad, m["dot_code"] == bad["code"], "left_anti"))
     s = codemap.score_candidates(routes, bad, trusted, coords)
+    routes.unpersist()
     margin = F.when(F.col("margin") == float("inf"), F.lit(-1.0)).otherwise(F.col("margin"))
     return s.select("code", "iata", r6(F.col("score"), "score"), r6(margin, "margin"), "n_obs")
 
@@ -306,7 +309,9 @@ def refit_scores(spark, sf):
 @query(f"WITH {_ERRORS}, {_BAD}, {_refits(codemap.ROUNDS)} SELECT dot_code, iata_code, source, round(score, 6) AS score FROM t{codemap.ROUNDS}")
 def geometric_refit(spark, sf):
     routes, m, coords, bad = _doubted(spark, sf)
-    return codemap.geometric_refit(routes, m, bad, coords).withColumn("score", F.round("score", 6))
+    fitted = codemap.geometric_refit(routes, m, bad, coords).withColumn("score", F.round("score", 6))
+    routes.unpersist()
+    return fitted
 
 
 @query(
@@ -333,7 +338,7 @@ _FENCES = f"{EV}, q AS (SELECT quantile_disc(delay, 0.25) AS q1, quantile_disc(d
 
 
 def _clipper(e: DataFrame):
-    return stages.IQRClip(inputCols=["delay"], outputCols=["clipped"], relativeError=0.0).fit(e)
+    return stages.IQRClip(inputCols=["delay"], outputCols=["clipped"], relativeError=0.0).fit(e)  # 0: exact, in bounded memory
 
 
 @query(f"WITH {_FENCES} SELECT round(lo, 6) AS lower_fence, round(hi, 6) AS upper_fence FROM f")
@@ -393,7 +398,7 @@ def target_encode_unseen(spark, sf):
 @query(f"WITH {EV}, m AS (SELECT quantile_disc(delay, 0.5) AS med FROM ev) SELECT event_id, round(coalesce(delay, med), 6) AS delay FROM ev, m")
 def impute_median(spark, sf):
     e = ev(spark, sf)
-    return Imputer(strategy="median", inputCols=["delay"], outputCols=["delay"], relativeError=0.0).fit(e).transform(e).select("event_id", r6(F.col("delay"), "delay"))
+    return stages.ExactMedians(inputCols=["delay"], outputCols=["delay"]).fit(e).transform(e).select("event_id", r6(F.col("delay"), "delay"))
 
 
 _IDX = f"{EV}, i AS (SELECT airline, CAST(row_number() OVER (ORDER BY count(*) DESC, airline) - 1 AS DOUBLE) AS idx FROM ev GROUP BY airline)"
@@ -556,6 +561,26 @@ def residual_grid(spark, sf):
     return metrics.grid_counts(_predicted(spark, sf), F.col("f"), F.col("y") - F.col("f"), 10)
 
 
+@query(
+    f"""WITH {_PRED}, b AS (SELECT quantile_cont(y, 0.005) AS lo, quantile_cont(y, 0.995) AS hi FROM p), s AS (SELECT lo - 1e-9 * (hi - lo) AS low, (hi - lo) * (1 + 2e-9) / 45 AS sx, (hi - lo) * (1 + 2e-9) / 25 AS sy FROM b),
+    u AS (SELECT (y - low) / sx AS x, (f - low) / sy AS y FROM p, s), d AS (SELECT *, pow(x - floor(x + 0.5), 2) + 3 * pow(y - floor(y + 0.5), 2) < pow(x - floor(x) - 0.5, 2) + 3 * pow(y - floor(y) - 0.5, 2) AS whole FROM u),
+    h AS (SELECT CASE WHEN whole THEN 1 ELSE 2 END AS lattice, CAST(CASE WHEN whole THEN floor(x + 0.5) ELSE floor(x) END AS INTEGER) AS hx, CAST(CASE WHEN whole THEN floor(y + 0.5) ELSE floor(y) END AS INTEGER) AS hy FROM d)
+    SELECT lattice, hx, hy, round((hx + (lattice - 1) * 0.5) * any_value(sx) + any_value(low), 5) AS cx, round((hy + (lattice - 1) * 0.5) * any_value(sy) + any_value(low), 5) AS cy, count(*) AS n FROM h, s
+    WHERE hx BETWEEN 0 AND 46 - lattice AND hy BETWEEN 0 AND 26 - lattice GROUP BY lattice, hx, hy"""
+)
+def predicted_hexagons(spark, sf):
+    """Predicted against actual, by hexagon, over the middle 99 % of what was actual."""
+    p = _predicted(spark, sf)
+    low, high = metrics.quantiles(p, F.col("y"), (0.005, 0.995), between=True)
+    return metrics.hexagons(p, F.col("y"), F.col("f"), low, high).select("lattice", "hx", "hy", F.round("cx", 5).alias("cx"), F.round("cy", 5).alias("cy"), "n")
+
+
+@query(f"WITH {_PRED}, b AS (SELECT quantile_cont(y - f, 0.01) AS lo, quantile_cont(y - f, 0.99) AS hi FROM p) SELECT CAST(least(floor((y - f - lo) / ((hi - lo) / 60)), 59) AS INTEGER) AS bin, count(*) AS n FROM p, b WHERE y - f BETWEEN lo AND hi GROUP BY 1")
+def residual_range_histogram(spark, sf):
+    """Sixty bins between the first and the last percentile."""
+    return metrics.range_histogram(_predicted(spark, sf), F.col("y") - F.col("f"))[0]
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
 def ols_single_feature(spark, sf):
     from pyspark.ml.regression import LinearRegression
@@ -650,9 +675,10 @@ def tournament_winner(spark, sf):
     return spark.createDataFrame([(best, rows[best]["metrics"]["rmse"])], "name string, rmse double")
 
 
-@query("SELECT round(sum(l_quantity), 4) AS l_quantity, round(sum(l_discount), 4) AS l_discount, round(sum(l_tax), 4) AS l_tax FROM lineitem")
+@query("SELECT " + ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(38, 4))) AS DOUBLE) AS {c}" for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")) + " FROM lineitem")
 def fingerprint(spark, sf):
-    return metrics.fingerprint(read(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax"), 4)
+    sums = metrics.fingerprint(read(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice"), 4)
+    return sums.select(*(F.col(c).cast("double").alias(c) for c in sums.columns))
 
 
 @query("SELECT 'orders' AS part, count(*) AS missing FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'lines', count(*) FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))")

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; whole texts of that many rows are in a Python worker at once.
@@ -90,22 +90,16 @@ def _rank_bucket(column: str) -> Column:
 def bounded_sample(df: DataFrame, group: str, key: str, rows: int) -> DataFrame:
     """The rows of each group with the least hashes of a key, so many at most (all ties of the first bucket, if it has more).
 
-    One count by group and bucket, then a filter: no group is gathered anywhere. Groups should be few,
-    as some hundred counts of each come to the driver.
+    One count by group and bucket gives each group its last bucket; the rows meet these in a join. No group is gathered
+    anywhere, and there may be any number of them. Rows without a group, or a key, are left out.
     """
     bucket = _rank_bucket(key)
-    counts: dict = {}
-    for g, b, n in df.groupBy(group, bucket.alias("b")).agg(F.count("*").alias("n")).collect():
-        counts.setdefault(g, []).append((b, n))
-    keep = F.lit(False)
-    for g, found in counts.items():
-        last, total = None, 0
-        for b, n in sorted(found):
-            if last is not None and total + n > rows:
-                break
-            last, total = b, total + n
-        keep = keep | ((F.col(group) == F.lit(g)) & (bucket <= F.lit(last)))
-    return df.where(keep)
+    counts = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), bucket.alias("b")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("g").orderBy("b")  # some hundred buckets
+    upto = counts.withColumns({"upto": F.sum("n").over(order), "first": F.row_number().over(order) == 1})
+    last = cut(upto.where(F.col("first") | (F.col("upto") <= rows)).groupBy("g").agg(F.max("b").alias("last")))
+    named = df.select(F.struct("*").alias("row"), F.col(group).alias("g"), bucket.alias("b"))
+    return restrict(named, last, ["g"], "inner").where("b <= last").select("row.*")
 
 
 def filtered(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:

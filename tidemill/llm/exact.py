@@ -14,8 +14,8 @@ FACTOR = 8
 CARRY = 2
 #: What a row is known by between rounds: its id, whether that is null, and, for rows that repeat an id, a hash.
 _ROW = ["i", "z", "h"]
-#: The same beside the columns of a table that has others.
-_OWN = ["__i", "__z", "__h"]
+#: Bytes of the longest value there is.
+LONGEST = (1 << 31) - 1
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,7 +48,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if on is None:
             runs = runs.withColumn("g", F.lit(0).cast("long"))
         if number == CARRY:
-            rows = cut(runs.withColumns({"t": F.substring("t", start + 1, 1 << 30), "at": F.lit(start)}).drop("g"))
+            rows = cut(runs.withColumns({"t": F.substring("t", start + 1, LONGEST), "at": F.lit(start)}).drop("g"))
             runs, here = restrict(rows, on, _ROW, "inner"), F.lit(0)
         run = F.substring("t", here + 1, F.lit(stop - start))
         cand = cut(runs.select("doc_id", *_ROW, "g", run.alias("run"), (F.octet_length("t") <= here + (stop - start)).alias("ended")))
@@ -94,14 +94,14 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat an id and a text any one stays, whatever their other columns hold.
     """
-    groups = radix_groups(docs, id_col, text_col).withColumnsRenamed(dict(zip(_ROW, _OWN, strict=True)))
-    i, z, _ = _OWN
-    row = zip(_OWN, (F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.col(id_col).isNull(), F.xxhash64(binary(text_col))), strict=True)
-    named = docs.withColumns(dict(row))
-    top = F.when(F.col(z), F.col("keep_id").isNull()).otherwise(F.col("keep_id") == F.col(i))
-    rest = restrict(named, cut(groups.where(~top).select(*_OWN)), _OWN, "left_anti")
-    twins = cut(groups.where(top & (F.col("same") > 1)).select(*_OWN))
+    groups = radix_groups(docs, id_col, text_col)
+    # The caller's row is one struct, so that no name of its columns can meet one of those used here.
+    i = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
+    named = docs.select(F.struct("*").alias("row"), i.alias("i"), F.col(id_col).isNull().alias("z"), F.xxhash64(binary(text_col)).alias("h"))
+    top = F.when(F.col("z"), F.col("keep_id").isNull()).otherwise(F.col("keep_id") == F.col("i"))
+    rest = restrict(named, cut(groups.where(~top).select(*_ROW)), _ROW, "left_anti")
+    twins = cut(groups.where(top & (F.col("same") > 1)).select(*_ROW))
     if not twins.isEmpty():
-        once = restrict(rest, twins, _OWN, "left_semi").dropDuplicates(_OWN)
-        rest = restrict(rest, twins, _OWN, "left_anti").unionByName(once)
-    return rest.select(*docs.columns)
+        once = restrict(rest, twins, _ROW, "left_semi").dropDuplicates(_ROW)
+        rest = restrict(rest, twins, _ROW, "left_anti").unionByName(once)
+    return rest.select("row.*")

@@ -362,17 +362,17 @@ def near_components(
 
 
 def _noded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """docs with a number __node for each row that no other text has: the id, or a hash for rows whose id is null or repeated."""
-    known = F.col(id_col).cast("long")
-    again = cut(docs.groupBy(known.alias("__again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __again is null").select("__again"))
+    """(row, id, text, node): the caller's row as one struct, so that no name of its columns can meet one used here, and a
+    number for each row that no other text has: the id, or a hash for rows whose id is null or repeated."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    again = cut(rows.groupBy(F.col("id").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or again is null").select("again"))
     if again.isEmpty():
-        return docs.withColumn("__node", known), False
-    marked = docs.withColumn("__id", known)
-    ids = again.withColumn("__odd", F.lit(True))
+        return rows.withColumn("node", F.col("id")), False
+    ids = again.withColumn("odd", F.lit(True))
     small = ids.count() < 1 << 18
-    marked = marked.join(F.broadcast(ids) if small else ids, F.col("__id").eqNullSafe(F.col("__again")), "left")
-    hashed = F.xxhash64(F.coalesce(F.col("__id"), F.lit(-1).cast("long")), F.col("__id").isNull(), F.col(text_col))
-    return marked.withColumn("__node", F.when(F.col("__odd"), hashed).otherwise(F.col("__id"))).drop("__id", "__again", "__odd"), True
+    marked = rows.join(F.broadcast(ids) if small else ids, F.col("id").eqNullSafe(F.col("again")), "left")
+    hashed = F.xxhash64(F.coalesce(F.col("id"), F.lit(-1).cast("long")), F.col("id").isNull(), F.col("text"))
+    return marked.withColumn("node", F.when(F.col("odd"), hashed).otherwise(F.col("id"))).drop("again", "odd"), True
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,13 +383,13 @@ def drop_near(docs: DataFrame, words: int = WORDS, least: float = LEAST, id_col:
     all others. Texts without words stay. An empty table gives none.
     """
     rows, odd = _noded(docs, id_col, text_col)
-    found = near_components(rows, words, least, "__node", text_col)
+    found = near_components(rows, words, least, "node", "text")
     if odd:
         # The least node of a group needn't be the least id: the row that stays is chosen by id.
-        named = restrict(rows.select("__node", F.col(id_col).cast("long").alias("id")), cut(found.select(F.col("node").alias("__node"))), ["__node"], "left_semi")
+        named = restrict(rows.select("node", "id"), cut(found.select("node")), ["node"], "left_semi")
         order = F.struct(F.col("id").isNull(), "id", "node")
-        first = found.join(named.withColumnRenamed("__node", "node"), "node").groupBy("component").agg(F.min(order)["node"].alias("first"))
+        first = found.join(named, "node").groupBy("component").agg(F.min(order)["node"].alias("first"))
         gone = found.join(first, "component").where("node <> first")
     else:
         gone = found.where("node <> component")
-    return restrict(rows, cut(gone.select(F.col("node").alias("__node")).distinct()), ["__node"], "left_anti").select(*docs.columns)
+    return restrict(rows, cut(gone.select("node").distinct()), ["node"], "left_anti").select("row.*")

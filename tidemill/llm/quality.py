@@ -153,7 +153,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, y int")
     texts = docs.select(F.col(id_col).alias("doc_id"), binary(text_col).alias("text")).where(crc_mod4("doc_id") != 2)
     found = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text")
-    rows = sorted(tuple(r) for r in found.limit(4 * sample_rows).collect())
+    # Where ids repeat there may be more rows: the same ones are taken, however the table is dealt out.
+    rows = sorted(tuple(r) for r in found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(4 * sample_rows).collect())
     return ByteConvNet().fit([bytes(r[2]) for r in rows], [r[1] for r in rows])
 
 

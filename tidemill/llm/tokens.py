@@ -45,6 +45,10 @@ class _Index(dict):
         return -1
 
 
+#: What closes a sentence, in UTF-8: marks and line ends, and the full stops of scripts beyond Latin.
+_CLOSES = re.compile("|".join(map(re.escape, ".!?\n\u0589\u061f\u06d4\u0964\u0965\u1362\u2026\u3002\uff01\uff0e\uff1f\uff61")).encode())
+
+
 class Encoder:
     """encode(texts) gives the ids of each text, and where its sentences end.
 
@@ -59,6 +63,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.word = kind == "word"
         self.cut = _WORD_CUT if self.word else _BYTE_CUT
+        self.widths: np.ndarray | None = None
         self._clear()
 
     def _clear(self) -> None:
@@ -157,9 +162,25 @@ class Encoder:
         for k, p in enumerate(plain):
             part = ids[upto[k] : upto[k + 1]] if p is not None else np.array(next(whole).ids, np.int32)
             parts.append(part)
-            marks.append(sentence[upto[k] : upto[k + 1]] if p is not None else np.zeros(len(part), bool))
+            marks.append(sentence[upto[k] : upto[k + 1]] if p is not None else self._closing(texts[k], part))
         return np.concatenate(parts), np.concatenate(marks), np.cumsum([0, *map(len, parts)])
 
+    def _closing(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Which ids of a whole text close a sentence, by the bytes they stand for; none if these aren't the text's."""
+        marks = np.zeros(len(ids), bool)
+        if self.word or not len(ids):
+            return marks
+        if self.widths is None:
+            own = self.tokenizer.get_added_tokens_decoder()
+            sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} | {i: len(t.content.encode()) for i, t in own.items()}
+            self.widths = np.zeros(max(sizes) + 1, np.int64)
+            self.widths[list(sizes)] = list(sizes.values())
+        data, ends = text.encode(), np.cumsum(self.widths[ids])
+        if ends[-1] == len(data):
+            stops = np.fromiter((m.end() for m in _CLOSES.finditer(data)), np.int64)
+            marks[np.searchsorted(ends, stops)] = True  # the id that has the last byte
+        return marks
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 

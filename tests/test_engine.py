@@ -1,8 +1,12 @@
 """Curation, code map, stages, splits, tournament, tracking, streaming, reports."""
 
 import json
+import math
 import os
+import random
+import shutil
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
@@ -14,7 +18,7 @@ from tidemill.ml.features import FeatureSpec, feature_names, feature_stages, imp
 from tidemill.ml.specs import ModelSpec, default_specs, evaluators
 from tidemill.ml.tournament import Outcome, Settings, best_index, label_shift, profile_stages, register_winner, run_tournament, winner
 from tidemill.ml.tracking import Tracker
-from tidemill.operators import codemap, curate, split
+from tidemill.operators import codemap, curate, metrics, split
 from tidemill.plans.contract import LEAKY_COLUMNS, LeakagePolicy, ServingContract
 from tidemill.sources import files, sinks
 from tidemill.streaming import score as scoring
@@ -561,7 +565,205 @@ def test_large_vocabulary_is_a_table(spark, tmp_path):
     inline, table = (stages.SmoothedTargetEncoder(inputCols=["k"], outputCols=["e"], maxInline=n, **more) for n, more in ((50, {}), (49, {"tableFolder": str(tmp_path / "means")})))
     a, b = inline.fit(df), table.fit(df)
     assert len(a.mapping()["k"]) == 50 and not b.mapping() and b.isSet(b.tableUri)
-    b.write().overwrite().save(str(tmp_path / "m"))
-    b = stages.SmoothedTargetEncoderModel.load(str(tmp_path / "m"))
+    PipelineModel([b]).write().overwrite().save(str(tmp_path / "m"))
+    shutil.rmtree(tmp_path / "means")  # the saved model needs nothing else
+    shutil.move(tmp_path / "m", tmp_path / "elsewhere")
+    b = PipelineModel.load(str(tmp_path / "elsewhere"))
+    b.write().overwrite().save(str(tmp_path / "again"))
+    shutil.rmtree(tmp_path / "elsewhere")
+    b = PipelineModel.load(str(tmp_path / "again"))
     probe = df.limit(60).unionByName(spark.createDataFrame([("new", 0.0)], df.schema))
     assert sorted(r["e"] for r in a.transform(probe).collect()) == pytest.approx(sorted(r["e"] for r in b.transform(probe).collect()))
+
+
+# --- event time, grouped medians, hexagons, fingerprints ------------------------------------------------
+
+
+def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
+    """A query that was stopped, and started anew, writes each row once; a row that comes too late is left out."""
+    from tidemill.streaming import windows as W
+
+    when = W.EventTime("ts", "1 hour")
+    ddl = "event_id long, ts timestamp, kind string"
+
+    def feed(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("".join('{"event_id": %d, "ts": "2024-01-01T%s:00Z", "kind": "a"}\n' % r for r in rows))
+
+    def run():
+        stream = W.by_window(W.first_copies(W.scan_events(spark, str(tmp_path / "in"), ddl), ["event_id"], when), when, "1 hour", ["kind"], {"n": F.count(F.lit(1))})
+        W.take_available(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        rows = spark.read.parquet(str(tmp_path / "out")).select(F.date_format("begins", "HH").alias("h"), "kind", "n").collect()
+        return sorted((r["h"], r["n"]) for r in rows)
+
+    feed("a.json", [(1, "10:10"), (2, "10:20"), (1, "10:10"), (3, "11:30")])
+    assert run() == []  # the watermark is 10:30: no hour is complete
+    feed("b.json", [(4, "10:50"), (2, "10:20"), (5, "12:10")])  # in time; a copy; the watermark moves to 11:10
+    assert run() == [("10", 3)]
+    assert run() == [("10", 3)]
+    feed("c.json", [(6, "10:55"), (7, "13:05")])  # too late: its hour was written
+    assert run() == [("10", 3), ("11", 1)]
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_grouped_medians(spark, accuracy):
+    r = random.Random(2)
+    rows = [(f"g{int(r.paretovariate(0.6)) % 12}", r.choice([None, float("nan"), 1.0, 2.0, r.gauss(0, 100)]) if k % 9 == 0 else r.gauss(0, 50)) for k in range(6000)]
+    rows = [(g, x if x is None or x == x else None) for g, x in rows] + [("one", 5.0), ("none", None), (None, 1.0)]
+    got = {x["g"]: (x["median"], x["n"]) for x in metrics.grouped_medians(spark.createDataFrame(rows, "g string, x double").repartition(3), ["g"], F.col("x"), accuracy).collect()}
+    want = {}
+    for g, x in rows:
+        if g is not None and x is not None:
+            want.setdefault(g, []).append(x)
+    assert got == {g: (float(np.median(v)), len(v)) for g, v in want.items()}
+
+
+def test_hexagons_are_the_nearest(spark):
+    """Every point lies in the hexagon whose centre is the nearest of all centres, up-distances weighed as the shape asks."""
+    r = random.Random(3)
+    rows = [(r.uniform(-5, 105), r.uniform(-5, 105)) for _ in range(3000)] + [(None, 1.0), (1.0, None)]
+    got = {(x["lattice"], x["hx"], x["hy"]): (x["cx"], x["cy"], x["n"]) for x in metrics.hexagons(spark.createDataFrame(rows, "x double, y double"), F.col("x"), F.col("y"), 0.0, 100.0, 12).collect()}
+    up = int(12 / math.sqrt(3))
+    sx, sy = 100 / 12, 100 / up
+    centres = {(1, i, j): (i * sx, j * sy) for i in range(-2, 16) for j in range(-2, 12)} | {(2, i, j): ((i + 0.5) * sx, (j + 0.5) * sy) for i in range(-2, 16) for j in range(-2, 12)}
+    want = {}
+    for x, y in rows:
+        if x is not None and y is not None:
+            k = min(centres, key=lambda c: ((x - centres[c][0]) / sx) ** 2 + 3 * ((y - centres[c][1]) / sy) ** 2)
+            if 0 <= k[1] <= 13 - k[0] and 0 <= k[2] <= up + 1 - k[0]:
+                want[k] = want.get(k, 0) + 1
+    assert {k: n for k, (_, _, n) in got.items()} == want
+    assert all(math.isclose(got[k][0], centres[k][0], abs_tol=1e-4) and math.isclose(got[k][1], centres[k][1], abs_tol=1e-4) for k in got)
+
+
+def test_fingerprints_do_not_depend_on_order(spark):
+    r = random.Random(4)
+    rows = [(r.uniform(-1, 1) * 10 ** r.randint(-6, 12), k, f"t{k % 5}" if k % 7 else None) for k in range(4000)] + [(float("nan"), None, "x"), (float("inf"), 1, "y")]
+    df = spark.createDataFrame(rows, "x double, k long, t string")
+    dealt = [df, df.repartition(7), df.orderBy(F.rand(1)), df.coalesce(1)]
+    assert len({tuple(metrics.fingerprint(d.select("x", "k")).first()) for d in dealt}) == 1
+    assert len({tuple(metrics.multiset(d).first()) for d in dealt}) == 1
+    one = metrics.multiset(df).first()["digest"]
+    assert len(one) == 32
+    assert metrics.multiset(df.unionByName(df.limit(1))).first()["digest"] != one
+    assert metrics.multiset(df.withColumn("x", F.when(F.col("k") == 5, F.col("x") + 1e-3).otherwise(F.col("x")))).first()["digest"] != one
+    assert tuple(metrics.multiset(df.limit(0)).first()) == (0, "0" * 32)
+
+
+def test_candidates_by_ring_are_those_of_all_against_all(spark):
+    """Best and runner-up of every code, on a sphere with places at the poles and on both sides of the date line."""
+    r = random.Random(6)
+    places = [(f"p{k:03}", r.choice([r.uniform(-90, 90), 89.9, -89.9, 0.0]), r.choice([r.uniform(-180, 180), 179.9, -180.0, 180.0])) for k in range(90)]
+    at = {n: (la, lo) for n, la, lo in places}
+
+    def miles(a, b):
+        (p, q), (s, t) = ([math.radians(x) for x in at[n]] for n in (a, b))
+        h = math.sin((s - p) / 2) ** 2 + math.cos(p) * math.cos(s) * math.sin((t - q) / 2) ** 2
+        return 2 * 3958.7613 * math.asin(math.sqrt(min(1.0, max(0.0, h))))
+
+    names = sorted(at)
+    trusted = {str(1000 + k): n for k, n in enumerate(names[:40])}
+    unknown = {str(2000 + k): n for k, n in enumerate(names[40:52])}
+    routes = []
+    for code, n in unknown.items():
+        for other in r.sample(sorted(trusted), r.randint(1, 6)):
+            off = r.choice([0.3, 5.0, 90.0, 2500.0]) if r.random() < 0.5 else 0.0
+            routes.append((*((code, other) if r.random() < 0.5 else (other, code)), float(round(miles(n, trusted[other]) + off)), 1))
+    coords = spark.createDataFrame(places, "iata string, lat double, lon double")
+    got = codemap.score_candidates(
+        spark.createDataFrame(routes, "origin string, dest string, distance double, n long").distinct(), spark.createDataFrame([(c,) for c in unknown], "code string"), spark.createDataFrame(list(trusted.items()), "dot_code string, iata_code string"), coords
+    ).collect()
+    seen = set(routes)
+    want = {}
+    for code in unknown:
+        obs = [(trusted[b if a == code else a], d) for a, b, d, _ in seen if code in (a, b)]
+        scored = sorted((float(np.median([abs(miles(p, o) - d) for o, d in obs])), p) for p in names if p not in trusted.values())
+        want[code] = (scored[0][1], scored[0][0], scored[1][0], len(obs))
+    assert {x["code"] for x in got} == set(want)
+    for x in got:
+        iata, score, runner, n = want[x["code"]]
+        assert (x["iata"], x["n_obs"]) == (iata, n) and math.isclose(x["score"], score, abs_tol=1e-6) and math.isclose(x["runner_up"], runner, abs_tol=1e-6)
+
+
+# --- one vector stage, one chain fit for each fold ------------------------------------------------------
+
+
+def test_scaled_features_equal_the_four_stages(spark, tmp_path):
+    from dataclasses import replace
+
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemill.plans.training import flights
+    from tests.conftest import SF
+
+    rows = flights(spark, SF).limit(1500).persist()
+    found = {}
+    for dense in (True, False):
+        model = Pipeline(stages=feature_stages("label_delay", False, spec=replace(FeatureSpec(), dense=dense))).fit(rows)
+        unseen = rows.withColumns({"MONTH": F.lit(12) + F.col("MONTH") % 2, "DAY": F.when(F.col("DAY") > 3, F.col("DAY"))})
+        made = [model.transform(d).orderBy("row_id").select(vector_to_array("features").alias("v")).collect() for d in (rows, unseen)]
+        found[dense] = [np.array([r["v"] for r in m]) for m in made], feature_names(model, rows)
+        if dense:
+            model.write().overwrite().save(str(tmp_path / "m"))
+            again = PipelineModel.load(str(tmp_path / "m")).transform(rows).orderBy("row_id").select(vector_to_array("features").alias("v")).collect()
+            assert np.array_equal(np.array([r["v"] for r in again]), found[True][0][0])
+    for a, b in zip(found[True][0], found[False][0], strict=True):
+        assert a.shape == b.shape and np.allclose(a, b, equal_nan=True)
+    assert found[True][1] == found[False][1]
+
+
+def test_one_chain_fit_for_each_fold(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from tidemill.ml.search import cross_validate, fit_best
+
+    fits, tables = [], []
+
+    class Counted(stages.IQRClip):
+        def _fit(self, dataset):
+            fits.append(1)
+            tables.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+            return super()._fit(dataset)
+
+    def chain(held):
+        return [Counted(inputCols=["DEPARTURE_DELAY"], outputCols=["clip"]), stages.FitCache(held), VectorAssembler(inputCols=["clip", "DISTANCE"], outputCol="features")]
+
+    est = LinearRegression(featuresCol="features", labelCol="label", solver="normal")
+    grid = ParamGridBuilder().addGrid(est.regParam, [0.0, 5.0, 50.0]).build()
+    rows = synthetic(spark).withColumn("fold", (F.col("id") % 4).cast("int")).withColumn("DISTANCE", F.col("id") % 13 + 0.5)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    evaluator = RegressionEvaluator(labelCol="label")
+    got = cross_validate(chain, est, grid, rows, "fold", 4, evaluator, 3)
+    assert len(fits) == 4 and max(tables) == kept and spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    whole = CrossValidator(estimator=Pipeline(stages=[*chain(stages.HeldRows()), est]), estimatorParamMaps=grid, evaluator=evaluator, numFolds=4, foldCol="fold").fit(rows)
+    assert np.allclose(got, whole.avgMetrics)
+    model = fit_best(chain, est, grid[best_index(got, False)], rows)
+    assert np.isclose(evaluator.evaluate(model.transform(rows)), evaluator.evaluate(whole.bestModel.transform(rows)))
+
+
+# --- malformed records ---------------------------------------------------------------------------------
+
+
+def test_malformed_lines_are_counted_and_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,n,name\n1,10,x\n2,ten,y\n3,30\n4,40,z,extra\n5,,w\nrubbish\n")
+    rows = files.scan_csv(spark, str(tmp_path / "a.csv"), "id int, n int, name string", corrupt=True)
+    good, bad = sinks.split_corrupt(rows)
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 10, "x"), (5, None, "w")] and good.columns == ["id", "n", "name"]
+    assert sorted(r["record"] for r in bad.collect()) == ["2,ten,y", "3,30", "4,40,z,extra", "rubbish"]
+    assert all(r["file"].endswith("a.csv") for r in bad.collect())
+    total = sinks.keep_corrupt(rows, str(tmp_path / "bad"))
+    assert total == {"good": 2, "bad": 4} and spark.read.parquet(str(tmp_path / "bad")).count() == 4
+    assert sorted(r["id"] for r in good.select("id").collect()) == [1, 5]  # whatever columns are read
+
+
+def test_stream_keeps_malformed_events_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"x": 1.5, "k": "a"}\n{"x": "wrong", "k": "b"}\nnot json\n{"x": 2.5}\n')
+    train = spark.createDataFrame([(float(k), 2.0 * k) for k in range(20)], "x double, y double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y")]).fit(train)
+    contract = ServingContract.of(spark.createDataFrame([(1.0, "a")], "x double, k string"), ())
+    scoring.drain(scoring.start_scoring(spark, str(tmp_path / "in"), contract, model, str(tmp_path / "out"), str(tmp_path / "c"), keep=("x", "k"), quarantine=str(tmp_path / "bad")))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("x").collect()
+    assert [(r["x"], r["k"], round(r["prediction"], 4)) for r in got] == [(1.5, "a", 3.0), (2.5, None, 5.0)]
+    assert sorted(r["record"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["not json", '{"x": "wrong", "k": "b"}']

@@ -22,7 +22,9 @@ def _args(argv: list[str]) -> argparse.Namespace:
             made.add_argument(n, required=True)
         return made
 
-    mode("raw", "--facts", "--out").add_argument("--salt", type=int, default=1, help="tasks and files of each month")
+    raw = mode("raw", "--facts", "--out")
+    raw.add_argument("--salt", type=int, default=1, help="tasks and files of each month")
+    raw.add_argument("--quarantine", help="folder for lines that don't fit the schema; without one they are rows with nulls")
     mode("prepare", "--facts", "--places", "--carriers", "--out").add_argument("--code-map")
     mode("encode-map", "--facts", "--places", "--out")
     train = mode("train", "--curated", "--store", "--key")
@@ -41,6 +43,7 @@ def _args(argv: list[str]) -> argparse.Namespace:
     score.add_argument("--every")
     score.add_argument("--seconds", type=float)
     score.add_argument("--console", action="store_true")
+    score.add_argument("--quarantine", help="folder for events that don't fit the schema; without one what doesn't fit is null")
     mode("report", "--store")
     bench = mode("benchmark", "--store", "--out")
     bench.add_argument("--curated", help="rows for the residuals of the winner's predictions")
@@ -67,8 +70,13 @@ def _args(argv: list[str]) -> argparse.Namespace:
 def _raw(spark, a) -> int:
     from tidemill.sources import files, sinks
 
-    facts = files.scan_csv(spark, a.facts, files.FACT_SCHEMA)
-    expected = facts.select("MONTH").count()
+    facts = files.scan_csv(spark, a.facts, files.FACT_SCHEMA, corrupt=bool(a.quarantine))
+    if a.quarantine:
+        found = sinks.keep_corrupt(facts, a.quarantine)
+        print(f"good: {found['good']:,}; malformed: {found['bad']:,}")
+        facts, expected = sinks.split_corrupt(facts)[0], found["good"]
+    else:
+        expected = facts.select("MONTH").count()
     sinks.write_partitioned(facts, a.out, "MONTH", a.salt)
     said = sinks.verify_written(spark, a.out, expected)
     print(said)
@@ -133,7 +141,7 @@ def _score(spark, a) -> int:
     counter = RowCounter()
     spark.streams.addListener(counter)
     try:
-        drain(start_scoring(spark, a.source, contract, model, a.out, f"{a.out}/_checkpoint", a.every, a.console), a.seconds)
+        drain(start_scoring(spark, a.source, contract, model, a.out, f"{a.out}/_checkpoint", a.every, a.console, quarantine=a.quarantine), a.seconds)
         settle(spark)
     finally:
         spark.streams.removeListener(counter)

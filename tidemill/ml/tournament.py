@@ -8,14 +8,14 @@ import traceback
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.ml.features import FeatureSpec, feature_names, feature_stages, importances
 from tidemill.ml.specs import ModelSpec, evaluators
-from tidemill.ml.stages import FitCache, HeldRows
+from tidemill.ml.search import cross_validate, fit_best
+from tidemill.ml.stages import FitCache
 from tidemill.ml.tracking import Tracker
 from tidemill.operators.split import hash_sample, train_test_split, with_folds
 from tidemill.sources.sinks import put_json
@@ -71,19 +71,19 @@ def run_arm(spec: ModelSpec, use_pca: bool, train: DataFrame, tune: DataFrame, t
     est, scores = spec.estimator(), evaluators(spec.task, spec.label)
     primary = next(iter(scores.values()))
     grid = spec.param_maps(est)
-    with HeldRows() as held:
-        pipe = Pipeline(stages=[*feature_stages(spec.label, use_pca, s.pca_k, s.features, held), est])
-        # The decomposition behind PCA keeps state between calls and fails when several run at once on one driver.
-        parallelism = 1 if use_pca else s.parallelism
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=primary, numFolds=s.folds, parallelism=parallelism, foldCol="__fold")
-        fitted = cv.fit(with_folds(tune, s.key, s.folds, "__fold"))
-        at = best_index(fitted.avgMetrics, primary.isLargerBetter())
-        best = {p.name: v for p, v in grid[at].items()}
-        # The choice was made on a part of the rows; the model is fitted to all of them.
-        model = fitted.bestModel if tune is train else pipe.copy(grid[at]).fit(train)
-        predicted = model.transform(test)
+    chain = lambda held: feature_stages(spec.label, use_pca, s.pca_k, s.features, held)
+    averages = cross_validate(chain, est, grid, with_folds(tune, s.key, s.folds, "__fold"), "__fold", s.folds, primary, s.parallelism)
+    at = best_index(averages, primary.isLargerBetter())
+    best = {p.name: v for p, v in grid[at].items()}
+    # The choice was made on a part of the rows; the model is fitted to all of them.
+    model = fit_best(chain, est, grid[at], train)
+    made = model.transform(test)
+    predicted = made.select(*(c for c in (spec.label, "prediction", "rawPrediction") if c in made.columns)).persist()
+    try:
         metrics = {name: float(e.evaluate(predicted)) for name, e in scores.items()}
-    extra = {f"best_{k}": v for k, v in best.items()} | {"cv_best": float(fitted.avgMetrics[at])}
+    finally:
+        predicted.unpersist()
+    extra = {f"best_{k}": v for k, v in best.items()} | {"cv_best": float(averages[at])}
     extra |= {f"param_{p.name}": v for p, v in model.stages[-1].extractParamMap().items() if isinstance(v, (bool, int, float, str))}
     extra |= {"folds": s.folds, "tune_per_mille": s.tune_per_mille, "train_percent": s.train_percent, "pca_k": s.pca_k if use_pca else None, "features": json.dumps(asdict(s.features))}
     pca = next((m for m in model.stages if type(m).__name__ == "PCAModel"), None)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemill.plans.queries import query
 from tidemill.plans.views import read
+from tidemill.sources.files import scan_csv
+from tidemill.sources.sinks import keep_corrupt, split_corrupt
 from tidemill.sources.store import work_folder
 from tidemill.streaming import windows as W
 
@@ -108,6 +110,20 @@ def stream_sessions(spark, sf):
     return out.select(_text("begins"), _text("ends"), "user_id", "n", "cents", "largest")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 23 <> 0 AND event_id % 31 <> 0 THEN user_id END AS user_id, event_id % 23 <> 0 AND event_id % 31 <> 0 AS fits FROM events")
+def malformed_lines(spark, sf):
+    """Events as text lines, some with a word for a number and some cut short: those that fit, and those kept apart."""
+    k, work = F.col("event_id"), work_folder(spark, "lines")
+    user = F.when(k % 23 == 0, F.lit("nobody")).otherwise(F.col("user_id").cast("string"))
+    lines = read(spark, sf, "events").select(F.concat_ws(",", k.cast("string"), F.when(k % 31 != 0, user), F.when(k % 31 != 0, F.col("event_type"))).alias("value"))
+    lines.write.text(f"{work}/in")
+    rows = scan_csv(spark, f"{work}/in", "event_id long, user_id long, kind string", header=False, corrupt=True)
+    keep_corrupt(rows, f"{work}/bad")
+    good, bad = split_corrupt(rows)[0], spark.read.parquet(f"{work}/bad")
+    apart = bad.select(F.regexp_extract("record", "^([0-9]+)", 1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit(False).alias("fits"))
+    return good.select("event_id", "user_id", F.lit(True).alias("fits")).unionByName(apart)
+
+
 def _of(kind: str) -> str:
     """Rows of a kind, and while each feed is read the latest time of that kind before it."""
     return f"""{kind}_rows AS (SELECT * FROM (SELECT * FROM f UNION ALL SELECT * REPLACE (least(feed + 1, {FEEDS - 1}) AS feed) FROM f WHERE event_id % 17 = 0) WHERE kind = '{kind}'),

@@ -900,4 +900,4 @@ def tournament(spark, sf):
     return spark.createDataFrame(rows, "arm string, task string, rmse double, r2 double")
 
 
-from tidemill.plans import event_queries  # noqa: E402,F401  registers its queries here
+from tidemill.plans import event_queries, model_queries  # noqa: E402,F401  they register their queries here

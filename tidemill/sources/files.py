@@ -25,9 +25,26 @@ FACT_TEXT = frozenset(
 FACT_SCHEMA = T.StructType([T.StructField(c, T.StringType() if c in FACT_TEXT else T.IntegerType()) for c in FACT_COLUMNS])
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = False) -> DataFrame:
-    """CSV with a header. With a schema, malformed fields are null; without, all text unless infer is set."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+#: The column that holds a record that doesn't fit its schema, whole; null for records that do.
+CORRUPT = "_corrupt_record"
+
+
+def with_corrupt(schema: T.StructType | str) -> T.StructType:
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    return T.StructType([*kind.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = False, header: bool = True, corrupt: bool = False) -> DataFrame:
+    """CSV, with a header. With a schema, malformed fields are null; without, all text unless infer is set.
+
+    With corrupt, a record that doesn't fit its schema (a field of another type, too few or too many fields) is there
+    whole in the column CORRUPT. All fields are then parsed, whichever are read, so that a record is the same to all readers.
+    """
+    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    if corrupt:
+        if schema is None:
+            raise ValueError("malformed records are those that don't fit a schema")
+        schema, reader = with_corrupt(schema), reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)).csv(path)
 
 
@@ -43,9 +60,10 @@ def scan_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT_SCHEMA.fields))
 
 
-def scan_json_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of JSON lines as a stream. Fields that don't fit the schema are null."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("mode", "PERMISSIVE").json(path)
+def scan_json_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1, corrupt: bool = False) -> DataFrame:
+    """A folder of JSON lines as a stream. Fields that don't fit the schema are null; with corrupt, the whole line of such
+    a record is in the column CORRUPT."""
+    return spark.readStream.schema(with_corrupt(schema) if corrupt else schema).option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files_per_trigger).option("mode", "PERMISSIVE").json(path)
 
 
 def find_source(name: str, env: str = "TIDEMILL_RAW_DIR", folders: Sequence[str] = ("data", "../data_raw")) -> str:

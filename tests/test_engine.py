@@ -767,3 +767,32 @@ def test_stream_keeps_malformed_events_apart(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("x").collect()
     assert [(r["x"], r["k"], round(r["prediction"], 4)) for r in got] == [(1.5, "a", 3.0), (2.5, None, 5.0)]
     assert sorted(r["record"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["not json", '{"x": "wrong", "k": "b"}']
+
+
+def test_costs_are_those_of_the_jobs(spark):
+    from tidemill.ml.measured import Cost, measured
+
+    with measured(spark) as first:
+        spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    spark.range(10).count()  # another job in between counts for neither
+    double = F.pandas_udf(lambda x: x * 2.0, "double")
+    with measured(spark) as second:
+        spark.range(5000, numPartitions=2).select(double("id")).write.format("noop").mode("overwrite").save()
+    assert first.jobs >= 1 and first.tasks >= first.stages >= 2 and first.shuffle_write_mb == pytest.approx(first.shuffle_read_mb) and first.shuffle_write_mb > 0 and first.python_s == 0
+    assert (second.jobs, second.tasks, second.shuffle_write_mb) == (1, 2, 0) and second.python_s > 0 and second.run_s > 0
+    both = first + second
+    assert both.tasks == first.tasks + second.tasks and both.wall_s == first.wall_s + second.wall_s and Cost() + first == first
+    with measured(spark) as whole:  # the parts sum to the whole
+        with measured(spark) as part:
+            spark.range(100).repartition(2).count()
+    assert part.jobs >= 1 and whole.jobs == 0  # a job belongs to the innermost
+
+
+def test_figures_of_predictions(spark, tmp_path):
+    predicted = spark.range(2000).select((F.col("id") % 97).cast("double").alias("label_delay"), (F.col("id") % 97 + F.col("id") % 5 - 2).cast("double").alias("prediction"))
+    paths = report.write_benchmark(Tracker(spark, str(tmp_path / "s")), str(tmp_path / "out"), predicted)
+    shape = files.read_json(str(tmp_path / "out" / "predicted_actual.json"))
+    assert (shape["low"], shape["high"]) == (0.0, 96.0) and sum(n for _, _, n in shape["cells"]) <= 2000 and len(shape["cells"]) > 40
+    bins = files.read_json(str(tmp_path / "out" / "residuals.json"))
+    assert sum(n for _, n in bins) == 2000 and bins[0][0] == "-2"
+    assert report.write_benchmark(Tracker(spark, str(tmp_path / "s")), str(tmp_path / "none"), predicted.limit(0)) and len(paths) >= 3

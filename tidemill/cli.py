@@ -195,7 +195,8 @@ def _profile(spark, a) -> int:
     rows = spark.read.parquet(a.curated).limit(a.rows).persist()
     rows.count()
     for name, fit, transform in profile_stages(feature_stages(a.label, False), rows):
-        print(f"{name:28s} fit {fit:8.3f} s  transform {transform:8.3f} s")
+        print(f"{name:28s} fit       {fit.line()}")
+        print(f"{'':28s} transform {transform.line()}")
     rows.unpersist()
     return 0
 

@@ -79,7 +79,7 @@ def variance_shares(tracker) -> dict[str, list[float]]:
 def write_benchmark(tracker, out: str, predicted: DataFrame | None = None, label: str = "label_delay", top: int = 15) -> list[str]:
     """The result table, and the figures' numbers beside the figures themselves where matplotlib is there: comparison of
     arms, importances, cumulative variance, and residuals of predictions. The paths written, in any store."""
-    from tidemill.operators.metrics import histogram
+    from tidemill.operators.metrics import hexagons, quantiles, range_histogram
     from tidemill.sources.sinks import put_json
     from tidemill.sources.store import replace_text
 
@@ -91,31 +91,88 @@ def write_benchmark(tracker, out: str, predicted: DataFrame | None = None, label
     figures |= {f"importances_{n}": rows[:top] for n, rows in importances_of(tracker).items()}
     figures |= {f"variance_{n}": [(f"pc_{k + 1}", sum(v[: k + 1])) for k in range(len(v))] for n, v in variance_shares(tracker).items()}
     if predicted is not None:
-        width = 2.0  # minutes of a bin
-        rows = histogram(predicted, F.col(label) - F.col("prediction"), -60.0, 60.0, 60).orderBy("bin").collect()
-        figures["residuals"] = [(f"{-60 + width * r['bin']:g}", float(r["n"])) for r in rows]
+        both = predicted.select(F.col(label).cast("double").alias("y"), F.col("prediction").alias("p")).where("y is not null and p is not null").persist()
+        try:
+            bins, low, high = range_histogram(both, F.col("y") - F.col("p"))
+            rows = bins.orderBy("bin").collect()  # sixty at most
+            bounds = quantiles(both, F.col("y"), (0.005, 0.995), between=True)
+            cells = hexagons(both, F.col("y"), F.col("p"), *bounds).orderBy("lattice", "hx", "hy").collect() if None not in bounds and bounds[1] > bounds[0] else []
+        finally:
+            both.unpersist()
+        width = (high - low) / 60
+        figures["residuals"] = [(f"{low + width * r['bin']:g}", float(r["n"])) for r in rows]
+        if cells:  # some thousand hexagons at most, whatever the number of rows
+            shape = {"low": bounds[0], "high": bounds[1], "across": 45, "cells": [[r["cx"], r["cy"], r["n"]] for r in cells]}
+            put_json(f"{out}/predicted_actual.json", shape)
+            paths.append(f"{out}/predicted_actual.json")
+            if plot_hexagons(shape, f"{out}/predicted_actual.png", "predicted against actual", spark):
+                paths.append(f"{out}/predicted_actual.png")
     for name, rows in figures.items():
         if rows:
             put_json(f"{out}/{name}.json", rows)
             paths.append(f"{out}/{name}.json")
-            if plot_bars(rows, f"{out}/{name}.png", name.replace("_", " "), spark):
+            draw = plot_line if name.startswith("variance_") else plot_bars
+            if draw(rows, f"{out}/{name}.png", name.replace("_", " "), spark):
                 paths.append(f"{out}/{name}.png")
     return paths
 
 
-def plot_bars(rows: list[tuple[str, float]], path: str, title: str, spark=None) -> bool:
-    """A bar chart if matplotlib is there, in any store; whether it was drawn."""
+def _figure(size: tuple[float, float], title: str):
+    """A figure and its axes if matplotlib is there."""
     try:
         from matplotlib.backends.backend_agg import FigureCanvasAgg
         from matplotlib.figure import Figure
     except ImportError:
-        return False
-    fig = Figure(figsize=(8, 0.35 * len(rows) + 1.5), layout="constrained")
+        return None
+    fig = Figure(figsize=size, layout="constrained")
     FigureCanvasAgg(fig)
     ax = fig.subplots()
-    ax.barh([r[0] for r in reversed(rows)], [r[1] for r in reversed(rows)])
     ax.set_title(title)
+    return fig, ax
+
+
+def _saved(fig, path: str, spark) -> bool:
     drawn = io.BytesIO()
     fig.savefig(drawn, dpi=150, format="png")
     put_bytes(spark or SparkSession.active(), path, drawn.getvalue())
     return True
+
+
+def plot_hexagons(shape: dict, path: str, title: str, spark=None) -> bool:
+    """Filled hexagons, darker for more rows, and the line on which prediction and actual agree; whether it was drawn."""
+    made = _figure((6, 6), title)
+    if made is None:
+        return False
+    from matplotlib.collections import PolyCollection
+
+    fig, ax = made
+    low, high, step = shape["low"], shape["high"], (shape["high"] - shape["low"]) / shape["across"]
+    up = (high - low) / int(shape["across"] / 3**0.5) / 3
+    corner = [(0, -up), (step / 2, -up / 2), (step / 2, up / 2), (0, up), (-step / 2, up / 2), (-step / 2, -up / 2)]
+    drawn = PolyCollection([[(x + a, y + b) for a, b in corner] for x, y, _ in shape["cells"]], array=[n for _, _, n in shape["cells"]], cmap="Blues")
+    ax.add_collection(drawn)
+    ax.plot([low, high], [low, high], linestyle="--", color="black", linewidth=1)
+    ax.set(xlim=(low, high), ylim=(low, high), xlabel="actual", ylabel="predicted")
+    fig.colorbar(drawn, label="rows")
+    return _saved(fig, path, spark)
+
+
+def plot_line(rows: list[tuple[str, float]], path: str, title: str, spark=None) -> bool:
+    """A curve through the values in order; whether it was drawn."""
+    made = _figure((8, 4), title)
+    if made is None:
+        return False
+    fig, ax = made
+    ax.plot([r[0] for r in rows], [r[1] for r in rows], marker="o")
+    ax.set_ylim(0, 1.02)
+    return _saved(fig, path, spark)
+
+
+def plot_bars(rows: list[tuple[str, float]], path: str, title: str, spark=None) -> bool:
+    """A bar chart if matplotlib is there, in any store; whether it was drawn."""
+    made = _figure((8, 0.35 * len(rows) + 1.5), title)
+    if made is None:
+        return False
+    fig, ax = made
+    ax.barh([r[0] for r in reversed(rows)], [r[1] for r in reversed(rows)])
+    return _saved(fig, path, spark)

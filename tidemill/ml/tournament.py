@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemill.ml.features import FeatureSpec, feature_names, feature_stages, importances
 from tidemill.ml.specs import ModelSpec, evaluators
+from tidemill.ml.measured import Cost, measured
 from tidemill.ml.search import cross_validate, fit_best
 from tidemill.ml.stages import FitCache
 from tidemill.ml.tracking import Tracker
@@ -154,21 +155,21 @@ def register_winner(outcome: Outcome, tracker: Tracker, model: str = "best_pipel
     return version
 
 
-def profile_stages(stages: Sequence, df: DataFrame) -> list[tuple[str, float, float]]:
-    """(stage, fit seconds, transform seconds) of a chain, each stage on what those before it made; then the whole fitted
-    chain in one go, under the name "pipeline"."""
-    out, models, first = [], [], df
+def profile_stages(stages: Sequence, df: DataFrame) -> list[tuple[str, Cost, Cost]]:
+    """(stage, cost of the fit, cost of the transform) of a chain, each stage on what those before it made; then the whole
+    fitted chain in one go, under the name "pipeline"."""
+    spark, out, models, first = df.sparkSession, [], [], df
     for s in stages:
-        t0 = time.perf_counter()
-        model = s.fit(df) if hasattr(s, "fit") else s
-        t1 = time.perf_counter()
-        df = model.transform(df)
-        df.write.format("noop").mode("overwrite").save()
-        out.append((type(s).__name__, t1 - t0, time.perf_counter() - t1))
+        with measured(spark) as fit:
+            model = s.fit(df) if hasattr(s, "fit") else s
+        with measured(spark) as transform:
+            df = model.transform(df)
+            df.write.format("noop").mode("overwrite").save()
+        out.append((type(s).__name__, fit, transform))
         models.append(model)
     for s in stages:
         if isinstance(s, FitCache):
             s.held.release()
-    t0 = time.perf_counter()
-    PipelineModel(models).transform(first).write.format("noop").mode("overwrite").save()
-    return [*out, ("pipeline", sum(r[1] for r in out), time.perf_counter() - t0)]
+    with measured(spark) as whole:
+        PipelineModel(models).transform(first).write.format("noop").mode("overwrite").save()
+    return [*out, ("pipeline", sum((r[1] for r in out), Cost()), whole)]

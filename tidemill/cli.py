@@ -1,4 +1,4 @@
-"""python -m tidemill.cli raw | prepare | encode-map | train | score | report | benchmark | events | profile"""
+"""python -m tidemill.cli raw | prepare | encode-map | train | score | report | benchmark | events | windows | profile"""
 
 from __future__ import annotations
 
@@ -48,10 +48,24 @@ def _args(argv: list[str]) -> argparse.Namespace:
     bench = mode("benchmark", "--store", "--out")
     bench.add_argument("--curated", help="rows for the residuals of the winner's predictions")
     bench.add_argument("--key")
-    events = mode("events", "--curated", "--key", "--store", "--out")
+    events = mode("events", "--out")
+    events.add_argument("--curated", help="rows that training has not seen are taken from here; without it, and a store, made-up ones")
+    events.add_argument("--key")
+    events.add_argument("--store")
     events.add_argument("--rows", type=int, default=100)
     events.add_argument("--batch", type=int, default=20)
     events.add_argument("--pause", type=float, default=0.0, help="seconds between files")
+    windows = mode("windows", "--source", "--schema", "--at", "--out")
+    windows.add_argument("--form", default="json", choices=("json", "parquet"))
+    windows.add_argument("--delay", default="1 day", help="how long later events may come")
+    windows.add_argument("--size", default="1 hour")
+    windows.add_argument("--slide", help="windows begin so far apart; without it, one after the other")
+    windows.add_argument("--gap", help="sessions instead: runs of events without a pause of this length")
+    windows.add_argument("--by", nargs="*", default=[])
+    windows.add_argument("--sum", nargs="*", default=[], help="columns to sum beside the count")
+    windows.add_argument("--once", nargs="*", default=[], help="columns that tell events apart: only first copies count")
+    windows.add_argument("--console", action="store_true", help="show what is complete, every five seconds, until stopped; nothing is written")
+    windows.add_argument("--seconds", type=float, help="stop showing after so long")
     profile = mode("profile", "--curated")
     profile.add_argument("--rows", type=int, default=114_000)
     profile.add_argument("--label", default=LABELS[0])
@@ -60,6 +74,8 @@ def _args(argv: list[str]) -> argparse.Namespace:
     a = p.parse_args(argv)
     if a.mode == "train" and (Path(a.results_name).name != a.results_name or a.results_name in (".", "..")):
         p.error("--results-name is a bare file name")
+    if a.mode == "events" and len({bool(a.curated), bool(a.key), bool(a.store)}) > 1:
+        p.error("--curated, --key and --store go together")
     if getattr(a, "experiment", None):
         if Path(a.experiment).name != a.experiment or a.experiment in (".", ".."):
             p.error("--experiment is a bare name")
@@ -177,9 +193,12 @@ def _benchmark(spark, a) -> int:
 def _events(spark, a) -> int:
     from tidemill.plans.contract import ServingContract
     from tidemill.sources.sinks import put_events
-    from tidemill.streaming.score import held_out_events
+    from tidemill.streaming.score import demo_events, held_out_events
 
-    rows = held_out_events(spark.read.parquet(a.curated), a.key, ServingContract.load(f"{a.store}/input_schema.json"), a.rows)
+    if a.curated:
+        rows = held_out_events(spark.read.parquet(a.curated), a.key, ServingContract.load(f"{a.store}/input_schema.json"), a.rows)
+    else:
+        rows = demo_events(a.rows)
     run = f"{time.time_ns():020d}"
     for k in range(0, len(rows), a.batch):
         if k and a.pause:
@@ -188,6 +207,25 @@ def _events(spark, a) -> int:
     return 0
 
 
+def _windows(spark, a) -> int:
+    from pyspark.sql import functions as F
+
+    from tidemill.streaming import windows as W
+    from tidemill.streaming.score import drain, start_console_sink
+
+    when = W.EventTime(a.at, a.delay)
+    events = W.scan_events(spark, a.source, a.schema, a.form)
+    events = W.first_copies(events, a.once, when) if a.once else W.accepted(events, when)
+    totals = {"n": F.count(F.lit(1)), **{f"sum_{c}": F.sum(c) for c in a.sum}}
+    out = W.by_session(events, when, a.gap, a.by, totals) if a.gap else W.by_window(events, when, a.size, a.by, totals, a.slide)
+    if a.console:
+        drain(start_console_sink(out), a.seconds)
+        return 0
+    W.take_available(out, a.out, f"{a.out}/_checkpoint")
+    print(f"complete: {spark.read.parquet(a.out).count():,}")
+    return 0
+
+
 def _profile(spark, a) -> int:
     from tidemill.ml.features import feature_stages
     from tidemill.ml.tournament import profile_stages
@@ -201,7 +239,7 @@ def _profile(spark, a) -> int:
     return 0
 
 
-MODES = {"raw": _raw, "prepare": _prepare, "encode-map": _encode_map, "train": _train, "score": _score, "report": _report, "benchmark": _benchmark, "events": _events, "profile": _profile}
+MODES = {"raw": _raw, "prepare": _prepare, "encode-map": _encode_map, "train": _train, "score": _score, "report": _report, "benchmark": _benchmark, "events": _events, "windows": _windows, "profile": _profile}
 
 
 def main(argv: list[str] | None = None) -> int:

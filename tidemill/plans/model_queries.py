@@ -108,6 +108,49 @@ def chain_pca(spark, sf):
     return found.select("condition", F.round("value", DIGITS).alias("value"))
 
 
+_ARMS = " UNION ALL ".join(f"SELECT '{s.name}__{a}' AS arm, '{s.task}' AS task" for s in default_specs() for a in ("pca", "nopca"))
+
+
+@query(f"WITH {_TRAIN} SELECT arm, task, true AS chosen_from_grid, true AS within_bounds, count(*) FILTER (NOT learn) AS scored FROM ({_ARMS}) CROSS JOIN t GROUP BY ALL")
+def tournament_all(spark, sf):
+    """All seven models on both arms: grid, folds, refit, metrics, run and model of each. Trees and rounds are few here, so
+    that fourteen arms take a minute or two; the chain queries have each model at its full settings."""
+    from dataclasses import replace
+
+    from tidemill.ml.features import FeatureSpec
+    from tidemill.ml.tournament import Settings, run_tournament
+    from tidemill.ml.tracking import Tracker
+    from tidemill.sources.store import work_folder
+
+    few = {"numTrees": 3, "maxIter": 3, "maxDepth": 3}
+
+    def light(spec):
+        def build(make=spec.build):
+            est = make()
+            return est.copy({est.getParam(k): v for k, v in few.items() if est.hasParam(k)})
+
+        first, *_ = spec.grid  # two points of the first parameter
+        return replace(spec, build=build, grid=((first[0], (3, 4) if first[0] == "maxDepth" else first[1]),))
+
+    rows = _training(spark, sf).withColumns({"label_delay": F.col("delay"), "label_severe": F.col("severe")})
+    features = FeatureSpec(
+        clipped=("value",), clipped_to=("value_clip",), logged=("user_id",), logged_to=("user_log",), imputed=(), encoded=("place", "airline"), encoded_to=("te_place", "te_airline"),
+        indexed=("airline",), indexed_to=("airline_idx",), one_hot=("airline_idx", "dow"), plain=("value",), geo_from=(), geo_to=(),
+    )
+    tracker = Tracker(spark, work_folder(spark, "tournament-all"))
+    out = run_tournament(rows, [light(s) for s in default_specs()], tracker, Settings("event_id", folds=2, pca_k=3, tune_per_mille=300, features=features), resume=False)
+    if out.failures:
+        raise RuntimeError(str(out.failures))
+    test = split.train_test_split(rows, "event_id")[1].withColumn("label_glm", F.col("delay") + F.lit(out.offset))
+    found = []
+    for name, r in sorted(out.results.items()):
+        m = r["metrics"]
+        ok = m["rmse"] > 0 and m["mae"] <= m["rmse"] and m["r2"] < 1 if r["task"] == "regression" else all(0 <= m[k] <= 1 for k in m)
+        made = out.models[name].transform(test).agg(F.count("prediction").alias("n")).first()["n"]
+        found.append((name, r["task"], any(k.startswith("best_") for k in r), bool(ok), made))
+    return spark.createDataFrame(found, "arm string, task string, chosen_from_grid boolean, within_bounds boolean, scored long")
+
+
 @query(f"WITH {_TRAIN} SELECT count(*) AS scored, CAST(0 AS BIGINT) AS different, count(*) FILTER (learn) AS learned FROM t")
 def stream_chain_score(spark, sf):
     """The chain with its encoder, one-hot and scaler, and a model, on a stream of JSON events: rows, and how many of them

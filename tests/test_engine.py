@@ -688,7 +688,7 @@ def test_candidates_by_ring_are_those_of_all_against_all(spark):
 # --- one vector stage, one chain fit for each fold ------------------------------------------------------
 
 
-def test_scaled_features_equal_the_four_stages(spark, tmp_path):
+def test_slots_of_seen_categories_equal_a_selector(spark, tmp_path):
     from dataclasses import replace
 
     from pyspark.ml.functions import vector_to_array
@@ -696,14 +696,14 @@ def test_scaled_features_equal_the_four_stages(spark, tmp_path):
     from tidemill.plans.training import flights
     from tests.conftest import SF
 
-    rows = flights(spark, SF).limit(1500).persist()
+    rows = flights(spark, SF).limit(1500).withColumn("IS_WEEKEND", F.lit(1)).persist()  # a number that doesn't vary
     found = {}
-    for dense in (True, False):
-        model = Pipeline(stages=feature_stages("label_delay", False, spec=replace(FeatureSpec(), dense=dense))).fit(rows)
+    for seen_only in (True, False):
+        model = Pipeline(stages=feature_stages("label_delay", False, spec=replace(FeatureSpec(), seen_only=seen_only))).fit(rows)
         unseen = rows.withColumns({"MONTH": F.lit(12) + F.col("MONTH") % 2, "DAY": F.when(F.col("DAY") > 3, F.col("DAY"))})
         made = [model.transform(d).orderBy("row_id").select(vector_to_array("features").alias("v")).collect() for d in (rows, unseen)]
-        found[dense] = [np.array([r["v"] for r in m]) for m in made], feature_names(model, rows)
-        if dense:
+        found[seen_only] = [np.array([r["v"] for r in m]) for m in made], feature_names(model, rows)
+        if seen_only:
             model.write().overwrite().save(str(tmp_path / "m"))
             again = PipelineModel.load(str(tmp_path / "m")).transform(rows).orderBy("row_id").select(vector_to_array("features").alias("v")).collect()
             assert np.array_equal(np.array([r["v"] for r in again]), found[True][0][0])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 
-from tidemill.ml.stages import FitCache, GeoFeatures, HeldRows, IQRClip, ScaledFeatures, ScaledFeaturesModel, SignedLog1p, SmoothedTargetEncoder
+from tidemill.ml.stages import DropConstant, FitCache, GeoFeatures, HeldRows, IQRClip, SeenCategories, SignedLog1p, SmoothedTargetEncoder
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,8 @@ class FeatureSpec:
     #: A leg's ends, distance and minutes, and what GeoFeatures makes of them; none: no such step.
     geo_from: tuple[str, ...] = ("ORIGIN_LAT", "ORIGIN_LON", "DEST_LAT", "DEST_LON", "DISTANCE", "SCHEDULED_TIME")
     geo_to: tuple[str, ...] = ("GC_DISTANCE_MI", "ROUTE_DETOUR", "SCHEDULE_SPEED_MPH")
-    #: One stage makes the scaled vector from columns; else one-hot, assembler, scaler and selector, for very many slots.
-    dense: bool = True
+    #: Only categories that occur get a slot, so that no selector has to drop the others; else every number up to the largest.
+    seen_only: bool = True
     smoothing: float = 20.0
     iqr_error: float = 0.001
 
@@ -58,18 +58,18 @@ def feature_stages(label: str, use_pca: bool, k: int = 10, spec: FeatureSpec = F
         stages.append(StringIndexer(inputCols=list(spec.indexed), outputCols=list(spec.indexed_to), handleInvalid="keep"))
     hot = [f"{c.removesuffix('_idx')}_ohe" for c in spec.one_hot]
     numbers = [*spec.clipped_to, *spec.logged_to, *spec.encoded_to, *spec.plain]
-    if spec.one_hot and not spec.dense:
-        stages.append(OneHotEncoder(inputCols=list(spec.one_hot), outputCols=hot, handleInvalid="keep", dropLast=True))
-    stages.append(FitCache(held))
-    if spec.dense:
-        stages.append(ScaledFeatures(inputCols=numbers, hotCols=list(spec.one_hot), outputCol="features_selected"))
-    else:
-        stages += [
-            VectorAssembler(inputCols=[*numbers, *hot], outputCol="features_raw", handleInvalid="keep"),
-            StandardScaler(inputCol="features_raw", outputCol="features_scaled", withMean=False, withStd=True),
-            VarianceThresholdSelector(featuresCol="features_scaled", outputCol="features_selected", varianceThreshold=0.0),
-        ]
+    encoded = list(spec.one_hot)
+    if spec.one_hot and spec.seen_only:
+        encoded = [f"{c.removesuffix('_idx')}_seen" for c in spec.one_hot]
+        stages.append(SeenCategories(inputCols=list(spec.one_hot), outputCols=encoded))
+    if spec.one_hot:
+        stages.append(OneHotEncoder(inputCols=encoded, outputCols=hot, handleInvalid="keep", dropLast=True))
+    drop = DropConstant(inputCol="features_scaled", outputCol="features_selected")
     stages += [
+        FitCache(held),
+        VectorAssembler(inputCols=[*numbers, *hot], outputCol="features_raw", handleInvalid="keep"),
+        StandardScaler(inputCol="features_raw", outputCol="features_scaled", withMean=False, withStd=True),
+        drop if spec.seen_only else VarianceThresholdSelector(featuresCol="features_scaled", outputCol="features_selected", varianceThreshold=0.0),
         PCA(k=k, inputCol="features_selected", outputCol="features") if use_pca else SQLTransformer(statement="SELECT *, features_selected AS features FROM __THIS__"),
     ]
     return stages
@@ -88,15 +88,14 @@ def feature_names(model: PipelineModel, sample: DataFrame) -> list[str]:
     pca = next((s for s in model.stages if type(s).__name__ == "PCAModel"), None)
     if pca is not None:
         return [f"pc_{i + 1}" for i in range(pca.getK())]
-    scaled = next((s for s in model.stages if isinstance(s, ScaledFeaturesModel)), None)
-    if scaled is not None:
-        return scaled.slots()
     out, raw = sample.limit(1), []
     for stage in model.stages:
         if "features_raw" in out.columns and not raw:
             raw = slot_names(out, "features_raw")
         if type(stage).__name__ == "VarianceThresholdSelectorModel":
             return [raw[i] for i in stage.selectedFeatures]
+        if isinstance(stage, VectorSlicer):
+            return [raw[i] for i in stage.getIndices()]
         out = stage.transform(out)
     return raw
 

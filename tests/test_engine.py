@@ -650,7 +650,8 @@ def test_fingerprints_do_not_depend_on_order(spark):
     assert tuple(metrics.multiset(df.limit(0)).first()) == (0, "0" * 32)
 
 
-def test_candidates_by_ring_are_those_of_all_against_all(spark):
+@pytest.mark.parametrize("few", [codemap.FEW_ERRORS, 0])
+def test_candidates_by_ring_are_those_of_all_against_all(spark, monkeypatch, few):
     """Best and runner-up of every code, on a sphere with places at the poles and on both sides of the date line."""
     r = random.Random(6)
     places = [(f"p{k:03}", r.choice([r.uniform(-90, 90), 89.9, -89.9, 0.0]), r.choice([r.uniform(-180, 180), 179.9, -180.0, 180.0])) for k in range(90)]
@@ -670,6 +671,7 @@ def test_candidates_by_ring_are_those_of_all_against_all(spark):
             off = r.choice([0.3, 5.0, 90.0, 2500.0]) if r.random() < 0.5 else 0.0
             routes.append((*((code, other) if r.random() < 0.5 else (other, code)), float(round(miles(n, trusted[other]) + off)), 1))
     coords = spark.createDataFrame(places, "iata string, lat double, lon double")
+    monkeypatch.setattr(codemap, "FEW_ERRORS", few)
     got = codemap.score_candidates(
         spark.createDataFrame(routes, "origin string, dest string, distance double, n long").distinct(), spark.createDataFrame([(c,) for c in unknown], "code string"), spark.createDataFrame(list(trusted.items()), "dot_code string, iata_code string"), coords
     ).collect()

@@ -95,7 +95,18 @@ def per_code_error(routes: DataFrame, mapping: DataFrame, coords: DataFrame) ->
     err = F.abs(haversine_miles("olat", "olon", "dlat", "dlon") - F.col("distance"))
     each = _placed(routes, mapping, coords).select("origin", "dest", err.alias("err")).where("err is not null")
     ends = each.select(F.explode(F.array("origin", "dest")).alias("code"), "err")
-    return grouped_medians(ends, ["code"], F.col("err")).select("code", F.col("median").alias("median_err"))
+    return _medians(ends, ["code"], 2 * routes.count()).select("code", F.col("median").alias("median_err"))
+
+
+#: Errors, counted beforehand, whose medians one aggregation may gather; more are found in bounded state.
+FEW_ERRORS = 1_000_000
+
+
+def _medians(each: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, median, n of the column err, of which there are so many at most. The same either way."""
+    if most <= FEW_ERRORS:
+        return each.where("err is not null").groupBy(*by).agg(F.median("err").alias("median"), F.count("err").alias("n"))
+    return grouped_medians(each, by, F.col("err"))
 
 
 def suspects(codes: DataFrame, mapping: DataFrame, errors: DataFrame, most: float = SUSPECT) -> DataFrame:
@@ -136,11 +147,12 @@ def _off(lat: str, lon: str) -> Column:
     return F.abs(haversine_miles(lat, lon, "tlat", "tlon") - F.col("distance"))
 
 
-def _scores(obs: DataFrame, free: DataFrame, radius: float) -> DataFrame:
+def _scores(obs: DataFrame, free: DataFrame, radius: float, most: int) -> DataFrame:
     """(code, iata, score, n_obs) of every place whose median error is within a radius.
 
     At least half of a code's observations are within the radius of such a place, so it lies in the cells of
-    half of the rings; only places that do are measured against all observations of the code.
+    half of the rings; only places that do are measured against all observations of the code. most: how many such
+    measurements there are if every place is one.
     """
     band, place = _cell(F.col("lat"), F.col("lon"))
     cells = small(free.withColumns({"__band": band, "__place": place}))
@@ -148,7 +160,7 @@ def _scores(obs: DataFrame, free: DataFrame, radius: float) -> DataFrame:
     hits = rings.join(cells, ["__band", "__place"]).where(_off("lat", "lon") <= radius)
     pairs = hits.groupBy("code", "iata").agg(F.count(F.lit(1)).alias("k"), F.first("n_obs").alias("n_obs")).where("2 * k >= n_obs").select("code", "iata")
     each = pairs.join(small(free), "iata").join(obs, "code").select("code", "iata", _off("lat", "lon").alias("err"))
-    found = grouped_medians(each, ["code", "iata"], F.col("err")).select("code", "iata", F.col("median").alias("score"), F.col("n").alias("n_obs"))
+    found = _medians(each, ["code", "iata"], most).select("code", "iata", F.col("median").alias("score"), F.col("n").alias("n_obs"))
     return found.where(F.col("score") <= radius)
 
 
@@ -166,12 +178,14 @@ def score_candidates(routes: DataFrame, wanted: DataFrame, trusted: DataFrame, c
     free = coords.join(small(trusted.select(F.col("iata_code").alias("iata"))), "iata", "left_anti").where("lat is not null and lon is not null")
     obs = obs.withColumn("n_obs", F.count(F.lit(1)).over(Window.partitionBy("code"))).persist()
     try:
+        places = free.count()
+        most = obs.count() * places
         if within is not None:
-            scored = _scores(obs, free, within).collect()  # codes in doubt, and places near them
+            scored = _scores(obs, free, within, most).collect()  # codes in doubt, and places near them
         else:
-            enough, scored, left = min(2, free.count()), [], obs
+            enough, scored, left = min(2, places), [], obs
             for radius in RADII:
-                found = _scores(left, free, radius).collect()
+                found = _scores(left, free, radius, most).collect()
                 done = {c for c, n in Counter(r["code"] for r in found).items() if n >= enough or radius == RADII[-1]}
                 scored += [r for r in found if r["code"] in done]
                 left = left.where(~F.col("code").isin(sorted(done))) if done else left

@@ -122,7 +122,7 @@ def tournament_all(spark, sf):
     from tidemill.ml.tracking import Tracker
     from tidemill.sources.store import work_folder
 
-    few = {"numTrees": 3, "maxIter": 3, "maxDepth": 3}
+    few = {"numTrees": 2, "maxIter": 2, "maxDepth": 3}
 
     def light(spec):
         def build(make=spec.build):

@@ -175,3 +175,12 @@ def test_differencing_of_a_table_equals_pairing_by_hand(spark, seed):
         kept = got[i].split("\n") if got[i] else []
         assert [t for t in own if t in set(kept)] == kept and set(own) - set(other) <= set(kept)  # in order; nothing goes that the neighbour hasn't
         assert len(own) - len(kept) == shared(own, other)
+
+
+def test_pages_with_an_article_are_differenced_too(spark):
+    page = lambda k: f"<nav>Home</nav><article><p>Own {k}</p><p>Quoted</p></article><footer>Imprint</footer><footer>No {k}</footer>"
+    rows = [(k, f"http://h/a/{k}", page(k)) for k in range(6)] + [(8, "http://h/a/5", page(5)), (9, "http://g/a", page(9))]
+    got = {r["page_id"]: r for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert {k: r["text"] for k, r in got.items()} == {k: f"Own {5 if k == 8 else k}\nQuoted" for k in (*range(6), 8, 9)}
+    # The menu, the quotation and the imprint are in the neighbour, too; the last host has no neighbour.
+    assert {k: (r["n_lines"], r["n_shared"]) for k, r in got.items()} == {k: (5, 0 if k == 9 else 3) for k in got}

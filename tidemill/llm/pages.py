@@ -1,4 +1,4 @@
-"""Main text of web pages: structure first, then nearest-URL page differencing."""
+"""Main text of web pages: nearest-URL page differencing, and structure as the check on it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import html
 import re
 from bisect import bisect_left
 from collections import defaultdict
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,7 +167,7 @@ def lines(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def lcs(a: list[str], b: list[str]) -> list[int]:
+def lcs(a: list, b: list) -> list[int]:
     """Places in a of a longest common subsequence of two lists of lines."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -174,7 +175,7 @@ def lcs(a: list[str], b: list[str]) -> list[int]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    where: dict[str, list[int]] = defaultdict(list)
+    where: dict[object, list[int]] = defaultdict(list)
     for j in range(len(b) - tail - 1, head - 1, -1):
         where[b[j]].append(j)
     ends: list[int] = []
@@ -201,11 +202,19 @@ def _sorted_out(found: list[tuple[int, str]]) -> tuple[list[int], list[int]]:
     return sure, [k for k, (z, _) in enumerate(found) if z == MAYBE_TEXT or (z == OPEN_TEXT and not sure)]
 
 
-def _kept(sure: list[int], open_: list[int], own: list[str], nearest: list[str] | None) -> str:
+def _shared(own: list, places: list[int], other: list | None) -> set[int]:
+    """Which of these places of a page its neighbour has, too, in order."""
+    return {places[i] for i in lcs([own[k] for k in places], other)} if other else set()
+
+
+def _rest(sure: list[int], own: list) -> list[int]:
     fixed = set(sure)
-    free = [k for k in range(len(own)) if k not in fixed]
-    shared = {free[i] for i in lcs([own[k] for k in free], nearest)} if nearest else set()
-    if sum(len(own[k]) for k in shared) >= COPY * sum(len(own[k]) for k in free):
+    return [k for k in range(len(own)) if k not in fixed]
+
+
+def _kept(sure: list[int], open_: list[int], own: list[str], shared: set[int]) -> str:
+    """What differencing leaves, held against the structure: lines of the article come back, asides go."""
+    if sum(len(own[k]) for k in shared) >= COPY * sum(len(own[k]) for k in _rest(sure, own)):
         shared = set()  # a near copy: what it shares is the article
     return "\n".join(own[k] for k in sorted([*sure, *(k for k in open_ if k not in shared)]))
 
@@ -214,7 +223,9 @@ def main_text(page: str, nearest: list[str] | None = None) -> str:
     """The article, less what may be an aside and is shared with the page of the nearest URL (its lines outside its own
     article); without an article or main element, the text outside asides less the lines shared in order with that page."""
     found = lines(page)
-    return _kept(*_sorted_out(found), [t for _, t in found], nearest)
+    sure, open_ = _sorted_out(found)
+    own = [t for _, t in found]
+    return _kept(sure, open_, own, _shared(own, _rest(sure, own), nearest))
 
 
 _KEYS = pa.schema([("part", pa.int64()), ("run", pa.int64()), *((n, pa.string()) for n in ("host", "path", "page", "sig", "before", "before_path", "after", "after_path"))])
@@ -286,8 +297,6 @@ def _neighbours(keys: DataFrame) -> DataFrame:
             ]
             yield table({"page": page, "near": near}, _NEAR)
 
-    if keys.isEmpty():
-        return keys.select("page", F.col("page").alias("near"))
     dealt = keys.repartitionByRange(n, "host", "path", "page").sortWithinPartitions("host", "path", "page")
     rows = cut(dealt.select("host", "path", "page", "sig").mapInArrow(run, _KEYS_DDL))
     whole = F.struct("run", "host", "path", "page", "sig", "before", "before_path", "after", "after_path")
@@ -302,81 +311,91 @@ def _neighbours(keys: DataFrame) -> DataFrame:
     return joined.select("page", "path", *ends).mapInArrow(nearest, "page string, near string")
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("page", pa.string()), ("text", pa.string()), ("sure", pa.list_(pa.int32())), ("open", pa.list_(pa.int32())), ("lines", pa.list_(pa.string()))])
-_PARSED_DDL = "page_id long, url string, page string, text string, sure array<int>, open array<int>, lines array<string>"
+#: Bytes of a line's digest, which stands for the line where pages are aligned.
+MARK = 8
+
+
+def _mark(line: str) -> bytes:
+    return blake2b(line.encode(errors="surrogatepass"), digest_size=MARK).digest()
 
 
-def _parsed(base: DataFrame, settled: bool) -> DataFrame:
-    """Pages whose text needs no neighbour (an article, and nothing in it that may be an aside), or those that need one."""
+def _marks(joined: bytes | None) -> list[bytes]:
+    return [joined[k : k + MARK] for k in range(0, len(joined or b""), MARK)]
+
+
+_MARKED = pa.schema([("host", pa.string()), ("path", pa.string()), ("page", pa.string()), ("sig", pa.string()), ("inside", pa.binary()), ("outside", pa.binary())])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("page", pa.string()), ("sure", pa.list_(pa.int32())), ("open", pa.list_(pa.int32())), ("lines", pa.list_(pa.string()))])
+
+
+def _marked(base: DataFrame) -> DataFrame:
+    """(host, path, page, sig, inside, outside): digests of a page's lines, of the article and of the rest, and of all that may be text."""
 
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
-            for key, url, page, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            *keys, html_ = (b.column(k).to_pylist() for k in range(4))
+            sig, inside, outside = [], [], []
+            for text in html_:
                 found = lines(text)
-                sure, open_ = _sorted_out(found)
-                alone = bool(sure) and not open_
-                if alone is settled:
-                    out.append((key, url, page, "\n".join(found[k][1] for k in sure), [], [], []) if alone else (key, url, page, "", sure, open_, [t for _, t in found]))
-            yield table({n: [r[k] for r in out] for k, n in enumerate(_PARSED.names)}, _PARSED)
+                own, (sure, open_) = [_mark(t) for _, t in found], _sorted_out(found)
+                sig.append(blake2b(b"".join(own[k] for k in (*sure, *open_)), digest_size=MARK).hexdigest())
+                inside.append(b"".join(own[k] for k in sure))
+                outside.append(b"".join(own[k] for k in _rest(sure, own)))
+            yield table(dict(zip(_MARKED.names, (*keys, sig, inside, outside), strict=True)), _MARKED)
 
-    return base.select("page_id", "url", "page", "html").mapInArrow(run, _PARSED_DDL)
+    return base.select("host", "path", "page", "html").mapInArrow(run, "host string, path string, page string, sig string, inside binary, outside binary")
 
 
-def _outside(base: DataFrame) -> DataFrame:
-    """(near, other): the lines outside the article of each page."""
-    schema = pa.schema([("near", pa.string()), ("other", pa.list_(pa.string()))])
+def _parsed(base: DataFrame) -> DataFrame:
+    """The lines of each page, and which of them are the article's and which may be text."""
 
     def run(batches):
         for b in batches:
-            yield table({"near": b.column(0), "other": [[t for z, t in lines(h) if z != MAIN_TEXT] for h in b.column(1).to_pylist()]}, schema)
+            *keys, html_ = (b.column(k).to_pylist() for k in range(4))
+            found = [lines(text) for text in html_]
+            sure, open_ = zip(*map(_sorted_out, found), strict=True) if found else ((), ())
+            yield table(dict(zip(_PARSED.names, (*keys, sure, open_, [[t for _, t in x] for x in found]), strict=True)), _PARSED)
 
-    return base.select("page", "html").mapInArrow(run, "near string, other array<string>")
+    return base.select("page_id", "url", "page", "html").mapInArrow(run, "page_id long, url string, page string, sure array<int>, open array<int>, lines array<string>")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, text (blocks joined by line ends; empty if none), n_chars (code points).
-
-    Menus, headers, footers, adverts, forms, comments and the like go by structure and by the words of
-    their class, id or role. A page with an article (or main) element is that element's text: its
-    neighbours quote and repeat the same lines, so differencing would delete what belongs to it. Lines of
-    the article whose class only may mean an aside, and the lines of every page without an article, are
-    decided by differencing: the page is paired with that of the nearest URL path within its host, copies
-    of itself passed over; lines outside the article are aligned with the neighbour's by longest common
-    subsequence, and shared lines are deleted. Null html or url: empty. Rows that repeat an id are
-    extracted each for itself.
+    """Per page: page_id, url, text (blocks joined by line ends; empty if none), n_chars (code points), n_lines, n_shared.
+
+    Every page is paired with that of the nearest URL path within its host, copies of itself passed over, and
+    aligned with it by longest common subsequence: the lines of its article with those of the neighbour's, the
+    other lines with the other ones. n_shared of its n_lines are in the neighbour, too; they are taken for the
+    site's. Structure is then the check: lines of an article (or main) element come back, as neighbours quote
+    and repeat each other's; menus, headers, footers, adverts, forms, comments and the like go by element and
+    by the words of their class, id or role. So differencing decides the lines of the article whose class only
+    may mean an aside, and the lines of a page without an article. Null html or url: empty. Rows that
+    repeat an id are extracted each for itself.
     """
     spark = session(pages)
     bounded_batches(spark, 128)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    # A page's key: its id and a digest, so that rows with one id but other content stay apart.
-    base = base.withColumn("page", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.hex(F.xxhash64("url", "html"))))
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
-    keyed = base.select(
+    base = base.select(
+        "*",
+        # A page's key: its id and a digest, so that rows with one id but other content stay apart.
+        F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.hex(F.xxhash64("url", "html"))).alias("page"),
         F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
-        "page",
-    ).distinct()
-    whole = _parsed(base, settled=True).select("page_id", "url", "text")
+    )
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
 
     def differ(batches):
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
         for b in batches:
-            ids, urls, *parts = (b.column(k).to_pylist() for k in range(6))
-            out = [_kept(*row) for row in zip(*parts, strict=True)]
-            yield table({"page_id": ids, "url": urls, "text": out}, schema)
-
-    bare = cut(_parsed(base, settled=False))
-    if bare.isEmpty():  # no neighbours are needed
-        return whole.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
-    sigs = bare.select("page", F.hex(F.xxhash64(F.transform(F.concat("sure", "open"), lambda k: F.element_at("lines", k + 1)))).alias("sig")).distinct()
-    keyed = keyed.join(sigs, "page", "left").withColumn("sig", F.coalesce("sig", "page"))
-    near = _neighbours(keyed).join(bare.select("page").distinct(), "page", "left_semi")
-    wanted = cut(near.select("near").where("near is not null").distinct())
-    other = _outside(base).join(wanted, "near", "left_semi").dropDuplicates(["near"])
-    if wanted.isEmpty():  # every page has an article; its markup isn't read once more
-        other = spark.createDataFrame([], other.schema)
-    paired = near.join(other, "near", "left").select("page", "other")
-    full = bare.join(paired, "page", "left").select("page_id", "url", "sure", "open", "lines", "other")
-    done = whole.unionByName(full.mapInArrow(differ, "page_id long, url string, text string"))
-    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+            out: list[tuple] = []
+            for key, url, sure, open_, own, inside, outside in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                marks = [_mark(t) for t in own]
+                article, other = _shared(marks, sure, _marks(inside)), _shared(marks, _rest(sure, own), _marks(outside))
+                out.append((key, url, _kept(sure, open_, own, other), len(own), len(article) + len(other)))
+            yield table({n: [r[k] for r in out] for k, n in enumerate(schema.names)}, schema)
+
+    marked = _marked(base)
+    near = _neighbours(marked.select("host", "path", "page", "sig").distinct()).where("near is not null")
+    # Rows that repeat a whole page have one digest, so any of them will do.
+    paired = near.join(marked.select(F.col("page").alias("near"), "inside", "outside"), "near").dropDuplicates(["page"]).select("page", "inside", "outside")
+    full = _parsed(base).join(paired, "page", "left").select("page_id", "url", "sure", "open", "lines", "inside", "outside")
+    done = full.mapInArrow(differ, "page_id long, url string, text string, n_lines long, n_shared long")
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")

@@ -798,3 +798,38 @@ def test_figures_of_predictions(spark, tmp_path):
     bins = files.read_json(str(tmp_path / "out" / "residuals.json"))
     assert sum(n for _, n in bins) == 2000 and bins[0][0] == "-2"
     assert report.write_benchmark(Tracker(spark, str(tmp_path / "s")), str(tmp_path / "none"), predicted.limit(0)) and len(paths) >= 3
+
+
+def test_components_where_the_decomposition_does_not_converge(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import PCA, PCAModel
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    # Two one-hot groups, whose slots depend on each other, and two numbers.
+    rows = [(Vectors.dense([float(k % 3 == i) for i in range(3)] + [float(k % 5 == i) for i in range(5)] + [k * 0.37 % 11, k * k % 17 / 3.0]),) for k in range(400)]
+    df = spark.createDataFrame(rows, ["features_selected"])
+    want = PCA(k=4, inputCol="features_selected", outputCol="features").fit(df)
+
+    def fails(self, dataset):
+        raise RuntimeError("breeze.linalg.NotConvergedException")
+
+    monkeypatch.setattr(PCA, "_fit", fails)
+    got = feature_stages("label", True, 4)[-1].fit(df)
+    monkeypatch.undo()
+    assert type(got).__name__ == "PCAModel" and got.getK() == 4
+    assert got.explainedVariance.toArray() == pytest.approx(want.explainedVariance.toArray(), abs=1e-9)
+    # The first two shares stand apart, so their components are fixed but for the sign.
+    for i in range(2):
+        a, b = got.pc.toArray()[:, i], want.pc.toArray()[:, i]
+        assert abs(a @ b) == pytest.approx(1.0, abs=1e-9)
+    got.write().save(f"file://{tmp_path}/pca")
+    back = PCAModel.load(f"file://{tmp_path}/pca")
+    out = back.transform(df).select(vector_to_array("features").alias("f")).first()["f"]
+    assert out == pytest.approx((rows[0][0].toArray() @ got.pc.toArray()).tolist(), abs=1e-9)
+
+    def other(self, dataset):
+        raise RuntimeError("no such column")
+
+    monkeypatch.setattr(PCA, "_fit", other)
+    with pytest.raises(RuntimeError, match="no such column"):
+        feature_stages("label", True, 4)[-1].fit(df)
